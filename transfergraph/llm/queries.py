@@ -6,16 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, mixing, simhash
+from . import chat_format, decontam, line_dedup, mixing, quality_rules, simhash, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mix_sources": mixing.op1,
+        "op2_quality_rules": quality_rules.op2,
         "op3_simhash_trie": simhash.op3,
+        "op4_chat_format": chat_format.op4,
+        "op8_toxicity_ftrl": toxicity.op8,
+        "op9_decontaminate": decontam.op9,
         "op10_line_dedup": line_dedup.op10,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_line_dedup": line_dedup.ORACLE}
+    return {"op2_quality_rules": quality_rules.ORACLE, "op4_chat_format": chat_format.ORACLE, "op10_line_dedup": line_dedup.ORACLE}
