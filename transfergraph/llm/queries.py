@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, decontam, language_id, line_dedup, mixing, quality_rules, simhash, toxicity, weak_quality
+from . import chat_format, decontam, language_id, line_dedup, mixing, quality_rules, simhash, substring_dedup, toxicity, weak_quality
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_quality_rules": quality_rules.op2,
         "op3_simhash_trie": simhash.op3,
         "op4_chat_format": chat_format.op4,
+        "op5_substring_fm": substring_dedup.op5,
         "op6_language_cnn": language_id.op6,
         "op7_weak_quality": weak_quality.op7,
         "op8_toxicity_ftrl": toxicity.op8,
@@ -24,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": quality_rules.ORACLE, "op4_chat_format": chat_format.ORACLE, "op10_line_dedup": line_dedup.ORACLE}
+    return {"op2_quality_rules": quality_rules.ORACLE, "op4_chat_format": chat_format.ORACLE, "op5_substring_fm": substring_dedup.ORACLE, "op10_line_dedup": line_dedup.ORACLE}
