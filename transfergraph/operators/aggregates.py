@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.times import micros
+from ..plans.cut import materialise
 from .sets import undirected_view
 
 AMOUNT = "decimal(38,0)"
@@ -94,14 +95,15 @@ def counterparty_flows(transfers: DataFrame, min_amount: int = 0) -> DataFrame:
     return f.withColumn("total", (F.col("sent") + F.col("received")).cast(AMOUNT)).withColumn("kind", kind)
 
 
-def prefix_of_values(df: DataFrame, column: str, n_buckets: int = 256) -> DataFrame:
+def prefix_of_values(df: DataFrame, column: str) -> DataFrame:
     """(value, n, before): a histogram of a column with the number of rows below each value.
 
     Values are dealt into ranges; each range is summed on its own and only one row per range meets in one task, so no window
-    holds all values.
+    holds all values. The dealt histogram is written once, as a range's bounds are sampled anew by each run.
     """
     hist = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
-    dealt = hist.repartitionByRange(n_buckets, "value").withColumn("bucket", F.spark_partition_id())
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = materialise(hist.repartitionByRange(ranges, "value").withColumn("bucket", F.spark_partition_id()))
     sums = dealt.groupBy("bucket").agg(F.sum("n").alias("in_bucket"))
     offsets = sums.withColumn("offset", F.coalesce(F.sum("in_bucket").over(Window.partitionBy().orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("bucket", "offset")
     within = Window.partitionBy("bucket").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
