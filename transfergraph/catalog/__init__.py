@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ["filters", "joins", "aggregates", "windows", "sets", "topk", "graph"]
+MODULES = ["filters", "joins", "aggregates", "windows", "sets", "topk", "graph", "scoring"]
 
 
 def _every() -> dict[str, tuple]:
