@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ["filters", "joins", "aggregates", "windows", "sets", "topk", "graph", "scoring", "detectors", "anomalies", "coordination", "alerts", "functions", "quality", "telemetry", "sources"]
+MODULES = ["filters", "joins", "aggregates", "windows", "sets", "topk", "graph", "scoring", "detectors", "anomalies", "coordination", "alerts", "functions", "quality", "telemetry", "sources", "streams"]
 
 
 def _every() -> dict[str, tuple]:
