@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from .schemas import API_ACCOUNT, API_TRANSFER, BLOCK, LOG_LINE, AMOUNT
 
 
-def _frame(spark: SparkSession, source: str | DataFrame, schema: StructType) -> DataFrame:
+def _frame(spark: SparkSession, source: str | DataFrame, schema: str) -> DataFrame:
     return source if isinstance(source, DataFrame) else spark.read.schema(schema).json(source)
 
 
