@@ -26,3 +26,13 @@ def test_every_oracle_has_a_query():
 def test_entry(spark):
     df = entry.entry(spark)
     assert df.count() > 0 and "other_type" in df.columns
+
+
+def test_queries_are_listed_without_a_session():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(entry.__file__).parent
+    out = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"], cwd=root, capture_output=True, text=True, check=True)
+    assert int(out.stdout.split()[0]) > 200

@@ -5,11 +5,13 @@ from ..sources import ledger as L
 from .base import LEDGER
 from .windows import _round
 
-META = F.create_map(F.lit("maintenance"), (F.col("detection_id") % 13 == 0).cast("string"), F.lit("routine"), (F.col("detection_id") % 5 == 0).cast("string"), F.lit("reward"), (F.col("detection_id") % 17 == 0).cast("string"))
+def _meta():
+    k = F.col("detection_id")
+    return F.create_map(F.lit("maintenance"), (k % 13 == 0).cast("string"), F.lit("routine"), (k % 5 == 0).cast("string"), F.lit("reward"), (k % 17 == 0).cast("string"))
 
 
 def _detections(s, d):
-    return L.detections(s, d).withColumn("value", F.col("confidence") * 100).withColumn("metadata", META).withColumn("severity", F.when(F.col("detection_id") % 3 != 0, F.col("severity")))
+    return L.detections(s, d).withColumn("value", F.col("confidence") * 100).withColumn("metadata", _meta()).withColumn("severity", F.when(F.col("detection_id") % 3 != 0, F.col("severity")))
 
 
 def _alerts(s, d):

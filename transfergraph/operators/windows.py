@@ -139,7 +139,8 @@ def median_of(sorted_array: Column) -> Column:
 def robust_zscore(balances: DataFrame, history: int = 30, at_least: int = 5, limit: float = 3.5) -> DataFrame:
     """Each event with 0.6745 (x - median) / MAD over the history before it, and whether that is beyond the limit."""
     b = balances.withColumn("_us", micros("timestamp")).withColumn("_h", F.array_sort(F.collect_list("balance").over(history_before("address", history))))
-    b = b.withColumn("median", median_of(F.col("_h"))).withColumn("mad", median_of(F.array_sort(F.transform("_h", lambda x: F.abs(x - F.col("median"))))))
+    # explode of one value keeps the optimizer from writing the sorted arrays out once for every use of median and mad
+    b = b.withColumn("median", F.explode(F.array(median_of(F.col("_h"))))).withColumn("mad", F.explode(F.array(median_of(F.array_sort(F.transform("_h", lambda x: F.abs(x - F.col("median"))))))))
     z = F.when((F.size("_h") >= at_least) & (F.col("mad") > 0), 0.6745 * (F.col("balance") - F.col("median")) / F.col("mad"))
     return b.withColumn("z", z).withColumn("outlier", F.coalesce(F.abs("z") > limit, F.lit(False))).drop("_us", "_h")
 
