@@ -25,7 +25,21 @@ def _chains(s, d):
     return G.layering_chains(_edges(s, d), None, 10**12, 0.05, 3)
 
 
+def _large_sender(transfers, edges):
+    """A detector as a user adds one: senders of a transfer of 300 units or more."""
+    return transfers.where(F.col("value") >= 300 * 10**12).select(F.col("from_address").alias("address"), F.lit(0.5).alias("confidence"))
+
+
+def _registered(s, d):
+    D.register_detector("large_sender", _large_sender)
+    try:
+        return D.detect_all(_t(s, d), _edges(s, d), _metrics(s, d)).where("pattern_type = 'large_sender'")
+    finally:
+        D.unregister_detector("large_sender")
+
+
 QUERIES = {
+    "x1_registered_detector": (_registered, LEDGER + "SELECT DISTINCT from_address AS address, 'large_sender' AS pattern_type, CAST(0.5 AS DOUBLE) AS confidence FROM t WHERE value >= 300000000000000"),
     "d1_rapid_movement": (
         lambda s, d: _round(D.rapid_movement(_t(s, d)), "mean_minutes", "confidence"),
         LEDGER + SEQUENCE + f"SELECT to1 AS address, count(*) AS pairs, round(avg(seconds)/60,6) AS mean_minutes, CAST(sum(value1) AS DECIMAL(38,0)) AS volume, round({RAPID},6) AS confidence FROM seq GROUP BY 1",

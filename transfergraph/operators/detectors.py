@@ -26,6 +26,10 @@ def register_detector(name: str, detector: Callable[..., DataFrame]) -> None:
     _registry[name] = detector
 
 
+def unregister_detector(name: str) -> None:
+    _registry.pop(name, None)
+
+
 def top(limit: float, x: Column) -> Column:
     return F.least(F.lit(float(limit)), x)
 
