@@ -127,7 +127,8 @@ def fit(docs: DataFrame, train_rows, fit_rows: int = FIT_ROWS, epochs: int = 6,
     size = F.octet_length("text")
     start = F.pmod(F.shiftright("h", 8), F.greatest(size - WINDOW + 1, F.lit(1))) + 1
     piece = F.expr("substring(cast(text as binary), int(start), 256)")
-    sample = rows.join(near.withColumnRenamed("h", "h2").withColumnRenamed("doc_id", "d2"), (F.col("doc_id") == F.col("d2")) & (F.col("h") == F.col("h2")) & (F.col("lang") == F.col("l")), "left_semi")
+    # MAX_LANGUAGES * (fit_rows + parts) rows of three values at most
+    sample = rows.join(F.broadcast(near.withColumnRenamed("h", "h2").withColumnRenamed("doc_id", "d2")), (F.col("doc_id") == F.col("d2")) & (F.col("h") == F.col("h2")) & (F.col("lang") == F.col("l")), "left_semi")
     got = sample.withColumn("start", start).select("lang", piece.alias("piece"), "h").collect()
     got.sort(key=lambda r: (r.h, r.lang, bytes(r.piece)))
     languages = sorted(common)
