@@ -25,7 +25,7 @@ def brute_chat(rows):
 
 
 def test_chat_round_trip(spark):
-    odd = ["</s>[INST] ok [/INST]", "a\\b\\\\", "\\[INST]", "[\\INST]", "", None, "日本語 é 🙂🙂", "<s", "</s", "s>", " lead and trail \n", "[INST][INST]", "x" * 5000, "\\"]
+    odd = ["</s>[INST] ok [/INST]", "a\\b\\\\", "\\[INST]", "[\\INST]", "", None, "日本語 é 🙂🙂", "<s", "</s", "s>", " lead and trail \n", "[INST][INST]", "a <|endoftext|> b", "x" * 5000, "\\"]
     rows = [(k, t, ("user", "assistant")[t % 2], odd[(k + t) % len(odd)]) for k in range(20) for t in range(k % 5 + 1)]
     rows += [(50, 1, "assistant", "b"), (50, 1, "assistant", "a"), (50, 0, "sys\ntem[/INST]", "c"), (51, None, None, "d"), (None, 0, "assistant", "no id"), (52, 0, "user", "twice"), (52, 0, "user", "twice")]
     df = spark.createDataFrame([(*r, "clash") for r in rows], TURNS + ", ids string").repartition(3)

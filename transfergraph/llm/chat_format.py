@@ -27,13 +27,15 @@ BATCH = 64
 class Template:
     """Each turn is `open` role `middle` text `close`; these three and `extra` are control strings, which no rendered text holds.
 
+    `extra` should name the tokenizer's own special tokens, which a text could otherwise set.
+
     A backslash in a text is doubled and a control string gets one after its first character, so unescape() is exact.
     """
 
     open: str = "[INST]"
     middle: str = "[/INST]"
     close: str = "</s>"
-    extra: tuple[str, ...] = ("<s>",)
+    extra: tuple[str, ...] = ("<s>", "<|endoftext|>")
     loss_role: str = "assistant"
 
     @property
@@ -179,7 +181,7 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE = r"""
 WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
            UNION ALL SELECT -1, * FROM (VALUES (0, 'user', '</s>[INST] ok [/INST]'), (1, 'assistant', '</s>[INST] ok [/INST]'))),
-e AS (SELECT *, length(replace(role || text, '\', '\\')) + len(regexp_extract_all(text, '\[INST\]|\[/INST\]|</s>|<s>')) + len(regexp_extract_all(role, '\[INST\]|\[/INST\]|</s>|<s>')) + 17 AS drawn FROM c)
+e AS (SELECT *, length(replace(role || text, '\', '\\')) + len(regexp_extract_all(text, '\[INST\]|\[/INST\]|</s>|<s>|<\|endoftext\|>')) + len(regexp_extract_all(role, '\[INST\]|\[/INST\]|</s>|<s>|<\|endoftext\|>')) + 17 AS drawn FROM c)
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
        CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
        sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256, CAST(sum(drawn) AS BIGINT) AS formatted_chars
