@@ -139,6 +139,11 @@ def _search_shard(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa
     )
 
 
+def texts_of(docs: DataFrame) -> DataFrame:
+    """doc_id, h, text. Both joins with texts read it by the same null-safe keys, so that Spark shuffles the texts once and reuses the exchange."""
+    return docs.select("doc_id", text_hash().alias("h"), F.col("text").cast("binary").alias("text"))
+
+
 def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc_id, text_hash, starts array<int>, ends array<int>): for each row with any, runs of windows (first, last) that also start in a document with a smaller doc_id.
 
@@ -155,8 +160,7 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     hot = distinct.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > KEY_SEGMENTS).select("key", F.lit(True).alias("hot"))
     words = distinct.agg(F.coalesce(F.sum(F.col("number") + window), F.lit(0))).first()[0]
     wanted = distinct.join(hot, "key", "left").groupBy("doc", "text_hash").agg(F.collect_list(F.struct("key", "seg", "first", "number", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("wanted"))
-    texts = docs.select("doc_id", text_hash().alias("h"), F.col("text").cast("binary").alias("text"))
-    with_text = texts.join(wanted, (F.col("doc_id") == F.col("doc")) & (F.col("h") == F.col("text_hash"))).select("doc", "text", "wanted")
+    with_text = texts_of(docs).join(wanted, F.col("doc_id").eqNullSafe(F.col("doc")) & (F.col("h") == F.col("text_hash"))).select("doc", "text", "wanted")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
@@ -195,8 +199,7 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, digest: bool = False
     words. Rows without a doc_id lose nothing and take nothing from others; rows of one doc_id are one document with several texts.
     """
     found = repeats(docs, window).select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash"), "starts", "ends")
-    texts = docs.select("doc_id", text_hash().alias("_own"), F.col("text").cast("binary").alias("text"))
-    joined = texts.join(found, (F.col("doc_id") == F.col("_doc")) & (F.col("_own") == F.col("_hash")), "left")
+    joined = texts_of(docs).join(found, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("h") == F.col("_hash")), "left")
 
     def of_row(doc_id: int | None, text: bytes | None, starts: list | None, ends: list | None) -> tuple:
         n, removed, kept = cut_out(text, starts, ends, window)
