@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..functions.times import micros
+from ..functions.times import days_between, micros
 from ..sources import ledger as L
 from .base import LEDGER
 from .filters import _as_of, _edges
@@ -46,6 +46,47 @@ def _json(s, d):
     return e.select("event_id", F.from_json("props", "k long").getField("k").alias("k"), F.to_json(F.struct("event_id", "event_type")).alias("json"))
 
 
+def _conditionals(s, d):
+    risk = F.col("risk_score")
+    band = F.when(risk >= 75, "high").when(risk.between(40, 74.5), "medium").otherwise("low")
+    return L.accounts(s, d).select("address", F.coalesce("legal", "display", "address").alias("name"), F.nullif("node_type", F.lit("regular")).alias("special"), band.alias("band"), F.col("node_type").isin("exchange", "mixer").alias("watched"))
+
+
+def _rounding(s, d):
+    x = F.col("value").cast("double") / 1e12
+    return _t(s, d).select("hash", F.abs(x - 50).alias("far"), F.round(x, 1).alias("near"), F.pmod(F.col("value"), F.lit(10**12).cast("decimal(38,0)")).cast("long").alias("rest"), F.pmod("block_number", F.lit(7)).alias("residue"))
+
+
+def _powers(s, d):
+    x = F.col("total_volume").cast("double") / 1e12
+    n = F.col("transfer_count").cast("double")
+    return _edges(s, d).select("from_address", "to_address", F.log10(x + 1).alias("log"), F.sqrt(x / n).alias("root"), F.pow(n, 1.5).alias("power"), F.exp(-n / 10).alias("decay"), F.ceil(x / n).alias("up"), F.floor(x / n).alias("down"))
+
+
+def _differences(s, d):
+    week = F.col("timestamp") >= F.col("as_of") - F.expr("INTERVAL 7 DAYS")
+    return _t(s, d).crossJoin(F.broadcast(_as_of(s, d))).select("hash", days_between(F.col("timestamp"), F.col("as_of")).alias("days"), week.alias("recent"), (F.col("timestamp") + F.expr("INTERVAL 1 HOUR")).alias("later"))
+
+
+def _paths(s, d):
+    path = F.array("from_address", "to_address")
+    longer = S.extend_path(path, F.lit("U000003"))
+    return _t(s, d).select("hash", F.array_contains(path, "U000003").alias("has"), F.array_join(longer, ",").alias("longer"), F.array_join(F.slice(longer, 2, 2), ",").alias("rest"), F.array_join(S.path_edges(longer), ",").alias("edges"))
+
+
+def _sorted(s, d):
+    v = F.array(*(F.col(c).cast("double") for c in ("l_quantity", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice")))
+    t = s.read.parquet(f"{d}/lineitem.parquet")
+    return t.select("l_orderkey", "l_linenumber", F.array_sort(v)[0].alias("least"), S.index_quantile(v, 0.25).alias("q1"), S.index_quantile(v, 0.75).alias("q3"), S.top_values(v, 2)[1].alias("second"))
+
+
+def _json_groups(s, d):
+    """Groups of ten blocks hold ten transfers at most."""
+    rows = _t(s, d).withColumn("blocks", S.block_bucket(F.col("block_number"), 10))
+    item = F.struct(F.col("block_number").alias("block"), "hash")
+    return rows.groupBy("blocks").agg(F.to_json(F.array_sort(F.collect_list(item))).alias("items"), F.to_json(F.array(F.min("block_number"), F.max("block_number"))).alias("span"), F.to_json(F.struct(F.count("*").alias("n"))).alias("object"))
+
+
 QUERIES = {
     "f1_casts": (
         lambda s, d: _round(_cast(s, d), "approx"),
@@ -104,4 +145,52 @@ QUERIES = {
         lambda s, d: _round(_t(s, d).select("hash", S.price(F.col("value"), F.lit(6.5)).alias("usd")), "usd", n=4),
         LEDGER + "SELECT hash, round(CAST(value AS DOUBLE)/1000000000000*CAST(6.5 AS DOUBLE),4) AS usd FROM t",
     ),
+    "f2_conditionals": (
+        _conditionals,
+        LEDGER + "SELECT address, coalesce(legal,display,address) AS name, nullif(node_type,'regular') AS special, CASE WHEN risk_score >= 75 THEN 'high' WHEN risk_score BETWEEN 40 AND 74.5 THEN 'medium' ELSE 'low' END AS band, node_type IN ('exchange','mixer') AS watched FROM a",
+    ),
+    "f4_rounding": (
+        lambda s, d: _round(_rounding(s, d), "far", "near"),
+        LEDGER + "SELECT hash, round(abs(CAST(value AS DOUBLE)/1e12-50),6) AS far, round(CAST(value AS DOUBLE)/1e12,1) AS near, CAST(value % 1000000000000 AS BIGINT) AS rest, block_number % 7 AS residue FROM t",
+    ),
+    "f5_powers": (
+        lambda s, d: _round(_powers(s, d), "log", "root", "power", "decay"),
+        LEDGER + ", y AS (SELECT from_address, to_address, CAST(total_volume AS DOUBLE)/1e12 AS x, CAST(transfer_count AS DOUBLE) AS n FROM e) SELECT from_address, to_address, round(log10(x+1),6) AS log, round(sqrt(x/n),6) AS root, round(pow(n,1.5),6) AS power, round(exp(-n/10),6) AS decay, CAST(ceil(x/n) AS BIGINT) AS up, CAST(floor(x/n) AS BIGINT) AS down FROM y",
+    ),
+    "f8_time_differences": (
+        lambda s, d: _round(_differences(s, d), "days"),
+        LEDGER + "SELECT hash, round((epoch_us(as_of)-epoch_us(timestamp))/CAST(86400000000 AS DOUBLE),6) AS days, timestamp >= as_of - INTERVAL 7 DAYS AS recent, timestamp + INTERVAL 1 HOUR AS later FROM t, latest_",
+    ),
+    "f10_buckets": (
+        lambda s, d: _t(s, d).groupBy(S.time_bucket(F.col("timestamp")).alias("bucket"), S.block_bucket(F.col("block_number"), 100).alias("blocks")).agg(F.count("*").alias("n")),
+        LEDGER + "SELECT epoch_us(timestamp)//300000000*300 AS bucket, block_number//100*100 AS blocks, count(*) AS n FROM t GROUP BY 1,2",
+    ),
+    "f12_trailing_zeros": (
+        lambda s, d: _t(s, d).select("hash", F.length(F.col("value").cast("string")).alias("digits"), S.trailing_zeros(F.col("value")).alias("zeros")),
+        LEDGER + "SELECT hash, length(CAST(value AS VARCHAR)) AS digits, length(CAST(value AS VARCHAR))-length(rtrim(CAST(value AS VARCHAR),'0')) AS zeros FROM t",
+    ),
+    "f13_regexp": (
+        lambda s, d: _t(s, d).where(F.col("to_address").rlike("^U0+[13579]*$")).select("hash", "to_address", F.regexp_extract("to_address", "0([1-9][0-9]*)$", 1).alias("number")),
+        LEDGER + "SELECT hash, to_address, regexp_extract(to_address,'0([1-9][0-9]*)$',1) AS number FROM t WHERE regexp_matches(to_address,'^U0+[13579]*$')",
+    ),
+    "f15_split": (
+        lambda s, d: _edges(s, d).select(F.concat_ws(" -> ", "from_address", "to_address").alias("path")).select("path", F.split("path", " -> ")[0].alias("head"), F.element_at(F.split("path", " -> "), -1).alias("tail"), F.size(F.split("path", ",")).alias("parts")),
+        LEDGER + "SELECT concat(from_address,' -> ',to_address) AS path, from_address AS head, to_address AS tail, 1 AS parts FROM e",
+    ),
+    "f16_path_arrays": (
+        _paths,
+        LEDGER + ", p AS (SELECT hash, from_address AS x, to_address AS y, 'U000003' IN (from_address,to_address) AS has FROM t) SELECT hash, has, CASE WHEN NOT has THEN concat(x,',',y,',U000003') END AS longer, CASE WHEN NOT has THEN concat(y,',U000003') END AS rest, CASE WHEN NOT has THEN concat(x,'->',y,',',y,'->U000003') END AS edges FROM p",
+    ),
+    "f17_sorted_arrays": (
+        _sorted,
+        "WITH v AS (SELECT l_orderkey, l_linenumber, list_sort([l_quantity, CAST(l_partkey AS DOUBLE), CAST(l_suppkey AS DOUBLE), CAST(l_linenumber AS DOUBLE), l_extendedprice]) AS v FROM lineitem) SELECT l_orderkey, l_linenumber, v[1] AS least, v[2] AS q1, v[4] AS q3, v[4] AS second FROM v",
+    ),
+    "f19_json_groups": (
+        _json_groups,
+        LEDGER + """SELECT block_number//10*10 AS blocks, concat('[',string_agg(concat('{"block":',block_number,',"hash":"',hash,'"}'),',' ORDER BY block_number),']') AS items, concat('[',min(block_number),',',max(block_number),']') AS span, concat('{"n":',count(*),'}') AS object FROM t GROUP BY 1""",
+    ),
+    "f26_key_hashes": (
+        lambda s, d: _edges(s, d).select("from_address", "to_address", F.sha2(F.concat_ws("|", "from_address", "to_address"), 256).alias("key"), F.md5(S.undirected_key(F.col("from_address"), F.col("to_address"))).alias("pair_key")),
+        LEDGER + "SELECT from_address, to_address, sha256(concat(from_address,'|',to_address)) AS key, md5(concat(least(from_address,to_address),'-',greatest(from_address,to_address))) AS pair_key FROM e",
+    ),
 }

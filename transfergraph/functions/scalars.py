@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .times import micros
+
 UNIT = 10**12
 #: Abramowitz and Stegun 7.1.26.
 ERF = (0.254829592, -0.284496736, 1.421413741, -1.453152027, 1.061405429)
@@ -86,3 +88,40 @@ def repair_address(text: Column) -> Column:
 
 def price(value: Column, rate: Column, unit: int = UNIT) -> Column:
     return value.cast("double") / unit * rate
+
+
+def trailing_zeros(amount: Column) -> Column:
+    """How many zeros an amount ends with: round amounts have many."""
+    text = amount.cast("string")
+    return F.length(text) - F.length(F.regexp_replace(text, "0*$", ""))
+
+
+def time_bucket(timestamp: Column, seconds: int = 300) -> Column:
+    """The epoch second at which a timestamp's bucket begins."""
+    return F.floor(micros(timestamp) / (seconds * 1_000_000)) * seconds
+
+
+def block_bucket(block: Column, blocks: int) -> Column:
+    return F.floor(block / blocks) * blocks
+
+
+def extend_path(path: Column, vertex: Column) -> Column:
+    """The path with a vertex at its end; null if the vertex is on it already."""
+    return F.when(~F.array_contains(path, vertex), F.array_append(path, vertex))
+
+
+def path_edges(path: Column) -> Column:
+    """The edges a->b of a path in order; none for a path of one vertex."""
+    tails = F.slice(path, F.lit(1), F.size(path) - 1)
+    return F.zip_with(tails, F.slice(path, F.lit(2), F.size(path) - 1), lambda a, b: F.concat_ws("->", a, b))
+
+
+def index_quantile(values: Column, share: float) -> Column:
+    """The element of the sorted array at place floor(n * share), without interpolation; null for an empty array."""
+    at = F.least(F.floor(F.size(values) * share), F.size(values) - 1).cast("int")
+    return F.when(F.size(values) > 0, F.element_at(F.array_sort(values), at + 1))
+
+
+def top_values(values: Column, n: int) -> Column:
+    """The n largest elements, largest first."""
+    return F.slice(F.sort_array(values, asc=False), 1, n)
