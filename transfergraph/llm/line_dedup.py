@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.cut import materialise
+from ..plans.hot import join_counted
 from .common import DOCUMENT_COLUMNS, table, text_hash
 
 #: Stripped from both ends of a line before it is compared.
@@ -23,15 +24,15 @@ def repeated_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> D
     A line is dropped if its key has at least min_chars code points and is found in at least min_docs documents, unless the
     document has the largest doc_id that holds the key. Rows with a null doc_id count as one document below all others.
     Only 96-bit hashes of long enough lines are shuffled, never the text. Distinct (key, document) pairs are formed before keys are
-    counted, so that a key of a third of all documents is spread over all tasks.
+    counted, so that a key of a third of all documents is spread over all tasks; the rows of such keys then meet a bounded broadcast.
     """
     split = docs.select(
         F.coalesce("doc_id", F.lit(-(2**63))).alias("doc"), text_hash().alias("text_hash"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("pos", "line")
     ).select("doc", "text_hash", "pos", line_key(F.col("line")).alias("key"))
     lines = materialise(split.where(F.char_length("key") >= min_chars).select("doc", "text_hash", "pos", F.xxhash64("key").alias("h"), F.hash("key").alias("g")))
-    pairs = lines.groupBy("h", "g", "doc").agg(F.lit(1).alias("one"))
-    often = pairs.groupBy("h", "g").agg(F.count("*").alias("n"), F.max("doc").alias("last")).where(F.col("n") >= min_docs).select("h", "g", "last")
-    gone = lines.join(often, ["h", "g"]).where("doc <> last")
+    pairs = lines.groupBy("h", "g", "doc").agg(F.count("*").alias("c"))
+    often = pairs.groupBy("h", "g").agg(F.sum("c").alias("rows"), F.count("*").alias("n"), F.max("doc").alias("last")).where(F.col("n") >= min_docs).select("h", "g", "rows", "last")
+    gone = join_counted(lines, often, ["h", "g"], "rows").where("doc <> last")
     return gone.groupBy(F.nullif("doc", F.lit(-(2**63))).alias("doc_id"), "text_hash").agg(F.array_sort(F.collect_set("pos")).alias("drop"))
 
 
