@@ -13,6 +13,7 @@ from xxhash import xxh64_intdigest
 
 from ..plans.components import connected_components
 from ..plans.cut import materialise
+from ..plans.hot import join_counted
 from .common import DOCUMENT_COLUMNS, map_rows, table, text_hash
 
 #: Shingles that are counted at a time, so that a very long text takes bounded memory.
@@ -173,15 +174,18 @@ def near_duplicates(docs: DataFrame, bits: int = 3) -> DataFrame:
 
     Texts that are null or have no words have fingerprint 0 and are linked to each other like any. Rows with the same doc_id or none
     are rows of their own; component_id is null only if no row of the component has a doc_id. An empty table gives no rows.
-    Fingerprints are made distinct first, so a large group of equal texts is one node.
+    Fingerprints are made distinct first, so a large group of equal texts is one node; fingerprints and components with a great share
+    of the rows meet a bounded broadcast instead of a shuffle.
     """
     signed = materialise(fingerprints(docs))
-    distinct = signed.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    distinct = signed.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
     groups = connected_components(near_links(distinct.select("fp"), bits))
-    named = materialise(distinct.join(groups.select(F.col("node").alias("fp"), "component"), "fp", "left").select("fp", "least", "component"))
-    whole = named.where("component is not null").groupBy("component").agg(F.min("least").alias("whole"))
-    ids = named.join(whole, "component", "left").select("fp", F.coalesce("whole", "least").alias("component_id"))
-    return signed.join(ids, "fp").select("doc_id", "text_hash", "fp", "component_id")
+    named = materialise(distinct.join(groups.select(F.col("node").alias("fp"), "component"), "fp", "left").select("fp", "least", "n", "component"))
+    linked = named.where("component is not null")
+    whole = linked.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("fps"))
+    ids = join_counted(linked, whole, ["component"], "fps").select("fp", "n", "component_id")
+    ids = ids.unionByName(named.where("component is null").select("fp", "n", F.col("least").alias("component_id")))
+    return join_counted(signed, ids, ["fp"], "n").select("doc_id", "text_hash", "fp", "component_id")
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
