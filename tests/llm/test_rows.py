@@ -176,6 +176,12 @@ def test_one_of_each_group_stays(spark, make, prose):
     assert sorted(r.doc_id for r in out.collect()) == [3, 4, 9]
 
 
+def test_components_without_a_doc_id_or_with_a_common_one_keep_a_row_each(spark, make, prose):
+    a, b, c, d, e = (prose(200, k) for k in range(1, 6))
+    out = simhash.stage(spark, make([(None, a), (None, a), (None, b), (None, c), (7, c), (5, d), (5, e), (6, d), (8, e)]), "")
+    assert sorted((str(r.doc_id), r.text) for r in out.collect()) == sorted([("None", a), ("None", b), ("7", c), ("5", d), ("5", e)])
+
+
 # substring dedup
 
 

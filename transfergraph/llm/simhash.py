@@ -170,7 +170,9 @@ def near_links(distinct: DataFrame, bits: int = 3) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, bits: int = 3) -> DataFrame:
-    """(doc_id, text_hash, fp, component_id) of every row; component_id is the smallest doc_id linked to it, directly or through others.
+    """(doc_id, text_hash, fp, component, component_id) of every row; component_id is the smallest doc_id linked to it, directly or through others.
+
+    component is the least fingerprint of the component and names it; component_id does not, as doc_ids may be null or repeat.
 
     Texts that are null or have no words have fingerprint 0 and are linked to each other like any. Rows with the same doc_id or none
     are rows of their own; component_id is null only if no row of the component has a doc_id. An empty table gives no rows.
@@ -183,9 +185,9 @@ def near_duplicates(docs: DataFrame, bits: int = 3) -> DataFrame:
     named = materialise(distinct.join(groups.select(F.col("node").alias("fp"), "component"), "fp", "left").select("fp", "least", "n", "component"))
     linked = named.where("component is not null")
     whole = linked.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("fps"))
-    ids = join_counted(linked, whole, ["component"], "fps").select("fp", "n", "component_id")
-    ids = ids.unionByName(named.where("component is null").select("fp", "n", F.col("least").alias("component_id")))
-    return join_counted(signed, ids, ["fp"], "n").select("doc_id", "text_hash", "fp", "component_id")
+    ids = join_counted(linked, whole, ["component"], "fps").select("fp", "n", "component", "component_id")
+    ids = ids.unionByName(named.where("component is null").select("fp", "n", F.col("fp").alias("component"), F.col("least").alias("component_id")))
+    return join_counted(signed, ids, ["fp"], "n").select("doc_id", "text_hash", "fp", "component", "component_id")
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -194,11 +196,12 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each component stays: one with the component's smallest doc_id."""
+    """One row of each component stays: one with the component's smallest doc_id, or if none has a doc_id one with the least text hash."""
     from pyspark.sql import Window
 
-    first = near_duplicates(docs).where("doc_id <=> component_id").groupBy("component_id").agg(F.min("text_hash").alias("_hash"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash"))
+    first = near_duplicates(docs).groupBy("component").agg(F.min(order).alias("at")).select("at._doc", "at._hash")
     rows = docs.select(*DOCUMENT_COLUMNS).withColumn("_row", text_hash())
-    kept = rows.join(first, F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("_row") == F.col("_hash")), "left_semi")
+    kept = rows.join(first, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_row") == F.col("_hash")), "left_semi")
     once = kept.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id", "_row").orderBy("source", "lang")))
     return once.where("_n = 1").select(*DOCUMENT_COLUMNS)
