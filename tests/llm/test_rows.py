@@ -182,6 +182,35 @@ def test_components_without_a_doc_id_or_with_a_common_one_keep_a_row_each(spark,
     assert sorted((str(r.doc_id), r.text) for r in out.collect()) == sorted([("None", a), ("None", b), ("7", c), ("5", d), ("5", e)])
 
 
+def test_stage_drops_copies_of_similarity_0_8(spark, make, prose):
+    """Copies with edits all over, against brute force on five-word shingles."""
+    rows = []
+    for g in range(12):
+        base = prose(200, 700 + g).split()
+        rows.append((1000 * g, " ".join(base)))
+        for c in range(1, 6):
+            words, r = list(base), random.Random(100 * g + c)
+            for at in r.sample(range(200), c):
+                words[at] = f"edit{r.random()}"
+            rows.append((1000 * g + c, " ".join(words)))
+    rows += [(50_000, "two words"), (50_001, "Two  words"), (50_002, ""), (50_003, None)]
+    shingled = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for w in ((t or "").lower().split() for _, t in rows)]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, x in enumerate(shingled):
+        for j, y in enumerate(shingled[:i]):
+            if len(x & y) >= 0.8 * len(x | y):
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    want = sorted(rows[k][0] for k in range(len(rows)) if find(k) == k)
+    assert len(want) < 50
+    assert sorted(r.doc_id for r in simhash.stage(spark, make(rows), "").collect()) == want
+
+
 # substring dedup
 
 

@@ -15,6 +15,7 @@ from ..plans.components import connected_components
 from ..plans.cut import materialise
 from ..plans.hot import join_counted
 from .common import DOCUMENT_COLUMNS, map_rows, table, text_hash
+from .near_texts import near_texts
 
 #: Shingles that are counted at a time, so that a very long text takes bounded memory.
 SHINGLES_AT_ONCE = 65536
@@ -196,12 +197,16 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each component stays: one with the component's smallest doc_id, or if none has a doc_id one with the least text hash."""
+    """One row of each component of similar texts (see near_texts) stays: one with its smallest doc_id, or if none has one with the least text hash.
+
+    A pair is linked at a Jaccard similarity of 0.8 or more on five-word shingles; the fingerprints of op3, within three bits, miss most of these.
+    """
     from pyspark.sql import Window
 
-    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash"))
-    first = near_duplicates(docs).groupBy("component").agg(F.min(order).alias("at")).select("at._doc", "at._hash")
     rows = docs.select(*DOCUMENT_COLUMNS).withColumn("_row", text_hash())
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("_doc"), F.col("_row").alias("_hash"))
+    each = rows.groupBy(F.col("_row").alias("h")).agg(F.min(order).alias("at"))
+    first = each.join(near_texts(docs), "h", "left").groupBy(F.coalesce("component", "h")).agg(F.min("at").alias("at")).select("at._doc", "at._hash")
     kept = rows.join(first, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_row") == F.col("_hash")), "left_semi")
     once = kept.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id", "_row").orderBy("source", "lang")))
     return once.where("_n = 1").select(*DOCUMENT_COLUMNS)
