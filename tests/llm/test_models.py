@@ -166,3 +166,17 @@ def test_quality_edges(make, prose):
     got = weak_quality.classify(docs).collect()
     assert len(got) == 7 and all(0 <= r.score <= 1 for r in got)
     assert weak_quality.classify(docs.limit(0)).count() == 0
+
+
+def test_models_are_fitted_on_whole_texts(spark, make, prose, monkeypatch):
+    text = f"{prose(25_000, 1)} insidemiddle {prose(25_000, 2)}"
+    assert text.index("insidemiddle") > 100_000 and len(text) - text.index("insidemiddle") > 100_000
+    docs, got = make([(k, f"{text} {k}") for k in range(4)]), {}
+    monkeypatch.setattr(weak_quality, "fit_scorer", lambda rows: got.update(quality=rows) or (np.zeros(1 << weak_quality.BITS, np.float32), 0.0))
+    monkeypatch.setattr(toxicity, "fit_ftrl", lambda rows: got.update(toxic=rows) or (np.zeros(1 << toxicity.BITS, np.float32), 0.0))
+    weak_quality.classify(docs)
+    toxicity.fit(docs, spark.createDataFrame([(k, 1) for k in range(4)], "doc_id long, toxic int"))
+    whole = [f"{text} {k}".encode() for k in range(4)]
+    assert sorted(r[0].tolist() for r in got["quality"]) == sorted(weak_quality.features(t)[0].tolist() for t in whole)
+    known = [np.unique(toxicity.features(t)).tolist() for t in whole]
+    assert got["toxic"] and all(r[0].tolist() in known for r in got["toxic"])

@@ -14,8 +14,6 @@ from .common import map_rows, table
 BITS = 20
 #: The model is fitted on so many labelled rows at most, those with the smallest seeded hash of doc_id.
 FIT_ROWS = 12_000
-#: Of a row that is fitted on, at most so many bytes are read, from its start and end; every scored text is read whole.
-FIT_BYTES = 200_000
 _spaced = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
 
 
@@ -58,13 +56,13 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, seed: int
     """(places, weights, bias), places being those of the weights that are not 0.
 
     labels: doc_id, toxic. Only rows outside held_out() are used; of a document with several labels the largest; null labels and
-    texts are left out. No labelled row: no weights, and a bias of 0.
+    texts are left out. Whole texts are read; only their distinct places (2^20 a row at most) reach the driver. No labelled row: no weights, and a bias of 0.
     """
     known = labels.where(~held_out() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("y"))
     sample = known.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(fit_rows)
-    text = F.when(F.octet_length("text") <= FIT_BYTES, F.col("text")).otherwise(F.concat(F.substring("text", 1, FIT_BYTES // 2), F.lit(" "), F.substring("text", -(FIT_BYTES // 2), FIT_BYTES // 2)))
-    got = docs.where("text is not null").select("doc_id", text.cast("binary").alias("text")).join(sample, "doc_id").select("text", "y", F.xxhash64("doc_id", "text").alias("h"))
-    rows = sorted(((r.h, np.unique(features(r.text)), float(r.y)) for r in got.toLocalIterator()), key=lambda r: r[0])
+    got = docs.where("text is not null").select("doc_id", F.col("text").cast("binary").alias("text")).join(sample, "doc_id").select(F.xxhash64("doc_id", "text").alias("h"), F.col("y").cast("double"), "text")
+    found = map_rows(got, [F.col("h"), F.col("y"), F.col("text")], lambda h, y, t: (h, y, np.unique(features(t)).astype(np.int32).tobytes()), "h long, y double, at binary")
+    rows = sorted(((r.h, np.frombuffer(r.at, np.int32), r.y) for r in found.toLocalIterator()), key=lambda r: r[0])
     if not rows:
         return np.empty(0, np.int64), np.empty(0, np.float32), 0.0
     w, b = fit_ftrl([(x, y) for _, x, y in rows])

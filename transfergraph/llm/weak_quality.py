@@ -29,7 +29,6 @@ LABELLERS = (
 BITS = 18
 #: The scorer is fitted on so many rows at most, those with the smallest seeded hash of the text.
 FIT_ROWS = 6000
-FIT_BYTES = 20_000
 
 
 def numbers_of(text: str | None) -> list[float]:
@@ -118,7 +117,8 @@ def classify(docs: DataFrame, fit_rows: int = FIT_ROWS, threshold: float = 0.5,
     """(doc_id, score, kept) of every row; score is the linear scorer's, kept is score >= threshold.
 
     The labellers vote on every whole text; the number of rows with each pattern of votes, of which there are 3^9 at most, is all that
-    reaches the driver for the estimate. The scorer is fitted on a bounded sample and then applied to every whole text. Null and empty
+    reaches the driver for the estimate. The scorer is fitted on the whole texts of a bounded sample, of which only the distinct places
+    (2^18 a row at most) reach the driver, and then applied to every whole text. Null and empty
     texts have votes and a score like any; repeated rows each give a row; an empty table gives no rows.
     """
     spark = docs.sparkSession
@@ -128,8 +128,14 @@ def classify(docs: DataFrame, fit_rows: int = FIT_ROWS, threshold: float = 0.5,
     posterior = expect(pattern, count)[0] if len(pattern) else np.empty(0)
     known = dict(zip(pattern.tolist(), posterior.tolist(), strict=True))
     first = votes.groupBy("h").agg(F.min("votes").alias("votes")).orderBy(F.xxhash64(F.lit(seed), "h"), "h").limit(fit_rows)
-    sample = docs.select(text_hash().alias("h"), F.substring(F.col("text").cast("binary"), 1, FIT_BYTES).alias("text")).where("text is not null").join(first, "h").dropDuplicates(["h"])
-    rows = sorted(((r.h, *features(bytes(r.text)), known[r.votes]) for r in sample.toLocalIterator()), key=lambda r: r[0])
+    sample = docs.select(text_hash().alias("h"), F.col("text").cast("binary").alias("text")).where("text is not null").join(first, "h").dropDuplicates(["h"])
+
+    def places(h: int, votes: int, text: bytes) -> tuple:
+        at, x = features(text)
+        return h, votes, at.astype(np.int32).tobytes(), x.tobytes()
+
+    found = map_rows(sample, [F.col("h"), F.col("votes"), F.col("text")], places, "h long, votes int, at binary, x binary")
+    rows = sorted(((r.h, np.frombuffer(r.at, np.int32), np.frombuffer(r.x), known[r.votes]) for r in found.toLocalIterator()), key=lambda r: r[0])
     sent = spark.sparkContext.broadcast(fit_scorer([r[1:] for r in rows]))
 
     def of_row(doc_id: int | None, text: bytes | None) -> tuple:
