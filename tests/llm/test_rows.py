@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from tests.oracle import compare
-from transfergraph.llm import decontam, line_dedup, mixing, quality_rules, queries, simhash, substring_dedup
+from transfergraph.llm import decontam, line_dedup, mixing, near_texts, quality_rules, queries, simhash, substring_dedup
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -172,13 +172,13 @@ def test_links_of_dense_and_hot_groups(spark, monkeypatch, limit):
 
 def test_one_of_each_group_stays(spark, make, prose):
     a, b = prose(200, 1), prose(200, 2)
-    out = simhash.stage(spark, make([(5, a), (3, a), (9, b), (9, b), (4, None), (6, "")]), "")
+    out = near_texts.stage(spark, make([(5, a), (3, a), (9, b), (9, b), (4, None), (6, "")]), "")
     assert sorted(r.doc_id for r in out.collect()) == [3, 4, 9]
 
 
 def test_components_without_a_doc_id_or_with_a_common_one_keep_a_row_each(spark, make, prose):
     a, b, c, d, e = (prose(200, k) for k in range(1, 6))
-    out = simhash.stage(spark, make([(None, a), (None, a), (None, b), (None, c), (7, c), (5, d), (5, e), (6, d), (8, e)]), "")
+    out = near_texts.stage(spark, make([(None, a), (None, a), (None, b), (None, c), (7, c), (5, d), (5, e), (6, d), (8, e)]), "")
     assert sorted((str(r.doc_id), r.text) for r in out.collect()) == sorted([("None", a), ("None", b), ("7", c), ("5", d), ("5", e)])
 
 
@@ -208,7 +208,7 @@ def test_stage_drops_copies_of_similarity_0_8(spark, make, prose):
                 root[max(find(i), find(j))] = min(find(i), find(j))
     want = sorted(rows[k][0] for k in range(len(rows)) if find(k) == k)
     assert len(want) < 50
-    assert sorted(r.doc_id for r in simhash.stage(spark, make(rows), "").collect()) == want
+    assert sorted(r.doc_id for r in near_texts.stage(spark, make(rows), "").collect()) == want
 
 
 # substring dedup

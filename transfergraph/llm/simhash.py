@@ -14,35 +14,37 @@ from xxhash import xxh64_intdigest
 from ..plans.components import connected_components
 from ..plans.cut import materialise
 from ..plans.hot import join_counted
-from .common import DOCUMENT_COLUMNS, map_rows, table, text_hash
-from .near_texts import near_texts
+from .common import map_rows, table, text_hash
 
-#: Shingles that are counted at a time, so that a very long text takes bounded memory.
-SHINGLES_AT_ONCE = 65536
+#: Shingles that are counted at a time: bounded memory for a very long text, and sums that fit a byte.
+SHINGLES_AT_ONCE = 255
 #: A block's group of more fingerprints than this is dealt out over several tasks.
-GROUP_LIMIT = 50_000
+GROUP_LIMIT = 500_000
 #: Node pairs of the trie join that are looked at together.
 PAIRS_AT_ONCE = 1 << 17
 LOW48 = np.uint64((1 << 48) - 1)
 
 
-def fingerprint(text: bytes | None, words_in_shingle: int = 3, seed: int = 42) -> int:
-    """The SimHash of a text as a signed 64-bit integer: a bit is 1 if set in over half of the shingles' hashes; no words: 0."""
+def shingle_hashes(text: bytes | None, words_in_shingle: int = 3, seed: int = 42) -> np.ndarray:
+    """XXH64 of the text's word shingles without case, repeats included; fewer words make one shingle, none no shingle."""
     words = (text or b"").lower().split()
-    if not words:
-        return 0
     if len(words) < words_in_shingle:
-        hashed = np.array([xxh64_intdigest(b" ".join(words), seed)], np.uint64)
-        shingles = 1
-    else:
-        shingles = len(words) - words_in_shingle + 1
-        parts = [words[k : k + shingles] for k in range(words_in_shingle)]
-        hashed = np.fromiter(map(xxh64_intdigest, map(b" ".join, zip(*parts, strict=True)), repeat(seed)), np.uint64, shingles)
+        return np.array([xxh64_intdigest(b" ".join(words), seed)] if words else [], np.uint64)
+    n = len(words) - words_in_shingle + 1
+    parts = [words[k : k + n] for k in range(words_in_shingle)]
+    return np.fromiter(map(xxh64_intdigest, map(b" ".join, zip(*parts, strict=True)), repeat(seed)), np.uint64, n)
+
+
+def fold(hashed: np.ndarray) -> int:
+    """The SimHash as a signed 64-bit integer: a bit is 1 if set in over half of the hashes; of none it is 0."""
     counts = np.zeros(64, np.int64)
-    for k in range(0, shingles, SHINGLES_AT_ONCE):
-        part = hashed[k : k + SHINGLES_AT_ONCE]
-        counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(counts * 2 > shingles, bitorder="little").view(np.int64)[0])
+    for k in range(0, len(hashed), SHINGLES_AT_ONCE):
+        counts += np.unpackbits(hashed[k : k + SHINGLES_AT_ONCE].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint8)
+    return int(np.packbits(counts * 2 > len(hashed), bitorder="little").view(np.int64)[0])
+
+
+def fingerprint(text: bytes | None, words_in_shingle: int = 3, seed: int = 42) -> int:
+    return fold(shingle_hashes(text, words_in_shingle, seed))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -194,19 +196,3 @@ def near_duplicates(docs: DataFrame, bits: int = 3) -> DataFrame:
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_duplicates(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each component of similar texts (see near_texts) stays: one with its smallest doc_id, or if none has one with the least text hash.
-
-    A pair is linked at a Jaccard similarity of 0.8 or more on five-word shingles; the fingerprints of op3, within three bits, miss most of these.
-    """
-    from pyspark.sql import Window
-
-    rows = docs.select(*DOCUMENT_COLUMNS).withColumn("_row", text_hash())
-    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("_doc"), F.col("_row").alias("_hash"))
-    each = rows.groupBy(F.col("_row").alias("h")).agg(F.min(order).alias("at"))
-    first = each.join(near_texts(docs), "h", "left").groupBy(F.coalesce("component", "h")).agg(F.min("at").alias("at")).select("at._doc", "at._hash")
-    kept = rows.join(first, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_row") == F.col("_hash")), "left_semi")
-    once = kept.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id", "_row").orderBy("source", "lang")))
-    return once.where("_n = 1").select(*DOCUMENT_COLUMNS)
