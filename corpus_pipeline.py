@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from transfergraph.llm import decontam, line_dedup, mixing, quality_rules, simhash
+from transfergraph.llm import decontam, line_dedup, mixing, near_texts, quality_rules
 from transfergraph.llm.common import table
 from transfergraph.plans.cut import materialise
 
@@ -12,7 +12,7 @@ from transfergraph.plans.cut import materialise
 STAGES = [
     ("quality_rules", quality_rules.stage),
     ("line_dedup", line_dedup.stage),
-    ("near_duplicates", simhash.stage),
+    ("near_duplicates", near_texts.stage),
     ("decontaminate", decontam.stage),
     ("mix", mixing.stage),
 ]

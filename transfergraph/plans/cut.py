@@ -28,4 +28,15 @@ def materialise(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
+
+
+def drop(df: DataFrame) -> None:
+    """Delete the table behind a DataFrame that materialise() returned, once nothing reads it any more; others are left alone."""
+    path = getattr(df, "_cut_path", None)
+    if path:
+        jvm, session = df.sparkSession._jvm, df.sparkSession._jsparkSession
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(session.sessionState().newHadoopConf()).delete(at, True)
