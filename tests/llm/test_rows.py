@@ -334,3 +334,19 @@ def test_pipeline(spark, tmp_path, make, prose):
 def test_kept_text_is_a_sha256_of_utf8(make):
     out = line_dedup.dedup_lines(make([(1, "é\nß")])).select(F.sha2(F.col("clean").cast("binary"), 256).alias("s")).first().s
     assert out == hashlib.sha256("é\nß".encode()).hexdigest()
+
+
+def test_phrases_are_whole_words():
+    for line in ("The design in question took nine years to finish.", "They wrote a blog in the village and read it aloud.", "A catalog in the shop lists every plant and its price."):
+        assert not quality_rules.line_fails(line)
+    assert quality_rules.line_fails("Please sign in to read this page.") and quality_rules.line_fails("Log in or subscribe.")
+
+
+@pytest.mark.parametrize("columns", [60, 72, 80])
+def test_hard_wrapped_prose_stays(prose, columns):
+    import textwrap
+
+    text = "\n".join(textwrap.wrap(prose(400, columns), columns))
+    judged = quality_rules.judge(text)
+    assert judged[6] and judged[9] == judged[1]
+    assert quality_rules.line_fails("A heading of some words that is long enough", "Then a sentence begins.") and quality_rules.line_fails("home page", "about us")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from unicodedata import category
 
 import numpy as np
 import pandas as pd
@@ -16,18 +17,21 @@ SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\x0b\x0c\r"
 #: The marks that stand between the entries of a menu, and phrases of page furniture.
 SEPARATORS = frozenset({"|", "»", "›", "·", "•", ">", "/"})
-PHRASES = "cookies|privacy policy|terms of (use|service)|all rights reserved|copyright|enable javascript|click here|sign (in|up)|log ?in|subscribe|newsletter|read more|share this|skip to (main )?content|powered by|lorem ipsum"
+PHRASES = r"\b(cookies|privacy policy|terms of (use|service)|all rights reserved|copyright|enable javascript|click here|sign (in|up)|log ?in|subscribe|newsletter|read more|share this|skip to (main )?content|powered by|lorem ipsum)\b"
 ENDS = "[.!?:;…。！？][\"'”’»)\\]]*$"
 INNER = r"[.!?…][\x20\x09-\x0D]"
+#: A line of so many code points or more that a lower-case letter follows on the next line is wrapped prose: its end is not judged.
+WRAPPED = 40
 _phrases, _ends, _inner, _symbol = re.compile(PHRASES, re.I | re.A), re.compile(ENDS), re.compile(INNER), re.compile("[#*$%&|<>]")
 
 
-def line_fails(line: str) -> bool:
-    """Whether a line with a word breaks a rule.
+def line_fails(line: str, after: str = "") -> bool:
+    """Whether a line with a word breaks a rule; after is the next line.
 
     Navigation: two or more separators with three words or fewer between them on average. Symbols: over a third of three or more
-    words hold one of SYMBOLS. Punctuation: no sentence end at the line's end and either under 10 words or no sentence end within;
-    or over half of eight or more words end in an exclamation mark. Boilerplate: a phrase of page furniture in 40 words or fewer.
+    words hold one of SYMBOLS. Punctuation: no sentence end at the line's end and either under 10 words or no sentence end within,
+    unless the line is wrapped (WRAPPED code points or more, and the next line goes on with a lower-case letter); or over half of
+    eight or more words end in an exclamation mark. Boilerplate: a phrase of page furniture, as whole words, in 40 words or fewer.
     """
     line = line.strip(BLANKS)
     words = line.encode().split()
@@ -41,7 +45,9 @@ def line_fails(line: str) -> bool:
         if n >= 3 and 3 * sum(_symbol.search(w.decode()) is not None for w in words) > n:
             return True
     if not _ends.search(line) and (n < 10 or not _inner.search(line)):
-        return True
+        goes_on = after.strip(BLANKS)[:1]
+        if len(line) < WRAPPED or not goes_on or category(goes_on) != "Ll":
+            return True
     if n >= 8 and "!" in line and 2 * sum(w.endswith(b"!") for w in words) > n:
         return True
     return n <= 40 and _phrases.search(line) is not None
@@ -78,12 +84,12 @@ def judge(text: str | None, min_words: int = 50, max_repeat: float = 0.5, max_lo
     dup = failed = 0
     clean, left = [], 0
     lines = text.split("\n")
-    for line in lines:
+    for line, after in zip(lines, [*lines[1:], ""], strict=True):
         bare = line.strip(BLANKS)
         if bare:
             dup += line in seen
             seen.add(line)
-            if line_fails(bare):
+            if line_fails(bare, after):
                 failed += 1
                 continue
             left += len(bare) - sum(map(bare.count, BLANKS))
@@ -93,25 +99,30 @@ def judge(text: str | None, min_words: int = 50, max_repeat: float = 0.5, max_lo
     return len(words), chars, sum(map(text.count, SYMBOLS)), dup, repeats, base, not base and left >= (1 - max_lost) * chars, len(lines), failed, left, "\n".join(clean)
 
 
-def apply_rules(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    """The columns keep of docs (default doc_id) with the counts, verdicts and cleaned text of judge().
+def apply_rules(docs: DataFrame, keep: list[str] | None = None, with_text: bool = True) -> DataFrame:
+    """The columns keep of docs (default doc_id) with the counts and verdicts of judge(), and with_text the cleaned text.
 
     Every row is judged by itself, so ties, repeated rows and null ids need no rule; a null text counts as empty and fails for having
     too few words; other columns are not read. One pass, no shuffle.
     """
     names = ["doc_id"] if keep is None else keep
     kinds = dict(docs.select(*names).dtypes)
-    schema = ", ".join(f"{n} {kinds[n]}" for n in names) + (
-        ", n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, n_lines long, n_failed_lines long, chars_left long, clean string"
-    )
-    return map_rows(docs, [F.col("text").alias("_text"), *names], lambda text, *own: (*own, *judge(text)), schema)
+    schema = ", ".join(f"{n} {kinds[n]}" for n in names)
+    schema += ", n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, n_lines long, n_failed_lines long, chars_left long"
+    upto = None if with_text else -1
+    return map_rows(docs, [F.col("text").alias("_text"), *names], lambda text, *own: (*own, *judge(text)[:upto]), schema + (", clean string" if with_text else ""))
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return apply_rules(table(spark, sf_dir, "documents")).drop("clean")
+    return apply_rules(table(spark, sf_dir, "documents"), with_text=False)
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents columns of each row that is kept, with its failed lines cut out of the text and n_chars counted anew.
+
+    Rows are judged one by one: null ids, repeated rows and ties need no rule, a null text goes (too few words), an empty table gives no
+    rows, columns beyond those of documents are dropped.
+    """
     out = apply_rules(docs, ["doc_id", "lang", "source"]).where("kept")
     return out.select("doc_id", F.col("clean").alias("text"), "lang", "source", F.char_length("clean").cast("long").alias("n_chars")).select(*DOCUMENT_COLUMNS)
 
@@ -123,14 +134,14 @@ base AS (SELECT r, count(*) AS n_words, sum(length(word)) AS word_chars FROM w G
 tri AS (SELECT r, p, word AS a, lead(word) OVER o AS b, lead(word, 2) OVER o AS c FROM w WINDOW o AS (PARTITION BY r ORDER BY p)),
 often AS (SELECT r, p FROM (SELECT r, p, count(*) OVER (PARTITION BY r, a, b, c) AS n FROM tri WHERE c IS NOT NULL) WHERE n > 1),
 rep AS (SELECT r, count(DISTINCT p + k) AS n_repeat_words FROM often, (VALUES (0), (1), (2)) v(k) GROUP BY r),
-l AS (SELECT r, line, row_number() OVER (PARTITION BY r, line ORDER BY p) AS nth, trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare
+l AS (SELECT r, line, row_number() OVER (PARTITION BY r, line ORDER BY p) AS nth, lead(line) OVER (PARTITION BY r ORDER BY p) AS after, trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare
       FROM (SELECT r, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS p FROM d)),
 s AS (SELECT *, regexp_extract_all(bare, '[^\x20\x09-\x0D]+') AS ws FROM l),
 c AS (SELECT *, len(ws) AS n, len(list_filter(ws, lambda x: x IN ('|', '»', '›', '·', '•', '>', '/'))) AS seps, len(list_filter(ws, lambda x: regexp_matches(x, '[#*$%&|<>]'))) AS syms,
       len(list_filter(ws, lambda x: x LIKE '%!')) AS bangs, length(array_to_string(ws, '')) AS chars FROM s),
 f AS (SELECT *, n > 0 AND ((seps >= 2 AND n - seps <= 3 * (seps + 1)) OR (n >= 3 AND 3 * syms > n)
-      OR (NOT regexp_matches(bare, '{ENDS.replace("'", "''")}') AND (n < 10 OR NOT regexp_matches(bare, '[.!?…][\x20\x09-\x0D]')))
-      OR (n >= 8 AND 2 * bangs > n) OR (n <= 40 AND regexp_matches(bare, '(?i)({PHRASES})'))) AS bad FROM c),
+      OR (NOT regexp_matches(bare, '{ENDS.replace("'", "''")}') AND (n < 10 OR NOT regexp_matches(bare, '[.!?…][\x20\x09-\x0D]')) AND NOT (length(bare) >= {WRAPPED} AND regexp_matches(coalesce(after, ''), '^[\x20\x09-\x0D]*\p{{Ll}}')))
+      OR (n >= 8 AND 2 * bangs > n) OR (n <= 40 AND regexp_matches(bare, '(?i){PHRASES}'))) AS bad FROM c),
 lines AS (SELECT r, count(*) AS n_lines, count(*) FILTER (WHERE bad) AS n_failed_lines, count(*) FILTER (WHERE n > 0 AND nth > 1) AS n_dup_lines,
       coalesce(sum(chars) FILTER (WHERE NOT bad), 0) AS chars_left FROM f GROUP BY r),
 v AS (SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, n_dup_lines,
