@@ -27,8 +27,12 @@ def features(text: bytes | None) -> np.ndarray:
     return ((np.concatenate((h, two, skip)) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - BITS)).astype(np.int64)
 
 
-def fit_ftrl(rows: list[tuple[np.ndarray, float]], alpha: float = 1.0, beta: float = 1.0, l1: float = 15.0, l2: float = 0.01, epochs: int = 6, seed: int = 42) -> tuple[np.ndarray, float]:
-    """(weights, bias) from (distinct features, label) rows: per-coordinate rates, L1 keeps a coordinate at 0 until its evidence is over l1."""
+def fit_ftrl(rows: list[tuple[np.ndarray, float]], alpha: float = 1.0, beta: float = 1.0, l1: float | None = None, l2: float = 0.01, epochs: int = 6, seed: int = 42) -> tuple[np.ndarray, float]:
+    """(weights, bias) from (distinct features, label) rows: per-coordinate rates, L1 keeps a coordinate at 0 until its evidence is over l1.
+
+    By default l1 grows with the square root of the rows, as the noise of a coordinate's evidence does: 15 at FIT_ROWS.
+    """
+    l1 = 15.0 * (len(rows) / FIT_ROWS) ** 0.5 if l1 is None else l1
     z, n = np.zeros(1 << BITS), np.zeros(1 << BITS)
     zb, nb = 0.0, 0.0
     order = np.random.default_rng(seed)
@@ -49,14 +53,16 @@ def fit_ftrl(rows: list[tuple[np.ndarray, float]], alpha: float = 1.0, beta: flo
 
 
 def held_out(column: str = "doc_id", parts: int = 4, part: int = 2):
-    return F.pmod(F.crc32(F.col(column).cast("string")), F.lit(parts)) == part
+    """Whether the row is outside the fit; false for a null id."""
+    return F.coalesce(F.pmod(F.crc32(F.col(column).cast("string")), F.lit(parts)) == part, F.lit(False))
 
 
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, seed: int = 42) -> tuple[np.ndarray, np.ndarray, float]:
     """(places, weights, bias), places being those of the weights that are not 0.
 
     labels: doc_id, toxic. Only rows outside held_out() are used; of a document with several labels the largest; null labels and
-    texts are left out. Whole texts are read; only their distinct places (2^20 a row at most) reach the driver. No labelled row: no weights, and a bias of 0.
+    texts and labels without a doc_id are left out. Whole texts are read; only their distinct places reach the driver, as packed 32-bit
+    numbers. Rows that are alike count each; the order of fitting goes by a hash of id and text. No labelled row: no weights, and a bias of 0.
     """
     known = labels.where(~held_out() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("y"))
     sample = known.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(fit_rows)
@@ -71,7 +77,10 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, seed: int
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], threshold: float = 0.3) -> DataFrame:
-    """(doc_id, score, predicted) of every whole text; a null or empty one has the score of the bias alone. Broadcast: 2^20 weights at most."""
+    """(doc_id, score, predicted) of every whole text; a null or empty one has the score of the bias alone. Broadcast: 2^20 weights at most.
+
+    Rows are scored one by one, so repeated rows, ties and null ids need no rule; an empty table gives no rows; columns beyond doc_id and text are not read.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model)
     dense: dict[int, np.ndarray] = {}
 
