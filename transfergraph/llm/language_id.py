@@ -15,8 +15,10 @@ WINDOW = 256
 WIDTHS, FILTERS, EMBED = (3, 4, 5), 24, 8
 #: The network is fitted on so many windows of each language at most, one from each of the rows with the smallest seeded hash.
 FIT_ROWS = 1500
-#: Languages it can learn, the most frequent first; the bound keeps the fitted sample bounded.
-MAX_LANGUAGES = 200
+#: Windows of all languages together, at most: with over 200 languages each gets fewer than FIT_ROWS. The driver holds 256 bytes of each.
+FIT_WINDOWS = 300_000
+#: Each of so many tasks finds a language's smallest hashes, so no task sorts a whole language.
+PARTS = 16
 #: Windows that go through the network together.
 BATCH = 64
 LETTER = re.compile(r"[^\W\d_]")
@@ -115,23 +117,26 @@ def windows_of(text: bytes) -> np.ndarray:
 def fit(docs: DataFrame, train_rows, fit_rows: int = FIT_ROWS, epochs: int = 6, rate: float = 3e-3, seed: int = 42) -> Network | None:
     """A network for the languages of the rows where train_rows holds; null texts, texts without bytes and null lang are left out; None if no row is left.
 
-    The sample is bounded: from each of fit_rows rows of a language, one window at a place that a hash of doc_id picks.
+    Every language is learned. The sample is bounded: fit_rows rows of a language, or an equal share of FIT_WINDOWS if that is less (over
+    FIT_WINDOWS / PARTS languages are refused), and one window of each, at a place that a hash picks. Rows that are alike count once; ties of
+    the hash go by doc_id.
     """
-    rows = docs.where(train_rows & F.col("lang").isNotNull() & (F.octet_length("text") > 0)).select("doc_id", "lang", "text", F.xxhash64(F.lit(seed), "doc_id").alias("h"))
-    common = [r.lang for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()]
-    if not common:
+    rows = docs.where(train_rows & F.col("lang").isNotNull() & (F.octet_length("text") > 0)).select("doc_id", "lang", "text", F.xxhash64(F.lit(seed), "doc_id", "text").alias("h"))
+    languages = sorted(r.lang for r in rows.select("lang").distinct().limit(FIT_WINDOWS // PARTS + 1).collect())
+    if not languages:
         return None
+    if len(languages) > FIT_WINDOWS // PARTS:
+        raise ValueError(f"over {FIT_WINDOWS // PARTS} languages")
+    each = min(fit_rows, FIT_WINDOWS // len(languages)) // PARTS + 1
     rank = F.row_number().over(Window.partitionBy("lang", "part").orderBy("h", "doc_id"))
-    parts = 16  # each of several tasks finds its smallest hashes, so no task sorts a whole language
-    near = rows.where(F.col("lang").isin(common)).withColumn("part", F.pmod("h", F.lit(parts))).select("lang", "part", "h", "doc_id").withColumn("n", rank).where(F.col("n") <= fit_rows // parts + 1).select("doc_id", "h", F.col("lang").alias("l"))
+    near = rows.withColumn("part", F.pmod("h", F.lit(PARTS))).select("lang", "part", "h", "doc_id").withColumn("n", rank).where(F.col("n") <= each).select(F.col("doc_id").alias("d2"), F.col("h").alias("h2"), F.col("lang").alias("l"))
     size = F.octet_length("text")
     start = F.pmod(F.shiftright("h", 8), F.greatest(size - WINDOW + 1, F.lit(1))) + 1
     piece = F.expr("substring(cast(text as binary), int(start), 256)")
-    # MAX_LANGUAGES * (fit_rows + parts) rows of three values at most
-    sample = rows.join(F.broadcast(near.withColumnRenamed("h", "h2").withColumnRenamed("doc_id", "d2")), (F.col("doc_id") == F.col("d2")) & (F.col("h") == F.col("h2")) & (F.col("lang") == F.col("l")), "left_semi")
-    got = sample.withColumn("start", start).select("lang", piece.alias("piece"), "h").collect()
+    # near has FIT_WINDOWS + PARTS * languages rows of three values at most
+    sample = rows.join(F.broadcast(near), F.col("doc_id").eqNullSafe(F.col("d2")) & (F.col("h") == F.col("h2")) & (F.col("lang") == F.col("l")), "left_semi")
+    got = sample.withColumn("start", start).select("lang", piece.alias("piece"), "h").distinct().collect()
     got.sort(key=lambda r: (r.h, r.lang, bytes(r.piece)))
-    languages = sorted(common)
     number = {x: k for k, x in enumerate(languages)}
     net = Network.fresh(languages, seed)
     net.train(np.concatenate([windows_of(bytes(r.piece)) for r in got]), np.array([number[r.lang] for r in got]), epochs, rate, seed)
@@ -141,7 +146,9 @@ def fit(docs: DataFrame, train_rows, fit_rows: int = FIT_ROWS, epochs: int = 6,
 def predict(docs: DataFrame, net: Network | None) -> DataFrame:
     """(doc_id, lang_pred, score) of every row, from the whole text: the mean of its windows' log probabilities decides, score is its softmax.
 
-    `und` with score 0 if the text is null or has no letter or nothing was learned. The network that is broadcast has a fixed size.
+    `und` with score 0 if the text is null or has no letter or nothing was learned. Of languages that tie the first by name is taken.
+    Rows are read one by one, so repeated rows and null ids need no rule; an empty table gives no rows; columns beyond doc_id and text are
+    not read. The network that is broadcast grows with the number of languages only.
     """
     sent = docs.sparkSession.sparkContext.broadcast(net)
 
@@ -159,9 +166,10 @@ def predict(docs: DataFrame, net: Network | None) -> DataFrame:
 
 
 def held_out(parts: int = 3, part: int = 1):
-    return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(parts)) == part
+    """Whether the row is outside the fit; false for a null id."""
+    return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(parts)) == part, F.lit(False))
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return predict(docs, fit(docs, F.coalesce(~held_out(), F.lit(True)))).select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score")
+    return predict(docs, fit(docs, ~held_out())).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
