@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..plans.cut import materialise
+from ..plans.hot import join_counted
 from .common import WORD, table
 
 #: The last so many words of a source's budget are fitted by dynamic programming; the rest is filled in proportion to each length's count.
@@ -123,7 +124,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_repeat: int =
     within = Window.partitionBy("key", "size").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     ranges = sized.groupBy("key", "size", "range").agg(F.count("*").alias("c")).join(part.select("key", "size", "take"), ["key", "size"])
     cut = ranges.withColumn("before", F.coalesce(F.sum("c").over(within), F.lit(0))).where("before < take and take <= before + c").select("key", "size", F.col("range").alias("cut"), (F.col("take") - F.col("before")).alias("need"))
-    decided = sized.join(chosen.join(cut, ["key", "size"], "left"), ["key", "size"])
+    decided = join_counted(sized, chosen.join(cut, ["key", "size"], "left").withColumn("rows", F.col("n")), ["key", "size"], "rows")
     split = F.col("range") == F.coalesce("cut", F.lit(-9999))
     clear = decided.where(~split).select("doc_id", "key", "source", "size", F.when(F.col("take") == F.col("n"), 1).when(F.col("range") < F.col("cut"), 1).otherwise(0).alias("extra"))
     ranked = decided.where(split).withColumn("rank", F.row_number().over(Window.partitionBy("key", "size", "range").orderBy("h", "doc_id")))
@@ -136,4 +137,5 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What mix() takes of each row, with its source; nulls, empty texts, repeated rows, empty tables and other columns are as there."""
     return mix(docs).select("doc_id", "source", "size", "source_size", "target", "taken")
