@@ -7,7 +7,7 @@ from ..operators import windows as W
 from ..sources import ledger as L
 from .base import LEDGER
 from .filters import _as_of, _edges
-from .graph import CYCLES, REC
+from .graph import CYCLES, REC, SEEDED
 
 from .windows import BALANCES, GAPS, QUERIES as WINDOWS, _round
 
@@ -108,13 +108,13 @@ QUERIES = {
         LEDGER + ", x AS (SELECT from_address, to_address, min(timestamp) AS f FROM t GROUP BY 1,2), g AS (SELECT from_address AS address, count(*) AS destinations, count(*) FILTER (WHERE node_type='exchange') AS exchanges, count(*) FILTER (WHERE node_type='mixer') AS mixers, count(*) FILTER (WHERE (epoch_us(f)-epoch_us(created_at))/1000000.0/86400 < 30) AS new, count(*) FILTER (WHERE risk_score > 70) AS high_risk FROM x LEFT JOIN a ON a.address = to_address GROUP BY 1) SELECT *, exchanges+mixers+new+high_risk > 3 AS flag FROM g",
     ),
     "n15_circles": (
-        lambda s, d: _round(N.consolidate_circles(G.circular_flows(_edges(s, d), None, 3)), "confidence"),
-        REC + CYCLES.format(first="", cond="", depth=3, grow="") + "SELECT seed AS address, count(*) AS cycles, round(max(least(CAST(0.95 AS DOUBLE), 0.7+0.05*(hops-2)+CASE WHEN CAST(bottleneck AS DOUBLE)/1e12 > 1 THEN log10(CAST(bottleneck AS DOUBLE)/1e12)/20 ELSE 0 END)),6) AS confidence FROM cy WHERE closed GROUP BY 1",
+        lambda s, d: _round(N.consolidate_circles(G.circular_flows(_edges(s, d), L.seeds(s, d), 5)), "confidence"),
+        REC + CYCLES.format(first=SEEDED, cond="", depth=5, grow="") + "SELECT seed AS address, count(*) AS cycles, round(max(least(CAST(0.95 AS DOUBLE), 0.7+0.05*(hops-2)+CASE WHEN CAST(bottleneck AS DOUBLE)/1e12 > 1 THEN log10(CAST(bottleneck AS DOUBLE)/1e12)/20 ELSE 0 END)),6) AS confidence FROM cy WHERE closed GROUP BY 1",
     ),
     "n16_split_merge": (
         _splits,
-        LEDGER + ", s AS (SELECT t1.from_address AS o, t2.to_address AS dst, t1.to_address AS via, t1.value AS v1, t2.value AS v2 FROM t t1 JOIN t t2 ON t1.to_address = t2.from_address AND epoch_us(t2.timestamp) > epoch_us(t1.timestamp) AND epoch_us(t2.timestamp) - epoch_us(t1.timestamp) <= 604800000000 WHERE t1.success AND t2.success AND t1.from_address <> t2.to_address AND t1.from_address <> t1.to_address AND t1.to_address <> t2.to_address), "
-        "lg AS (SELECT o, dst, via, sum(DISTINCT v1) AS s, sum(DISTINCT v2) AS mg FROM s GROUP BY 1,2,3), g AS (SELECT o AS origin, dst AS destination, count(*) AS vias, sum(CAST(s AS DOUBLE)/1e12) AS sent, sum(CAST(mg AS DOUBLE)/1e12) AS merged FROM lg GROUP BY 1,2) SELECT origin, destination, vias, round(sent,6) AS sent, round(merged,6) AS merged FROM g WHERE vias >= 2 AND abs(sent-merged) <= 0.5*sent",
+        LEDGER + ", s AS (SELECT t1.from_address AS o, t2.to_address AS dst, t1.to_address AS via, t1.hash AS h1, t2.hash AS h2, t1.value AS v1, t2.value AS v2 FROM t t1 JOIN t t2 ON t1.to_address = t2.from_address AND epoch_us(t2.timestamp) > epoch_us(t1.timestamp) AND epoch_us(t2.timestamp) - epoch_us(t1.timestamp) <= 604800000000 WHERE t1.success AND t2.success AND t1.from_address <> t2.to_address AND t1.from_address <> t1.to_address AND t1.to_address <> t2.to_address), "
+        "lg AS (SELECT DISTINCT o, dst, via, 1 AS leg, h1 AS h, v1 AS v FROM s UNION SELECT DISTINCT o, dst, via, 2, h2, v2 FROM s), g AS (SELECT o AS origin, dst AS destination, count(DISTINCT via) AS vias, sum(CAST(v AS DOUBLE)/1e12) FILTER (WHERE leg = 1) AS sent, sum(CAST(v AS DOUBLE)/1e12) FILTER (WHERE leg = 2) AS merged FROM lg GROUP BY 1,2) SELECT origin, destination, vias, round(sent,6) AS sent, round(merged,6) AS merged FROM g WHERE vias >= 2 AND abs(sent-merged) <= 0.5*sent",
     ),
     "n17_similar_addresses": (
         _similar,

@@ -5,13 +5,13 @@ from ..operators import paths as G
 from ..sources import ledger as L
 from .base import LEDGER
 from .filters import _as_of, _edges
-from .graph import CYCLES, REC
+from .graph import CYCLES, REC, SEEDED
 from .joins import SEQUENCE, _metrics
 from .windows import _round
 
 _t = L.transfers
 RAPID = "least(0.9, 0.7*(1 + CASE WHEN avg(seconds)/60 > 0 THEN least(1.0, 10/(avg(seconds)/60)) ELSE 1 END*0.3))"
-CHAINS = """, lc AS (SELECT from_address AS seed, to_address AS fin, [from_address,to_address] AS path, total_volume AS fv, total_volume AS lv, 1 AS hops FROM e WHERE from_address <> to_address AND total_volume >= 1000000000000
+CHAINS = """, lc AS (SELECT from_address AS seed, to_address AS fin, [from_address,to_address] AS path, total_volume AS fv, total_volume AS lv, 1 AS hops FROM e {first} WHERE from_address <> to_address AND total_volume >= 1000000000000
  UNION ALL SELECT seed, e.to_address, list_append(path, e.to_address), fv, e.total_volume, hops+1 FROM lc JOIN e ON e.from_address = fin WHERE hops < {depth} AND e.from_address <> e.to_address AND e.total_volume >= 1000000000000 AND abs(CAST(e.total_volume AS DOUBLE)-CAST(lv AS DOUBLE)) <= {tol}*CAST(lv AS DOUBLE) AND NOT list_contains(path, e.to_address))"""
 MIX = ", rk AS (SELECT ue.address, count(DISTINCT other) AS risky, count(DISTINCT other) FILTER (WHERE risk_score > 70) AS high_risk, count(DISTINCT other) FILTER (WHERE node_type='mixer') AS mixers FROM ue JOIN m ON m.address = other WHERE degree > 100 OR risk_score > 70 OR node_type IN ('mixer','exchange') GROUP BY 1), nb AS (SELECT address, count(DISTINCT other) AS neighbours FROM ue GROUP BY 1), mx AS (SELECT *, least(1.0, 0.9*risky/neighbours + least(0.3,0.1*high_risk) + least(0.3,0.15*mixers)) AS confidence FROM rk JOIN nb USING (address))"
 NIGHT = "(hour(timestamp) >= 22 OR hour(timestamp) <= 6)"
@@ -30,10 +30,22 @@ def _large_sender(transfers, edges):
     return transfers.where(F.col("value") >= 300 * 10**12).select(F.col("from_address").alias("address"), F.lit(0.5).alias("confidence"))
 
 
+#: The thresholds of the single queries, at which the tables have something to find.
+OPTIONS = {
+    "round_numbers": {"min_zeros": 11}, "rapid_same_sender": {"window_seconds": 86400}, "round_unit_share": {"more_than": 0}, "burst_counterparties": {"window_hours": 72, "min_transfers": 3, "min_partners": 2, "min_bucket": 1},
+    "splitting_layers": {"gap_seconds": 86400, "layers": 2}, "unusual_volume": {"multiple": 1.0}, "rapid_dispersion": {"blocks": 2000, "min_recipients": 3},
+}
+
+
+def _all(s, d):
+    """Cycles of up to five accounts and chains of up to eight from the seeds, everything else over all accounts."""
+    return D.detect_all(_t(s, d), _edges(s, d), _metrics(s, d), L.seeds(s, d), _as_of(s, d), OPTIONS)
+
+
 def _registered(s, d):
     D.register_detector("large_sender", _large_sender)
     try:
-        return D.detect_all(_t(s, d), _edges(s, d), _metrics(s, d)).where("pattern_type = 'large_sender'")
+        return _all(s, d).where("pattern_type = 'large_sender'")
     finally:
         D.unregister_detector("large_sender")
 
@@ -45,12 +57,12 @@ QUERIES = {
         LEDGER + SEQUENCE + f"SELECT to1 AS address, count(*) AS pairs, round(avg(seconds)/60,6) AS mean_minutes, CAST(sum(value1) AS DECIMAL(38,0)) AS volume, round({RAPID},6) AS confidence FROM seq GROUP BY 1",
     ),
     "d2_circular_flow": (
-        lambda s, d: _round(D.circular_flow(_edges(s, d), None, 3), "mean_length", "confidence"),
-        REC + CYCLES.format(first="", cond="", depth=3, grow="") + "SELECT seed AS address, count(*) AS cycles, round(avg(hops),6) AS mean_length, max(bottleneck) AS best_bottleneck, count(*) FILTER (WHERE hops = 2) AS direct, round(least(0.95, 0.8*(1+0.2*2/avg(hops))),6) AS confidence FROM cy WHERE closed GROUP BY 1",
+        lambda s, d: _round(D.circular_flow(_edges(s, d), L.seeds(s, d), 5), "mean_length", "confidence"),
+        REC + CYCLES.format(first=SEEDED, cond="", depth=5, grow="") + "SELECT seed AS address, count(*) AS cycles, round(avg(hops),6) AS mean_length, max(bottleneck) AS best_bottleneck, count(*) FILTER (WHERE hops = 2) AS direct, round(least(0.95, 0.8*(1+0.2*2/avg(hops))),6) AS confidence FROM cy WHERE closed GROUP BY 1",
     ),
     "d3_layering": (
-        lambda s, d: _round(D.layering(_edges(s, d), None, 10**12, 0.1, 3), "ratio", "confidence"),
-        REC + CHAINS.format(depth=3, tol=0.1) + ', g AS (SELECT seed AS address, fin AS "end", count(*) AS chains, max(hops) AS longest, avg(CAST(lv AS DOUBLE)/CAST(fv AS DOUBLE)) AS ratio FROM lc WHERE hops >= 3 GROUP BY 1,2 HAVING count(*) >= 2) SELECT address, "end", chains, longest, round(ratio,6) AS ratio, round(least(0.9, 0.6 + CASE WHEN longest >= 4 THEN 0.1 ELSE 0 END + 0.2*greatest(0.0, 1-abs(1-ratio))),6) AS confidence FROM g',
+        lambda s, d: _round(D.layering(_edges(s, d), L.seeds(s, d), 10**12, 0.2, 8), "ratio", "confidence"),
+        REC + CHAINS.format(first=SEEDED, depth=8, tol=0.2) + ', g AS (SELECT seed AS address, fin AS "end", count(*) AS chains, max(hops) AS longest, avg(CAST(lv AS DOUBLE)/CAST(fv AS DOUBLE)) AS ratio FROM lc WHERE hops >= 3 GROUP BY 1,2 HAVING count(*) >= 2) SELECT address, "end", chains, longest, round(ratio,6) AS ratio, round(least(0.9, 0.6 + CASE WHEN longest >= 4 THEN 0.1 ELSE 0 END + 0.2*greatest(0.0, 1-abs(1-ratio))),6) AS confidence FROM g',
     ),
     "d4_mixing": (lambda s, d: _round(D.mixing(_edges(s, d), _metrics(s, d)), "confidence"), LEDGER + MIX + "SELECT address, risky, high_risk, mixers, neighbours, round(confidence,6) AS confidence FROM mx"),
     "d5_unusual_timing": (lambda s, d: _round(D.unusual_timing(_t(s, d)), "confidence"), LEDGER + TIMING + "SELECT address, n, night, weekend, round(CAST(confidence AS DOUBLE),6) AS confidence FROM ut"),
@@ -92,7 +104,7 @@ QUERIES = {
         LEDGER + f", n AS (SELECT address, sum(CAST(value AS DOUBLE)) AS recent FROM l WHERE timestamp > {NOW} - INTERVAL 1 DAY GROUP BY 1), r AS (SELECT *, row_number() OVER (PARTITION BY address ORDER BY day DESC) AS rn FROM (SELECT address, CAST(timestamp AS DATE) AS day, sum(value) AS v FROM l GROUP BY 1,2)), b AS (SELECT address, avg(CAST(v AS DOUBLE)) AS average FROM r WHERE rn <= 30 GROUP BY 1) SELECT address, round(recent/average,6) AS ratio FROM n JOIN b USING (address) WHERE recent/average >= 1.0",
     ),
     "d15_pattern_risk": (
-        lambda s, d: _round(D.pattern_risk(L.detections(s, d)), "risk", n=4),
+        lambda s, d: _round(D.pattern_risk(L.detections(s, d), {"error": 0.3, "view": 0.25, "signup": 0.25, "click": 0.35}), "risk", n=4),
         LEDGER + ", x AS (SELECT address, CASE pattern_type WHEN 'error' THEN 0.3 WHEN 'view' THEN 0.25 WHEN 'signup' THEN 0.25 WHEN 'click' THEN 0.35 ELSE 0.2 END AS w, CASE severity WHEN 'critical' THEN 100 WHEN 'high' THEN 75 WHEN 'medium' THEN 50 ELSE 25 END*confidence AS x FROM det) SELECT address, round(sum(CAST(w AS DOUBLE)*x)/sum(CAST(w AS DOUBLE)),4) AS risk FROM x GROUP BY 1",
     ),
     "d16_rapid_dispersion": (
@@ -105,15 +117,31 @@ QUERIES = {
     ),
     "d17_validate_layering": (
         lambda s, d: _round(D.validate_layering(_t(s, d), _chains(s, d)).select("seed", "end", "hops", F.expr("array_join(path,'->')").alias("path"), "step_ratio", "steady"), "step_ratio"),
-        REC + CHAINS.format(depth=3, tol=0.05) + ", x AS (SELECT *, pow(CAST(lv AS DOUBLE)/CAST(fv AS DOUBLE), 1.0/hops) AS r FROM lc WHERE hops >= 3) SELECT seed, fin AS \"end\", hops, array_to_string(path,'->') AS path, round(r,6) AS step_ratio, abs(r-1) < 0.05 AS steady FROM x",
+        REC + CHAINS.format(first="", depth=3, tol=0.05) + ", x AS (SELECT *, pow(CAST(lv AS DOUBLE)/CAST(fv AS DOUBLE), 1.0/hops) AS r FROM lc WHERE hops >= 3) SELECT seed, fin AS \"end\", hops, array_to_string(path,'->') AS path, round(r,6) AS step_ratio, abs(r-1) < 0.05 AS steady FROM x",
     ),
     "d18_validate_mixer": (
         lambda s, d: _round(D.validate_mixer(_t(s, d)), "uniformity", "recipient_ratio"),
         LEDGER + ", g AS (SELECT from_address AS address, count(*) AS n, CASE WHEN avg(CAST(value AS DOUBLE)) > 0 THEN greatest(0, 1-stddev_pop(CAST(value AS DOUBLE))/avg(CAST(value AS DOUBLE))) ELSE 0 END AS u, count(DISTINCT to_address)/count(*) AS r FROM t GROUP BY 1) SELECT address, n, round(u,6) AS uniformity, round(r,6) AS recipient_ratio, u > 0.7 AND r > 0.9 AS valid FROM g",
     ),
-    "d19_detect_all": (
-        lambda s, d: _round(D.detect_all(_t(s, d), _edges(s, d), _metrics(s, d)), "confidence"),
-        REC + SEQUENCE + MIX + TIMING + ROUND + f", rm AS (SELECT to1 AS address, {RAPID} AS c FROM seq GROUP BY 1), cf AS (SELECT x.from_address AS address, 0.95 AS c FROM e x JOIN e y ON x.from_address = y.to_address AND x.to_address = y.from_address WHERE x.from_address <> x.to_address GROUP BY 1) "
-        "SELECT address, 'rapid_movement' AS pattern_type, round(c,6) AS confidence FROM rm UNION ALL SELECT address, 'circular_flow', CAST(c AS DOUBLE) FROM cf UNION ALL SELECT address, 'mixing', round(confidence,6) FROM mx UNION ALL SELECT address, 'unusual_timing', round(CAST(confidence AS DOUBLE),6) FROM ut UNION ALL SELECT address, 'round_numbers', round(CAST(confidence AS DOUBLE),6) FROM rn",
-    ),
 }
+
+
+def _inner(name):
+    """A query's SQL as a subquery beside the ledger's tables."""
+    sql = QUERIES[name][1].replace("round(20*log10(n)+30*log10(partners),6)", "20*log10(n)+30*log10(partners)")
+    body = sql[len(REC if sql.startswith(REC) else LEDGER) :]
+    return f"(WITH RECURSIVE {body[2:]})" if body.startswith(", ") else f"({body})"
+
+
+#: Pattern, query, and how its columns give the confidence.
+PARTS = [
+    ("rapid_movement", "d1_rapid_movement", "confidence"), ("circular_flow", "d2_circular_flow", "confidence"), ("layering", "d3_layering", "confidence"), ("mixing", "d4_mixing", "confidence"), ("unusual_timing", "d5_unusual_timing", "confidence"),
+    ("round_numbers", "d6_round_numbers", "confidence"), ("behaviour", "d7_behaviour_summary", "nullif(confidence, 0)"), ("rapid_same_sender", "d8_rapid_same_sender", "0.6"), ("round_unit_share", "d9_round_unit_share", "CASE WHEN flag THEN share END"),
+    ("burst_counterparties", "d11_burst_counterparties", "least(1.0, severity/100)"), ("splitting_layers", "d12_splitting_layers", "0.7"), ("mixer_behaviour", "d13_mixer_behaviour", "CASE WHEN flag THEN 0.7 END"), ("unusual_volume", "d14_unusual_volume", "0.6"),
+    ("rapid_dispersion", "d16_rapid_dispersion", "confidence"),
+]
+ADDRESS = {"rapid_same_sender": "from_address", "rapid_dispersion": "hub"}
+QUERIES["d19_detect_all"] = (
+    lambda s, d: _round(_all(s, d), "confidence"),
+    REC + " SELECT * FROM (" + " UNION ALL ".join(f"SELECT {ADDRESS.get(k, 'address')} AS address, '{k}' AS pattern_type, round(CAST(max({c}) AS DOUBLE),6) AS confidence FROM {_inner(q)} GROUP BY 1" for k, q, c in PARTS) + ") WHERE confidence IS NOT NULL",
+)

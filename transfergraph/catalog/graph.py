@@ -41,17 +41,20 @@ def _costed(s, d, weight):
 
 
 def _weighted(weight):
-    return lambda s, d: _round(G.weighted_shortest_path(_costed(s, d, weight), L.seeds(s, d), 3).select("seed", "end", "cost"), "cost")
+    return lambda s, d: _round(G.weighted_shortest_path(_costed(s, d, weight), L.seeds(s, d), 4).select("seed", "end", "cost"), "cost")
 
 
-def _weighted_sql(cost, table="e"):
+def _weighted_sql(cost, table="e", hops=4):
     return REC + f""", ce AS (SELECT from_address, to_address, {cost} AS cost FROM {table} WHERE from_address <> to_address), w AS (SELECT from_address AS seed, to_address AS fin, cost, 1 AS hops FROM ce JOIN seeds ON address = from_address
- UNION ALL SELECT seed, ce.to_address, w.cost + ce.cost, hops+1 FROM w JOIN ce ON ce.from_address = w.fin WHERE hops < 3) SELECT seed, fin AS "end", round(min(cost),6) AS cost FROM w WHERE fin <> seed GROUP BY 1,2"""
+ UNION ALL SELECT seed, ce.to_address, w.cost + ce.cost, hops+1 FROM w JOIN ce ON ce.from_address = w.fin WHERE hops < {hops}) SELECT seed, fin AS "end", round(min(cost),6) AS cost FROM w WHERE fin <> seed GROUP BY 1,2"""
 
 
 AGE = "(epoch_us((SELECT as_of FROM latest_)) - epoch_us(last_transfer_time))/1000000.0/86400"
 DIST = """, ee AS (SELECT DISTINCT from_address AS u, to_address AS v FROM e WHERE from_address <> to_address), nodes AS (SELECT DISTINCT address FROM ue),
- wk AS (SELECT address AS s, address AS v, 0 AS d FROM nodes UNION SELECT s, ee.v, d+1 FROM wk JOIN ee ON ee.u = wk.v WHERE d < 5), ds AS (SELECT s, v, min(d) AS d FROM wk GROUP BY 1,2)"""
+ wk AS (SELECT address AS s, address AS v, 0 AS d FROM nodes UNION SELECT s, ee.v, d+1 FROM wk JOIN ee ON ee.u = wk.v WHERE d < 12), ds AS (SELECT s, v, min(d) AS d FROM wk GROUP BY 1,2)"""
+#: Shortest paths between all pairs, and on how many of them each vertex lies.
+BETWEEN = """, sg AS (SELECT s, v, 0 AS d, CAST(1 AS DOUBLE) AS g FROM (SELECT address AS s, address AS v FROM nodes) UNION ALL SELECT s, w, d+1, g FROM (SELECT sg.s, ee.v AS w, sg.d, sum(sg.g) AS g FROM sg JOIN ee ON ee.u = sg.v JOIN ds ON ds.s = sg.s AND ds.v = ee.v AND ds.d = sg.d+1 GROUP BY 1,2,3)),
+ bt AS (SELECT x.v AS address, sum(x.g*y.g/z.g) AS b FROM sg x {seeded} JOIN sg z ON z.s = x.s JOIN sg y ON y.s = x.v AND y.v = z.v AND x.d + y.d = z.d WHERE x.v <> x.s AND x.v <> z.v GROUP BY 1)"""
 TRI = """, se AS (SELECT DISTINCT least(from_address,to_address) AS a, greatest(from_address,to_address) AS b FROM e WHERE from_address <> to_address), nb AS (SELECT a AS x, b AS y FROM se UNION ALL SELECT b, a FROM se),
  tr AS (SELECT n1.x AS address, count(*) AS triangles FROM nb n1 JOIN nb n2 ON n1.x = n2.x AND n1.y < n2.y JOIN se ON se.a = n1.y AND se.b = n2.y GROUP BY 1),
  cc AS (SELECT v.address, coalesce(k,0) AS neighbours, coalesce(triangles,0) AS triangles, CASE WHEN coalesce(k,0) > 1 THEN 2.0*coalesce(triangles,0)/(k*(k-1)) ELSE 0 END AS clustering FROM (SELECT DISTINCT address FROM ue) v LEFT JOIN (SELECT x AS address, count(*) AS k FROM nb GROUP BY 1) USING (address) LEFT JOIN tr USING (address))"""
@@ -59,16 +62,16 @@ TRI = """, se AS (SELECT DISTINCT least(from_address,to_address) AS a, greatest(
 
 def pagerank_sql(rounds, weighted=False):
     w = "CAST(total_volume AS DOUBLE)" if weighted else "1.0"
-    out = f", nodes AS (SELECT DISTINCT address FROM ue), nn AS (SELECT count(*) AS n FROM nodes), ls AS (SELECT from_address, to_address, {w}/sum({w}) OVER (PARTITION BY from_address) AS share FROM e), r0 AS (SELECT address, 1.0/n AS r FROM nodes, nn)"
+    out = f", nodes AS (SELECT DISTINCT address FROM ue), nn AS (SELECT count(*) AS n FROM nodes), ls AS MATERIALIZED (SELECT from_address, to_address, {w}/sum({w}) OVER (PARTITION BY from_address) AS share FROM e), r0 AS (SELECT address, 1.0/n AS r FROM nodes, nn)"
     for k in range(rounds):
-        out += f", r{k + 1} AS (SELECT nodes.address, 0.15/any_value(n) + 0.85*coalesce(sum(r*share),0) AS r FROM nodes CROSS JOIN nn LEFT JOIN (ls JOIN r{k} ON r{k}.address = ls.from_address) ON ls.to_address = nodes.address GROUP BY 1)"
+        out += f", r{k + 1} AS MATERIALIZED (SELECT nodes.address, 0.15/any_value(n) + 0.85*coalesce(sum(r*share),0) AS r FROM nodes CROSS JOIN nn LEFT JOIN (ls JOIN r{k} ON r{k}.address = ls.from_address) ON ls.to_address = nodes.address GROUP BY 1)"
     return out
 
 
 def labels_sql(rounds):
-    out = ", vv AS (SELECT address, other FROM ue WHERE address <> other), lb0 AS (SELECT DISTINCT address, address AS label FROM ue)"
+    out = ", vv AS MATERIALIZED (SELECT address, other FROM ue WHERE address <> other), lb0 AS (SELECT DISTINCT address, address AS label FROM ue)"
     for k in range(rounds):
-        out += f", lb{k + 1} AS (SELECT lb{k}.address, coalesce(b.label, lb{k}.label) AS label FROM lb{k} LEFT JOIN (SELECT address, label FROM (SELECT vv.address, x.label, row_number() OVER (PARTITION BY vv.address ORDER BY count(*) DESC, x.label) AS rn FROM vv JOIN lb{k} x ON x.address = vv.other GROUP BY 1,2) WHERE rn = 1) b USING (address))"
+        out += f", lb{k + 1} AS MATERIALIZED (SELECT lb{k}.address, coalesce(b.label, lb{k}.label) AS label FROM lb{k} LEFT JOIN (SELECT address, label FROM (SELECT vv.address, x.label, row_number() OVER (PARTITION BY vv.address ORDER BY count(*) DESC, x.label) AS rn FROM vv JOIN lb{k} x ON x.address = vv.other GROUP BY 1,2) WHERE rn = 1) b USING (address))"
     return out
 
 
@@ -126,15 +129,15 @@ QUERIES = {
     "g5_weighted_risk": (_weighted("risk"), _weighted_sql("1 + risk_score/100", "(SELECT e.*, risk_score FROM e JOIN a ON a.address = to_address)")),
     "g5_weighted_time": (_weighted("time"), _weighted_sql(f"1 + log10(1 + {AGE})")),
     "g6_all_paths": (
-        lambda s, d: _show(G.all_paths(_edges(s, d), _pairs(s, d), 3, 10), "seed", "end", "hops", "total", "bottleneck"),
-        REC + PATHS(3) + PAIR + ", r AS (SELECT p.*, row_number() OVER (PARTITION BY p.seed, p.fin ORDER BY hops, path) AS rn FROM p SEMI JOIN pr USING (seed, fin)) SELECT array_to_string(path,'->') AS path, seed, fin AS \"end\", hops, CAST(total AS DECIMAL(38,0)) AS total, bottleneck FROM r WHERE rn <= 10",
+        lambda s, d: _show(G.all_paths(_edges(s, d), _pairs(s, d), 4, 100), "seed", "end", "hops", "total", "bottleneck"),
+        REC + PATHS(4) + PAIR + ", r AS (SELECT p.*, row_number() OVER (PARTITION BY p.seed, p.fin ORDER BY hops, path) AS rn FROM p SEMI JOIN pr USING (seed, fin)) SELECT array_to_string(path,'->') AS path, seed, fin AS \"end\", hops, CAST(total AS DECIMAL(38,0)) AS total, bottleneck FROM r WHERE rn <= 100",
     ),
     "g7_high_value_paths": (
         lambda s, d: _show(G.high_value_paths(_edges(s, d), _pairs(s, d), 80 * UNIT, 4, 20), "seed", "end", "hops", "bottleneck"),
         REC + PATHS(4, "AND e.total_volume >= 80000000000000") + PAIR + ", r AS (SELECT p.*, row_number() OVER (PARTITION BY p.seed, p.fin ORDER BY bottleneck DESC, hops, path) AS rn FROM p SEMI JOIN pr USING (seed, fin)) SELECT array_to_string(path,'->') AS path, seed, fin AS \"end\", hops, bottleneck FROM r WHERE rn <= 20",
     ),
     "g8_quickest_paths": (
-        lambda s, d: _round(G.quickest_paths(_edges(s, d).crossJoin(F.broadcast(_as_of(s, d))), L.seeds(s, d), F.col("as_of"), 14, 3).select("seed", "end", "cost"), "cost", n=4),
+        lambda s, d: _round(G.quickest_paths(_edges(s, d).crossJoin(F.broadcast(_as_of(s, d))), L.seeds(s, d), F.col("as_of"), 14, 4).select("seed", "end", "cost"), "cost", n=4),
         _weighted_sql(f"greatest(1.0, {AGE}*24)", f"(SELECT * FROM e WHERE {AGE} <= 14)").replace("round(min(cost),6)", "round(min(cost),4)"),
     ),
     "g9_path_risk": (
@@ -161,26 +164,24 @@ QUERIES = {
     "g14_clustering": (lambda s, d: _round(M.clustering_coefficient(_edges(s, d)), "clustering"), LEDGER + TRI + "SELECT address, neighbours, triangles, round(clustering,6) AS clustering FROM cc"),
     "g15_betweenness": (
         lambda s, d: _round(M.betweenness(_edges(s, d), L.seeds(s, d)), "betweenness", n=8),
-        REC + DIST + """, sg AS (SELECT s, v, 0 AS d, CAST(1 AS DOUBLE) AS g FROM (SELECT address AS s, address AS v FROM nodes) UNION ALL SELECT s, w, d+1, g FROM (SELECT sg.s, ee.v AS w, sg.d, sum(sg.g) AS g FROM sg JOIN ee ON ee.u = sg.v JOIN ds ON ds.s = sg.s AND ds.v = ee.v AND ds.d = sg.d+1 GROUP BY 1,2,3)),
- bt AS (SELECT x.v AS address, sum(x.g*y.g/z.g) AS b FROM sg x JOIN seeds ON seeds.address = x.s JOIN sg z ON z.s = x.s JOIN sg y ON y.s = x.v AND y.v = z.v AND x.d + y.d = z.d WHERE x.v <> x.s AND x.v <> z.v GROUP BY 1)
- SELECT nodes.address, round(coalesce(b,0)*2.0/((SELECT (count(*)-1)*(count(*)-2) FROM nodes)),8) AS betweenness FROM nodes LEFT JOIN bt USING (address)""",
+        REC + DIST + BETWEEN.format(seeded="JOIN seeds ON seeds.address = x.s") + """ SELECT nodes.address, round(coalesce(b,0)*2.0/((SELECT (count(*)-1)*(count(*)-2) FROM nodes)),8) AS betweenness FROM nodes LEFT JOIN bt USING (address)""",
     ),
     "g16_betweenness_proxy": (
         lambda s, d: _round(M.betweenness_proxy(_edges(s, d), 20), "betweenness"),
         LEDGER + "SELECT x.from_address AS address, count(DISTINCT y.to_address) AS reach, round(count(DISTINCT y.to_address)/1000,6) AS betweenness FROM e x JOIN e y ON x.to_address = y.from_address JOIN m ON m.address = x.from_address WHERE degree > 20 AND x.from_address <> y.to_address GROUP BY 1",
     ),
     "g17_closeness": (
-        lambda s, d: _round(M.closeness(_edges(s, d), L.seeds(s, d)), "closeness"),
-        REC + DIST + "SELECT v AS address, count(*)-1 AS reachable, round((count(*)-1)/sum(d)*(count(*)-1)/((SELECT count(*) FROM nodes)-1),6) AS closeness FROM ds JOIN seeds ON seeds.address = ds.v GROUP BY 1",
+        lambda s, d: _round(M.closeness(_edges(s, d)), "closeness"),
+        REC + DIST + "SELECT v AS address, count(*)-1 AS reachable, round(coalesce((count(*)-1)/nullif(sum(d),0),0)*(count(*)-1)/((SELECT count(*) FROM nodes)-1),6) AS closeness FROM ds GROUP BY 1",
     ),
-    "g18_pagerank": (lambda s, d: _round(M.pagerank(_edges(s, d), 5), "pagerank", n=9), LEDGER + pagerank_sql(5) + "SELECT address, round(r,9) AS pagerank FROM r5"),
-    "g18_pagerank_weighted": (lambda s, d: _round(M.pagerank(_edges(s, d), 3, weighted=True), "pagerank", n=9), LEDGER + pagerank_sql(3, True) + "SELECT address, round(r,9) AS pagerank FROM r3"),
+    "g18_pagerank": (lambda s, d: _round(M.pagerank(_edges(s, d), 20), "pagerank", n=9), LEDGER + pagerank_sql(20) + "SELECT address, round(r,9) AS pagerank FROM r20"),
+    "g18_pagerank_weighted": (lambda s, d: _round(M.pagerank(_edges(s, d), 20, weighted=True), "pagerank", n=9), LEDGER + pagerank_sql(20, True) + "SELECT address, round(r,9) AS pagerank FROM r20"),
     "g19_hubs": (
         _clustering_hubs,
         LEDGER + TRI + ", pt AS (SELECT address, count(DISTINCT other) AS partners FROM ue GROUP BY 1) SELECT m.address, degree, partners, round(0.3*least(1.0,degree/100) + 0.3*least(1, CAST(total_volume_in+total_volume_out AS HUGEINT)//1000000000000) + 0.2*least(1.0,partners/50) + 0.2*(1-clustering),6) AS score, "
         "CASE WHEN node_type='exchange' THEN 'exchange_hub' WHEN node_type='mixer' THEN 'mixer_hub' WHEN out_degree/(in_degree+1) > 10 THEN 'distribution_hub' WHEN out_degree/(in_degree+1) < 0.1 THEN 'collection_hub' ELSE 'balanced_hub' END AS class FROM m JOIN pt USING (address) JOIN cc USING (address) WHERE degree >= 20",
     ),
-    "g20_label_propagation": (lambda s, d: M.label_propagation(_edges(s, d), 3), LEDGER + labels_sql(3) + "SELECT * FROM lb3"),
+    "g20_label_propagation": (lambda s, d: M.label_propagation(_edges(s, d), 10), LEDGER + labels_sql(10) + "SELECT * FROM lb10"),
     "g21_community_metrics": (
         lambda s, d: _round(_communities(s, d), "density"),
         LEDGER + COMM + "SELECT label, members, internal, external, internal_volume, round(CASE WHEN members > 1 THEN internal/(members*(members-1)) ELSE 0 END,6) AS density FROM cm",
@@ -190,20 +191,30 @@ QUERIES = {
         LEDGER + COMM + ", io AS (SELECT label, sum(CAST(in_degree AS DOUBLE)) AS i, sum(CAST(out_degree AS DOUBLE)) AS o FROM m JOIN lb2 USING (address) GROUP BY 1) SELECT count(*) AS communities, round(avg(members),6) AS mean_size, max(members) AS max_size, min(members) AS min_size, round((sum(internal)-sum(external))/sum(internal+external),6) AS edge_balance, round(sum(internal)/sum(internal+external) - (SELECT sum(i*o) FROM io)/(sum(internal+external)*sum(internal+external)),6) AS modularity_q FROM cm",
     ),
     "g22_components": (
-        lambda s, d: M.weak_components(_edges(s, d).where(F.col("total_volume") >= 150 * UNIT)),
-        REC + ", be AS (SELECT address, other FROM ue WHERE total_volume >= 150000000000000), rc AS (SELECT address, address AS o FROM be UNION SELECT rc.address, be.other FROM rc JOIN be ON be.address = rc.o) SELECT address, min(o) AS component FROM rc GROUP BY 1",
+        lambda s, d: M.weak_components(_edges(s, d)),
+        REC + ", be AS (SELECT address, other FROM ue), rc AS (SELECT address, address AS o FROM be UNION SELECT rc.address, be.other FROM rc JOIN be ON be.address = rc.o) SELECT address, min(o) AS component FROM rc GROUP BY 1",
     ),
     "g23_graph_density": (
         lambda s, d: _round(M.graph_density(_edges(s, d)).drop("components", "largest"), "density", "mean_degree", "reciprocity", n=8),
         LEDGER + "SELECT (SELECT count(*) FROM m) AS nodes, count(*) AS edges, round(count(*)/((SELECT count(*) FROM m)*((SELECT count(*) FROM m)-1)),8) AS density, round(2*count(*)/(SELECT count(*) FROM m),8) AS mean_degree, round((SELECT count(*) FROM e x JOIN e y ON x.from_address = y.to_address AND x.to_address = y.from_address WHERE x.from_address < x.to_address)/count(*),8) AS reciprocity FROM e",
     ),
     "g24_common_neighbours": (lambda s, d: _round(M.common_neighbours_avg(_edges(s, d)), "average"), LEDGER + TRI + "SELECT address, round(CASE WHEN neighbours > 0 THEN 2.0*triangles/neighbours ELSE 0 END,6) AS average FROM cc"),
-    "g25_network_metrics": (lambda s, d: M.network_metrics(_edges(s, d), L.seeds(s, d), 5), None),
+    "g25_network_metrics": (
+        lambda s, d: _round(_round(M.network_metrics(_edges(s, d)), "centrality", "clustering", "closeness", "common_average"), "pagerank", "betweenness", n=8),
+        REC + pagerank_sql(20).replace("nodes AS (SELECT DISTINCT address FROM ue), ", "", 1).replace(", nn AS", DIST + ", nn AS", 1) + TRI + BETWEEN.format(seeded="")
+        + """, cl AS (SELECT v AS address, round(coalesce((count(*)-1)/nullif(sum(d),0),0)*(count(*)-1)/((SELECT count(*) FROM nodes)-1),6) AS closeness FROM ds GROUP BY 1)
+ SELECT m.address, degree, round(degree/((SELECT count(*) FROM m)-1),6) AS centrality, neighbours, triangles, round(clustering,6) AS clustering, round(r,8) AS pagerank, round(coalesce(b,0)*2.0/((SELECT (count(*)-1)*(count(*)-2) FROM nodes)),8) AS betweenness, closeness,
+ round(CASE WHEN neighbours > 0 THEN 2.0*triangles/neighbours ELSE 0 END,6) AS common_average FROM m JOIN cc USING (address) JOIN r20 USING (address) JOIN cl USING (address) LEFT JOIN bt USING (address)""",
+    ),
     "g26_metrics_cache": (
         lambda s, d: _round(M.graph_metrics_cache(_edges(s, d)).withColumn("mean_volume", F.col("mean_volume") / 1e12), "mean_volume"),
         LEDGER + TRI + ", g AS (SELECT address, count(*) AS degree, CAST(sum(total_volume) AS DECIMAL(38,0)) AS volume, min(first_transfer_time) AS first_seen, max(last_transfer_time) AS last_seen, CAST(sum(transfer_count) AS BIGINT) AS transfers FROM ue GROUP BY 1) SELECT g.*, triangles, round(CAST(volume AS DOUBLE)/degree/1e12,6) AS mean_volume FROM g JOIN cc USING (address)",
     ),
-    "g27_bfs_build": (lambda s, d: G.bfs_build_graph(_edges(s, d), L.seeds(s, d), 2, 5), None),
+    "g27_bfs_build": (
+        lambda s, d: G.bfs_build_graph(_edges(s, d), L.seeds(s, d), 2, 5),
+        LEDGER + """, v AS (SELECT address, other, CAST(sum(total_volume) AS DECIMAL(38,0)) AS volume FROM ue WHERE address <> other GROUP BY 1,2), st AS (SELECT * EXCLUDE rn FROM (SELECT *, row_number() OVER (PARTITION BY address ORDER BY volume DESC, other) AS rn FROM v) WHERE rn <= 5),
+ b1 AS (SELECT address AS seed, address, other, 1 AS depth, volume FROM seeds JOIN st USING (address)), f1 AS (SELECT DISTINCT seed, other AS address FROM b1 EXCEPT SELECT address, address FROM seeds) SELECT * FROM b1 UNION ALL SELECT seed, address, other, 2, volume FROM f1 JOIN st USING (address)""",
+    ),
     "g28_node_profile": (
         lambda s, d: M.node_profile(A.transfer_statistics(L.transfers(s, d)), L.accounts(s, d)),
         LEDGER + ", r AS (SELECT x.address, count(*) AS n FROM l x JOIN l y ON x.address = y.address AND epoch_us(y.timestamp) > epoch_us(x.timestamp) AND epoch_us(y.timestamp) <= epoch_us(x.timestamp) + 3600000000 GROUP BY 1) SELECT l.address, count(DISTINCT other) AS degree, CAST(coalesce(sum(value) FILTER (WHERE direction='in'),0) AS DECIMAL(38,0)) AS volume_in, CAST(coalesce(sum(value) FILTER (WHERE direction='out'),0) AS DECIMAL(38,0)) AS volume_out, "

@@ -46,9 +46,9 @@ QUERIES = {
         'SELECT from_address, CAST(session AS BIGINT) AS session, count(*) AS n, min(timestamp) AS start, max(timestamp) AS "end", CAST(sum(value) AS DECIMAL(38,0)) AS volume FROM s GROUP BY 1,2',
     ),
     "w8_rolling_activity": (
-        lambda s, d: W.rolling_activity(_t(s, d), (3600, 86400)).select("address", "hash", "direction", "n_3600", "volume_3600", "partners_3600", "n_86400", "volume_86400", "partners_86400"),
-        LEDGER + "SELECT address, hash, direction, " + ", ".join(f"count(*) OVER w{k} AS n_{k}, CAST(sum(value) OVER w{k} AS DECIMAL(38,0)) AS volume_{k}, len(list_distinct(array_agg(other) OVER w{k})) AS partners_{k}" for k in (3600, 86400))
-        + " FROM l WINDOW " + ", ".join(f"w{k} AS (PARTITION BY address ORDER BY epoch_us(timestamp) RANGE BETWEEN {k}000000 PRECEDING AND CURRENT ROW)" for k in (3600, 86400)),
+        lambda s, d: W.rolling_activity(_t(s, d), (300, 900, 3600)).select("address", "hash", "direction", *(f"{c}_{w}" for w in (300, 900, 3600) for c in ("n", "volume", "partners"))),
+        LEDGER + "SELECT address, hash, direction, " + ", ".join(f"count(*) OVER w{k} AS n_{k}, CAST(sum(value) OVER w{k} AS DECIMAL(38,0)) AS volume_{k}, len(list_distinct(array_agg(other) OVER w{k})) AS partners_{k}" for k in (300, 900, 3600))
+        + " FROM l WINDOW " + ", ".join(f"w{k} AS (PARTITION BY address ORDER BY epoch_us(timestamp) RANGE BETWEEN {k}000000 PRECEDING AND CURRENT ROW)" for k in (300, 900, 3600)),
     ),
     "w9_balance_profile": (
         lambda s, d: _round(W.balance_profile(W.balance_events(_t(s, d))), "ema", "deviation", "mean_change", "last_balance"),

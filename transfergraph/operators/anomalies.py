@@ -13,7 +13,7 @@ from ..functions.times import DAY, days_between, micros
 from .filters import ladder
 from .sets import undirected_view
 from .topk import topk
-from .windows import inter_transfer_gaps, iqr_outliers, sessionise
+from .windows import inter_transfer_gaps, iqr_outliers, rolling, sessionise
 
 US = 1_000_000
 
@@ -127,8 +127,7 @@ def _activity(transfers: DataFrame) -> DataFrame:
 
 def rates(transfers: DataFrame, seconds: int) -> DataFrame:
     """Each event with n, volume and distinct partners of the window that ends with it, and the means of these over the address's events before the window."""
-    recent = Window.partitionBy("address").orderBy("_us").rangeBetween(-seconds * US, 0)
-    v = _activity(transfers).withColumns({"n": F.count("*").over(recent), "volume": F.sum(F.col("value").cast("double") / 1e12).over(recent), "partners": F.size(F.collect_set("other").over(recent))})
+    v = rolling(_activity(transfers), (seconds,)).withColumnsRenamed({f"n_{seconds}": "n", f"partners_{seconds}": "partners"}).withColumn("volume", F.col(f"volume_{seconds}").cast("double") / 1e12)
     past = Window.partitionBy("address").orderBy("_us").rangeBetween(Window.unboundedPreceding, -seconds * US - 1)
     return v.withColumns({"n_before": F.avg("n").over(past), "volume_before": F.avg("volume").over(past), "volume_sd": F.stddev_pop("volume").over(past), "partners_before": F.avg("partners").over(past), "events_before": F.count("*").over(past)})
 
@@ -231,9 +230,13 @@ def split_merge_flows(transfers: DataFrame, window_seconds: int = 86400, toleran
     from .joins import sequential_transfers
 
     s = sequential_transfers(transfers, window_seconds, None).where("from1 <> to2 and from1 <> to1 and to1 <> to2")
-    # each first leg once per route, each second leg once, whatever the number of pairs that they form
-    legs = s.groupBy(F.col("from1").alias("origin"), F.col("to2").alias("destination"), F.col("to1").alias("via")).agg(F.sum_distinct("value1").alias("_s"), F.sum_distinct("value2").alias("_m"))
-    g = legs.groupBy("origin", "destination").agg(F.count("*").alias("vias"), F.sum(F.col("_s").cast("double") / 1e12).alias("sent"), F.sum(F.col("_m").cast("double") / 1e12).alias("merged"))
+    # each transfer counts once on its leg of a route, whatever the number of pairs that it forms
+    route = [F.col("from1").alias("origin"), F.col("to2").alias("destination"), F.col("to1").alias("via")]
+    leg = lambda k: s.select(*route, F.lit(k).alias("leg"), F.col(f"hash{k}").alias("hash"), F.col(f"value{k}").alias("value"))
+    x = F.col("value").cast("double") / 1e12
+    legs = leg(1).unionByName(leg(2)).distinct()
+    total = lambda k: F.sum(F.when(F.col("leg") == k, x))
+    g = legs.groupBy("origin", "destination").agg(F.countDistinct("via").alias("vias"), total(1).alias("sent"), total(2).alias("merged"))
     return g.where((F.col("vias") >= at_least) & (F.abs(F.col("sent") - F.col("merged")) <= tolerance * F.col("sent")))
 
 

@@ -178,7 +178,8 @@ def unusual_volume(transfers: DataFrame, as_of: DataFrame, multiple: float = 10)
     return j.select("address", (F.col("recent") / F.col("average")).alias("ratio")).where(F.col("ratio") >= multiple)
 
 
-PATTERN_WEIGHT = {"error": 0.3, "view": 0.25, "signup": 0.25, "click": 0.35}
+#: Weights by pattern; others weigh 0.2.
+PATTERN_WEIGHT = {"burst": 0.3, "splitting": 0.25, "mixer": 0.25, "unusual_volume": 0.35}
 
 
 def pattern_risk(detections: DataFrame, weights: dict[str, float] | None = None, default: float = 0.2) -> DataFrame:
@@ -216,15 +217,40 @@ def validate_mixer(transfers: DataFrame) -> DataFrame:
     return g.withColumn("valid", (F.col("uniformity") > 0.7) & (F.col("recipient_ratio") > 0.9))
 
 
-def detect_all(transfers: DataFrame, edges: DataFrame, metrics: DataFrame) -> DataFrame:
-    """(address, pattern_type, confidence): the best of each detector per address, registered ones among them. The branches run as one job."""
+#: Confidence of the detectors that have none of their own.
+FLAG_CONFIDENCE = {"rapid_same_sender": 0.6, "splitting_layers": 0.7, "mixer_behaviour": 0.7, "unusual_volume": 0.6}
+
+
+def detect_all(transfers: DataFrame, edges: DataFrame, metrics: DataFrame, seeds: DataFrame | None = None, as_of: DataFrame | None = None, options: dict[str, dict] | None = None) -> DataFrame:
+    """(address, pattern_type, confidence): the best of every detector per address, registered ones among them. The branches run as one job.
+
+    seeds are the origins from which cycles and chains are searched (all accounts without them: the work then grows with degree to the
+    power of depth); as_of is one row with the present time, the newest transfer by default; options has arguments by detector. Flags
+    have the confidence of FLAG_CONFIDENCE, a share its own value, a burst a hundredth of its severity, 1 at most.
+    """
+    as_of = transfers.agg(F.max("timestamp")) if as_of is None else as_of
+    given = lambda name: (options or {}).get(name, {})
+    flat = lambda name, df: df.withColumn("confidence", F.lit(FLAG_CONFIDENCE[name]))
     found = {
-        "rapid_movement": rapid_movement(transfers), "circular_flow": circular_flow(edges, None, 2), "mixing": mixing(edges, metrics), "unusual_timing": unusual_timing(transfers), "round_numbers": round_numbers(transfers),
+        "rapid_movement": rapid_movement(transfers, **given("rapid_movement")),
+        "circular_flow": circular_flow(edges, seeds, **{"max_depth": 5} | given("circular_flow")),
+        "layering": layering(edges, seeds, **{"max_hops": 8} | given("layering")),
+        "mixing": mixing(edges, metrics),
+        "unusual_timing": unusual_timing(transfers, **given("unusual_timing")),
+        "round_numbers": round_numbers(transfers, **given("round_numbers")),
+        "behaviour": behaviour_summary(transfers).where("confidence > 0"),
+        "rapid_same_sender": flat("rapid_same_sender", rapid_same_sender(transfers, **given("rapid_same_sender")).withColumnRenamed("from_address", "address")),
+        "round_unit_share": round_unit_share(transfers, **given("round_unit_share")).where("flag").withColumn("confidence", F.col("share")),
+        "burst_counterparties": burst_counterparties(transfers, as_of, **given("burst_counterparties")).withColumn("confidence", top(1, F.col("severity") / 100)),
+        "splitting_layers": flat("splitting_layers", splitting_layers(transfers, **given("splitting_layers"))),
+        "mixer_behaviour": flat("mixer_behaviour", mixer_behaviour(transfers, **given("mixer_behaviour")).where("flag")),
+        "unusual_volume": flat("unusual_volume", unusual_volume(transfers, as_of, **given("unusual_volume"))),
+        "rapid_dispersion": rapid_dispersion(transfers, **given("rapid_dispersion")).withColumnRenamed("hub", "address"),
         **{k: f(transfers, edges) for k, f in _registry.items()},
-    }
+    }
     out = None
     for name, df in found.items():
-        part = df.groupBy("address").agg(F.max("confidence").alias("confidence")).select("address", F.lit(name).alias("pattern_type"), "confidence")
+        part = df.groupBy("address").agg(F.max("confidence").cast("double").alias("confidence")).select("address", F.lit(name).alias("pattern_type"), "confidence")
         out = part if out is None else out.unionByName(part)
     return out
 

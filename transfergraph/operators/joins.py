@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.times import micros
+from ..plans.cut import materialise
 from ..plans.ranges import within_after
 from .aggregates import AMOUNT
 from .sets import undirected_view
@@ -51,10 +52,20 @@ def two_hop_neighbourhood(edges: DataFrame, seeds: DataFrame) -> DataFrame:
 
 
 def common_connections(edges: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
-    """(from_address, to_address, common): for each edge (or pair) the number of accounts x with from -> x -> to."""
-    hops = two_hop_pairs(edges).where("via <> origin and via <> destination").groupBy(F.col("origin").alias("from_address"), F.col("destination").alias("to_address")).agg(F.countDistinct("via").alias("common"))
+    """(from_address, to_address, common): for each edge (or pair) the number of other accounts x with from -> x -> to.
+
+    Each pair is opened on the side of fewer links, the sender's receivers or the receiver's senders, and the far link is looked up: the
+    rows made are the sum of the lesser degrees, so two hubs that share a partner make no walks between all of their neighbours.
+    """
+    simple = materialise(edges.where("from_address <> to_address").select("from_address", "to_address").distinct())
     wanted = (edges if pairs is None else pairs).select("from_address", "to_address").distinct()
-    return wanted.join(hops, ["from_address", "to_address"], "left").fillna(0, ["common"])
+    given = simple.groupBy("from_address").agg(F.count("*").alias("_out"))
+    got = simple.groupBy("to_address").agg(F.count("*").alias("_in"))
+    ends = wanted.where("from_address <> to_address").join(given, "from_address").join(got, "to_address").select(F.col("from_address").alias("u"), F.col("to_address").alias("w"), (F.col("_out") <= F.col("_in")).alias("_ahead"))
+    ahead = ends.where("_ahead").join(simple, F.col("u") == F.col("from_address")).where("to_address <> w").select("u", "w", F.col("to_address").alias("from_address"), F.col("w").alias("to_address"))
+    back = ends.where("not _ahead").join(simple, F.col("w") == F.col("to_address")).where("from_address <> u").select("u", "w", F.col("u").alias("from_address"), F.col("from_address").alias("to_address"))
+    found = ahead.unionByName(back).join(simple, ["from_address", "to_address"]).groupBy(F.col("u").alias("from_address"), F.col("w").alias("to_address")).agg(F.count("*").alias("common"))
+    return wanted.join(found, ["from_address", "to_address"], "left").fillna(0, ["common"])
 
 
 def sequential_transfers(transfers: DataFrame, window_seconds: int = 300 * 60, tolerance: float | None = 0.15) -> DataFrame:

@@ -6,9 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.components import connected_components as components_of
-from ..plans.cut import materialise
+from ..plans.cut import drop, materialise
 from .aggregates import degrees
-from .joins import two_hop_pairs
 from .sets import undirected_view, vertices
 
 
@@ -45,12 +44,13 @@ def clustering_coefficient(edges: DataFrame) -> DataFrame:
     return out.withColumn("clustering", F.when(k > 1, 2 * F.col("triangles") / (k * (k - 1))).otherwise(0.0))
 
 
-def bfs(edges: DataFrame, sources: DataFrame, max_depth: int = 30) -> DataFrame:
-    """(source, address, distance, sigma): hops from each source along the edges and the number of shortest paths."""
+def bfs(edges: DataFrame, sources: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """(source, address, distance, sigma): hops from each source along the edges and the number of shortest paths; to the end of the graph if no depth is given."""
     e = materialise(edges.where("from_address <> to_address").select(F.col("from_address").alias("address"), F.col("to_address").alias("_to")).distinct())
     front = materialise(sources.select(F.col("address").alias("source"), "address", F.lit(0).alias("distance"), F.lit(1.0).alias("sigma")).distinct())
-    seen = front
-    for k in range(1, max_depth + 1):
+    seen, k = front, 0
+    while max_depth is None or k < max_depth:
+        k += 1
         near = front.join(e, "address").groupBy("source", F.col("_to").alias("address")).agg(F.sum("sigma").alias("sigma"))
         front = materialise(near.join(seen.select("source", "address"), ["source", "address"], "left_anti").select("source", "address", F.lit(k).alias("distance"), "sigma"))
         if front.isEmpty():
@@ -59,7 +59,14 @@ def bfs(edges: DataFrame, sources: DataFrame, max_depth: int = 30) -> DataFrame:
     return materialise(seen)
 
 
-def betweenness(edges: DataFrame, sources: DataFrame, max_depth: int = 30) -> DataFrame:
+def in_blocks(sources: DataFrame, size: int) -> list[DataFrame]:
+    """The sources in blocks of about `size`, by hash, so that a search from all vertices keeps one block's frontier at a time."""
+    n = sources.count()
+    blocks = max(1, -(-n // size))
+    return [sources.where(F.pmod(F.xxhash64("address"), F.lit(blocks)) == k) for k in range(blocks)] if blocks > 1 else [sources]
+
+
+def betweenness(edges: DataFrame, sources: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(address, betweenness): Brandes' dependencies summed over the sources and scaled by 2 / ((n - 1)(n - 2)); shortest paths are counted, not listed."""
     d = bfs(edges, sources, max_depth)
     e = edges.where("from_address <> to_address").select(F.col("from_address").alias("v"), F.col("to_address").alias("w")).distinct()
@@ -93,23 +100,38 @@ def betweenness(edges: DataFrame, sources: DataFrame, max_depth: int = 30) -> Da
 def betweenness_proxy(edges: DataFrame, more_than: int = 50) -> DataFrame:
     """Distinct accounts two steps away over 1000, for vertices of over `more_than` edges."""
     big = degrees(edges).where(F.col("degree") > more_than).select(F.col("address").alias("from_address"))
-    reach = two_hop_pairs(edges).join(big, F.col("origin") == F.col("from_address"), "left_semi").groupBy(F.col("origin").alias("address")).agg(F.countDistinct("destination").alias("reach"))
+    links = edges.select("from_address", "to_address").distinct()
+    first = links.join(big, "from_address", "left_semi").select(F.col("from_address").alias("address"), F.col("to_address").alias("via"))
+    walks = first.join(links.select(F.col("from_address").alias("via"), F.col("to_address").alias("other")), "via").where("address <> other")
+    reach = walks.select("address", "other").distinct().groupBy("address").agg(F.count("*").alias("reach"))
     return reach.withColumn("betweenness", F.col("reach") / 1000)
 
 
-def closeness(edges: DataFrame, targets: DataFrame, max_depth: int = 30) -> DataFrame:
-    """(address, reachable, closeness): by distances to the target along the edges, scaled by the share of vertices that reach it."""
+def closeness(edges: DataFrame, targets: DataFrame | None = None, max_depth: int | None = None, block: int = 100_000) -> DataFrame:
+    """(address, reachable, closeness) of the targets, or of every vertex: by distances to it along the edges, scaled by the share of vertices that reach it.
+
+    All vertices are searched in blocks, one after the other; the work grows with vertices times what each reaches.
+    """
     back = edges.select(F.col("to_address").alias("from_address"), F.col("from_address").alias("to_address"))
-    d = bfs(back, targets, max_depth).groupBy(F.col("source").alias("address")).agg((F.count("*") - 1).alias("reachable"), F.sum("distance").alias("_sum"))
+    every = vertices(edges) if targets is None else targets
+    d = None
+    for part in in_blocks(every, block):
+        got = bfs(back, part, max_depth).groupBy(F.col("source").alias("address")).agg((F.count("*") - 1).alias("reachable"), F.sum("distance").alias("_sum"))
+        d = got if d is None else d.unionByName(got)
     n = vertices(edges).agg(F.count("*").alias("_n"))
     x = d.crossJoin(F.broadcast(n))  # one row
     return x.select("address", "reachable", F.when((F.col("_sum") > 0) & (F.col("_n") > 1), F.col("reachable") / F.col("_sum") * F.col("reachable") / (F.col("_n") - 1)).otherwise(0.0).alias("closeness"))
 
 
+#: PageRank's lineage is cut by a written table after so many rounds.
+ROUNDS_A_CUT = 5
+
+
 def pagerank(edges: DataFrame, iterations: int = 20, damping: float = 0.85, weighted: bool = False, redistribute: bool = False) -> DataFrame:
     """(address, pagerank): (1 - d) / n + d * sum of rank / out-degree (or by volume share, weighted); with redistribute the rank of dead ends is shared by all.
 
-    Each iteration is a join and a partial aggregation; its result is written, so lineage and driver stay small.
+    Each iteration is a join and a partial aggregation in which every vertex takes part with 0; each fifth result is written, so lineage and
+    driver stay small.
     """
     w = F.col("total_volume").cast("double") if weighted else F.lit(1.0)
     e = edges.select(F.col("from_address").alias("address"), F.col("to_address").alias("_to"), w.alias("_w"))
@@ -119,13 +141,19 @@ def pagerank(edges: DataFrame, iterations: int = 20, damping: float = 0.85, weig
     n = nodes.count()
     if not n:
         return nodes.withColumn("pagerank", F.lit(0.0))
-    rank = nodes.withColumn("pagerank", F.lit(1.0 / n))
-    for _ in range(iterations):
-        got = rank.join(links, "address").groupBy(F.col("_to").alias("address")).agg(F.sum(F.col("pagerank") * F.col("_share")).alias("_in"))
+    rank, written = nodes.withColumn("pagerank", F.lit(1.0 / n)), None
+    for k in range(1, iterations + 1):
         lost = 0.0
         if redistribute:
             lost = rank.join(out, "address", "left_anti").agg(F.sum("pagerank")).first()[0] or 0.0
-        rank = materialise(nodes.join(got, "address", "left").select("address", (F.lit((1 - damping) / n + damping * lost / n) + damping * F.coalesce("_in", F.lit(0.0))).alias("pagerank")))
+        given = rank.join(links, "address").select(F.col("_to").alias("address"), (F.col("pagerank") * F.col("_share")).alias("_in"))
+        got = given.unionByName(nodes.withColumn("_in", F.lit(0.0))).groupBy("address").agg(F.sum("_in").alias("_in"))
+        rank = got.select("address", (F.lit((1 - damping) / n + damping * lost / n) + damping * F.col("_in")).alias("pagerank"))
+        if redistribute or k == iterations or not k % ROUNDS_A_CUT:
+            rank = materialise(rank)
+            if written is not None:
+                drop(written)
+            written = rank
     return rank
 
 
@@ -204,12 +232,20 @@ def common_neighbours_avg(edges: DataFrame) -> DataFrame:
     return c.select("address", F.when(F.col("neighbours") > 0, 2 * F.col("triangles") / F.col("neighbours")).otherwise(0.0).alias("average"))
 
 
-def network_metrics(edges: DataFrame, sources: DataFrame, iterations: int = 20) -> DataFrame:
-    """One row per vertex: degree centrality, clustering, pagerank, betweenness and closeness from the sources, common-neighbour average."""
+def network_metrics(edges: DataFrame, sources: DataFrame | None = None, iterations: int = 20, block: int = 100_000) -> DataFrame:
+    """One row per vertex: degree centrality, clustering, pagerank, betweenness, closeness, common-neighbour average.
+
+    Betweenness counts paths from the sources, or from every vertex, block by block; closeness is that of every vertex.
+    """
     c = clustering_coefficient(edges)
+    between = None
+    for part in in_blocks(vertices(edges) if sources is None else sources, block):
+        got = betweenness(edges, part)
+        between = got if between is None else between.unionByName(got)
+    between = between.groupBy("address").agg(F.sum("betweenness").alias("betweenness"))
     return (
         degree_centrality(edges).select("address", "degree", "centrality").join(c.select("address", "neighbours", "triangles", "clustering"), "address").join(pagerank(edges, iterations), "address")
-        .join(betweenness(edges, sources), "address").join(closeness(edges, sources).select("address", "closeness"), "address", "left")
+        .join(between, "address").join(closeness(edges, None, block=block).select("address", "closeness"), "address")
         .withColumn("common_average", F.when(F.col("neighbours") > 0, 2 * F.col("triangles") / F.col("neighbours")).otherwise(0.0))
     )
 

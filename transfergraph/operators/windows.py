@@ -74,17 +74,33 @@ def sessions(transfers: DataFrame, gap_seconds: float = 300, key: str = "from_ad
     return s.groupBy(key, "session").agg(F.count("*").alias("n"), F.min("timestamp").alias("start"), F.max("timestamp").alias("end"), F.sum("value").cast("decimal(38,0)").alias("volume"))
 
 
-def trailing(seconds: int, key: str = "address") -> Window:
-    return Window.partitionBy(key).orderBy("_us").rangeBetween(-seconds * US, 0)
+def rolling(events: DataFrame, windows: tuple[int, ...]) -> DataFrame:
+    """events (address, other, _us, value, ...) with n_w, volume_w and partners_w of the w seconds that end with each event, ties included.
+
+    What an event adds it takes away again when it leaves the window, or, for the partner, when the next event with that partner takes
+    over; so every figure is a running sum over three rows an event and window, and no window's rows are read again for each event.
+    """
+    seen = events.withColumn("_next", F.lead("_us").over(Window.partitionBy("address", "other").orderBy("_us")))
+    names = [f"{c}_{w}" for w in windows for c in ("n", "volume", "partners")]
+    nothing = {f"{c}_{w}": F.lit(0).cast(t) for w in windows for c, t in (("n", "long"), ("volume", "decimal(38,0)"), ("partners", "long"))}
+    one, v = F.lit(1).cast("long"), F.col("value").cast("decimal(38,0)")
+    rows = [seen.withColumns({f"{c}_{w}": x for w in windows for c, x in (("n", one), ("volume", v), ("partners", one))}).withColumn("_live", F.lit(True))]
+    for w in windows:
+        gone = F.col("_us") + w * US + 1
+        left = seen.withColumns(nothing | {f"n_{w}": -one, f"volume_{w}": -v}).withColumn("_us", gone)
+        over = seen.withColumns(nothing | {f"partners_{w}": -one}).withColumn("_us", F.least(gone, F.col("_next")))
+        rows += [x.withColumn("_live", F.lit(False)) for x in (left, over)]
+    every = rows[0]
+    for x in rows[1:]:
+        every = every.unionByName(x)
+    until = Window.partitionBy("address").orderBy("_us").rangeBetween(Window.unboundedPreceding, 0)
+    sums = {c: (F.sum(c).over(until).cast("decimal(38,0)") if c.startswith("volume") else F.sum(c).over(until)) for c in names}
+    return every.withColumns(sums).where("_live").drop("_live", "_next")
 
 
 def rolling_activity(transfers: DataFrame, windows: tuple[int, ...] = (300, 900, 3600)) -> DataFrame:
     """For each event of an address the count, volume and distinct counterparties of the window that ends with it."""
-    v = undirected_view(transfers).withColumn("_us", micros("timestamp"))
-    for w in windows:
-        over = trailing(w)
-        v = v.withColumns({f"n_{w}": F.count("*").over(over), f"volume_{w}": F.sum("value").over(over).cast("decimal(38,0)"), f"partners_{w}": F.size(F.collect_set("other").over(over))})
-    return v.drop("_us")
+    return rolling(undirected_view(transfers).withColumn("_us", micros("timestamp")), windows).drop("_us")
 
 
 def balance_events(transfers: DataFrame) -> DataFrame:
