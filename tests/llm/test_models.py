@@ -57,23 +57,31 @@ def test_mask_against_scan():
 # FM-index
 
 
-def test_fm_index_against_scan():
-    r = np.random.default_rng(4)
-    window = 40
-    base = r.integers(1, 6, 90)
-    parts = [base, base[20:75], np.concatenate((base[:60], [7], base[60:])), np.full(120, 3), r.integers(1, 900, 300)]
-    text = np.concatenate([np.append(p, 0) for p in parts])
-    start = np.cumsum([0] + [len(p) + 1 for p in parts[:-1]])
-    number = np.array([len(p) - window + 1 for p in parts])
-    index = fm_index.FMIndex(text, window)
-    seen = 0
-    for who, at, low, high in index.windows(start, number):
-        for w, k, a, b in zip(who, at, low, high, strict=True):
-            pattern = parts[w][k : k + window]
-            want = {i for i in range(len(text) - window + 1) if (text[i : i + window] == pattern).all()}
-            assert set(index.order[a:b].tolist()) == want
-            seen += 1
-    assert seen == number.sum()
+@pytest.mark.parametrize("seed", range(4))
+def test_matching_statistics_against_scan(seed):
+    """Streams that are partly in the index and partly not, with symbols that the index lacks."""
+    r, window = np.random.default_rng(seed), 40
+    base = r.integers(1, 6, 400)
+    passages = [np.concatenate((base[k : k + 90], [0])) for k in (0, 60, 200)] + [np.concatenate((r.integers(1, 6, 70), [0]))]
+    text = np.concatenate(passages)
+    streams = [base[:400], np.concatenate((base[10:70], [-1], base[210:280])), r.integers(1, 6, 60), np.concatenate((r.integers(1, 6, 20), base[30:80], r.integers(1, 6, 20))), base[50:90]]
+    stream, lengths = np.concatenate(streams), np.array([len(x) for x in streams])
+    start, number = np.cumsum(lengths) - lengths, lengths - window + 1
+    index, said = fm_index.FMIndex(text, window), {}
+    for who, last, length, low, high in index.matching_statistics(stream, start, number):
+        for w, e, n, lo, hi in zip(*(x.tolist() for x in (who, last, length, low, high)), strict=True):
+            assert (w, e) not in said
+            said[w, e] = n
+            if n == window:
+                want = {k for k in range(len(text) - window + 1) if (text[k : k + window] == streams[w][e - window + 1 : e + 1]).all()}
+                assert set(index.order[lo:hi].tolist()) == want
+    held = {tuple(text[k : k + n].tolist()) for n in range(1, window + 1) for k in range(len(text) - n + 1)}
+    for w, x in enumerate(streams):
+        for e in range(window - 1, len(x)):
+            n = 0
+            while n < window and tuple(x[e - n : e + 1].tolist()) in held:
+                n += 1
+            assert said[w, e] == n
     with pytest.raises(ValueError):
         fm_index.FMIndex(text, 20)
 

@@ -88,25 +88,35 @@ class FMIndex:
         """One step of backward search: the range of symbol + pattern from the range of pattern."""
         return self.counts[symbol] + self.bwt.rank(symbol, low), self.counts[symbol] + self.bwt.rank(symbol, high)
 
-    def windows(self, start: np.ndarray, number: np.ndarray):
-        """Ranges of the windows of passages text[start : start + number + window - 1], all passages at once, from the right.
-
-        Yields (passages, window within passage, low, high). After each match the last symbol is let go, which widens the range to the
-        group of equal window - 1 symbols, and one step to the left gives the next window: the walk of matching statistics, cut off at
-        the threshold.
+    def matching_statistics(self, stream: np.ndarray, start: np.ndarray, number: np.ndarray):
+        """Stream passages stream[start : start + number + window - 1] through the index, all at once, each from its right end.
+
+        Yields (passage, last symbol's place in it, length, low, high): for the places from window - 1 on, the length of the longest match
+        that ends there, cut off at `window`, and the range of a match of full length (low = high = 0 for a shorter one). A symbol
+        below 0 is in no passage of the index. Each step of backward search takes one symbol to the left. A full match lets its last
+        symbol go, which widens the range to the group of equal window - 1 symbols; after a mismatch the search starts anew one
+        place to the left.
         """
-        at = start + number + self.window - 2
-        low, high = np.zeros(len(start), np.int64), np.full(len(start), len(self.text), np.int64)
-        for _ in range(self.window):
-            low, high = self.extend(self.text[at], low, high)
-            at = at - 1
-        left, who = number - 1, np.arange(len(start))
+        n = len(self.text)
+        who, end = np.arange(len(start)), start + number + self.window - 2
+        length, low, high = np.zeros(len(start), np.int64), np.zeros(len(start), np.int64), np.full(len(start), n, np.int64)
         while len(who):
-            yield who, left, low, high
-            more = left > 0
-            who, left, at = who[more], left[more] - 1, at[more]
-            low, high = self.extend(self.text[at], self.low[low[more]], self.high[low[more]])
-            at = at - 1
+            symbol = stream[end - length]
+            known = symbol >= 0
+            l, h = self.extend(np.where(known, symbol, 0), low, high)
+            on = known & (h > l)
+            length, low, high = length + on, np.where(on, l, 0), np.where(on, h, 0)
+            out = ~on | (length == self.window)
+            if out.any():
+                full = length[out] == self.window
+                yield who[out], end[out] - start[who[out]], length[out], np.where(full, low[out], 0), np.where(full, high[out], 0)
+                shift = out & on
+                low, high = np.where(shift, self.low[np.minimum(low, n - 1)], low), np.where(shift, self.high[np.minimum(low, n - 1)], high)
+                length = np.where(shift, length - 1, np.where(on, length, 0))
+                low, high = np.where(on, low, 0), np.where(on, high, n)
+                end = end - out
+                more = end - self.window + 1 >= start[who]
+                who, end, length, low, high = who[more], end[more], length[more], low[more], high[more]
 
     def least(self, values: np.ndarray) -> np.ndarray:
         """For each place in the order the least of values (one per text position) over its group of equal windows."""

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -13,8 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from ..plans.cut import materialise
-from .common import map_rows, slices, table, text_hash
+from ..plans.cut import drop, materialise
+from ..plans.hot import join_counted
+from .common import map_rows, pa_schema, slices, table, text_hash
 from .fm_index import FMIndex
 
 WINDOW = 50
@@ -23,8 +24,8 @@ ANCHOR = 24
 #: A run of windows with the same anchor is cut into segments of at most so many windows.
 SEGMENT_WINDOWS = 64
 #: Words in a shard, about.
-SHARD_WORDS = 1_500_000
-#: A key with more distinct segments than this is dealt out window by window.
+SHARD_WORDS = 750_000
+#: Of a key with more distinct segments than this each distinct window is a passage of its own.
 KEY_SEGMENTS = 10_000
 BASE, ODD = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 INVERSE = pow(BASE, -1, 1 << 64)
@@ -44,8 +45,8 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def prefix(words: list[bytes]) -> np.ndarray:
-    h = np.fromiter(map(xxh64_intdigest, words, repeat(5)), np.uint64, len(words))
+def prefix(words: list[bytes], seed: int = 5) -> np.ndarray:
+    h = np.fromiter(map(xxh64_intdigest, words, repeat(seed)), np.uint64, len(words))
     return np.concatenate((np.zeros(1, np.uint64), np.cumsum(h * powers(BASE, len(h)), dtype=np.uint64)))
 
 
@@ -94,49 +95,63 @@ def segments(docs: DataFrame, window: int) -> DataFrame:
     return rows.mapInArrow(run, "doc long, text_hash long, key long, seg long, first int, number int")
 
 
-def _passages(text: bytes, wanted: list[dict], window: int) -> Iterator[tuple]:
-    """(route, key, seg, offset, number, words) of the wanted segments of a text; those of a hot key window by window."""
-    words = text.split()
-    p = prefix(words) if any(w["hot"] for w in wanted) else None
+#: A passage: where it is sent, what it is (key and seg), windows in it, the least document with it, its words.
+PASSAGE = "key long, seg long, number int, doc long, words binary"
+
+
+def _rows_of(batches: Iterator[pa.RecordBatch], rows_of_text: Callable[[int, int, list[bytes], list[dict]], Iterator[tuple]], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Rows of doc, text_hash, text, wanted."""
+    for batch in batches:
+        for part in slices(batch, 200):
+            rows = [x for doc, h, text, want in zip(*(part.column(k) for k in range(4)), strict=True) for x in rows_of_text(doc.as_py(), h.as_py(), text.as_py().split(), want.as_py())]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+
+def _passages(doc: int, h: int, words: list[bytes], wanted: list[dict], window: int) -> Iterator[tuple]:
     for w in wanted:
         at, n = w["first"], w["number"]
-        if not w["hot"]:
-            yield w["key"], w["key"], w["seg"], 0, n, b" ".join(words[at : at + n + window - 1])
-            continue
-        route = hashes(p, np.arange(at, at + n), window).view(np.int64)
-        for k in range(n):
-            yield int(route[k]), w["key"], w["seg"], k, 1, b" ".join(words[at + k : at + k + window])
+        yield w["key"], w["seg"], n, doc, b" ".join(words[at : at + n + window - 1])
+
+
+def _windows(doc: int, h: int, words: list[bytes], wanted: list[dict], window: int) -> Iterator[tuple]:
+    """Each window of the wanted segments: two hashes of it, its segment, its place there, the document and its place in it."""
+    p, q = prefix(words), prefix(words, 11)
+    for w in wanted:
+        at = np.arange(w["first"], w["first"] + w["number"])
+        for k, x, y in zip(range(len(at)), hashes(p, at, window).view(np.int64).tolist(), hashes(q, at, window).view(np.int64).tolist(), strict=True):
+            yield x, y, w["key"], w["seg"], k, doc, h, w["first"] + k
 
 
 def _search_shard(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    """Index the passages of a shard and stream them through it. In: key, seg, off, number, doc, words; out: key, seg, off, least."""
+    """Index the passages of a shard and stream passages through it. Out: key, seg, least (of each window the least document, or null if it is in none)."""
     seen: dict[tuple, int] = {}
     rows = []
     for batch in batches:
-        for key, seg, off, number, doc, words in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
-            if (key, seg, off) not in seen:
-                seen[key, seg, off] = len(rows)
-                rows.append((key, seg, off, number, doc, words))
+        for key, seg, number, doc, words in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+            if (key, seg) not in seen:
+                seen[key, seg] = len(rows)
+                rows.append((key, seg, number, doc, words))
     if not rows:
         return
-    words = b" \x00 ".join(r[5] for r in rows).split(b" ")
+    words = b" \x00 ".join(r[4] for r in rows).split(b" ")
     ids, names = pd.factorize(np.array([*words, b"\x00"], dtype=object))
+    del words, names
     zero = ids[-1]
     text = np.where(ids == zero, 0, np.where(ids < zero, ids + 1, ids)).astype(np.int64)  # each passage ends with 0
-    number = np.array([r[3] for r in rows])
+    number = np.array([r[2] for r in rows])
     length = number + window
     start = np.cumsum(length) - length
     index = FMIndex(text, window)
-    least = index.least(np.repeat(np.array([r[4] for r in rows], np.int64), length))
-    out = np.empty(int(number.sum()), np.int64)
+    least = index.least(np.repeat(np.array([r[3] for r in rows], np.int64), length))
+    out, found = np.zeros(int(number.sum()), np.int64), np.zeros(int(number.sum()), bool)
     ends = np.cumsum(number)
-    for who, at, low, high in index.windows(start, number):
-        if not (high > low).all():
-            raise AssertionError("a passage is not in its own index")
-        out[(ends - number)[who] + at] = least[low]
-    yield pa.RecordBatch.from_arrays(
-        [*(pa.array([r[k] for r in rows], t) for k, t in ((0, pa.int64()), (1, pa.int64()), (2, pa.int32()))), pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), pa.array(out))], names=["key", "seg", "off", "least"]
-    )
+    for who, last, matched, low, _ in index.matching_statistics(text, start, number):
+        at = (ends - number)[who] + last - window + 1
+        found[at] = matched >= window
+        out[at] = least[low]
+    columns = [*(pa.array([r[k] for r in rows], pa.int64()) for k in (0, 1)), pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), pa.array(out, mask=~found))]
+    yield pa.RecordBatch.from_arrays(columns, names=["key", "seg", "least"])
 
 
 def texts_of(docs: DataFrame) -> DataFrame:
@@ -147,39 +162,60 @@ def texts_of(docs: DataFrame) -> DataFrame:
 def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc_id, text_hash, starts array<int>, ends array<int>): for each row with any, runs of windows (first, last) that also start in a document with a smaller doc_id.
 
-    A window is `window` words, compared as they are. Every window is sent by its anchor: equal windows have equal anchors, so segments
-    whose anchor is found in one document alone can't repeat and stay where they are. Of the others each distinct one is indexed once,
-    under the smallest doc_id that has it. Nothing is sampled or capped; a key of very many segments is split into its windows.
+    A window is `window` words (33 to 64), compared as they are. Every window is sent by its anchor: equal windows have equal anchors, so segments
+    whose anchor is found in one document alone can't repeat and stay where they are. Of the others equal ones are folded, under the
+    smallest doc_id that has them, before their words are shuffled; each is indexed in its shard and streamed through the index, and the
+    intervals whose matching statistics reach the window are joined back to every document that has the segment. Nothing is sampled or
+    capped: of a key of very many segments each distinct window is a passage of its own, folded first, and joins on keys and segments
+    that a great share of the rows have meet a bounded broadcast.
     """
+    if not 33 <= window <= 64:
+        raise ValueError("window is from 33 to 64")
     spark = docs.sparkSession
     every = materialise(segments(docs, window))
-    shared = every.groupBy("key").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a < b").select("key")
-    some = materialise(every.join(shared, "key"))
-    distinct = some.groupBy("key", "seg", "number").agg(F.min(F.struct("doc", "text_hash", "first")).alias("at"))
-    distinct = materialise(distinct.select("key", "seg", "number", "at.*"))
-    hot = distinct.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > KEY_SEGMENTS).select("key", F.lit(True).alias("hot"))
-    words = distinct.agg(F.coalesce(F.sum(F.col("number") + window), F.lit(0))).first()[0]
-    wanted = distinct.join(hot, "key", "left").groupBy("doc", "text_hash").agg(F.collect_list(F.struct("key", "seg", "first", "number", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("wanted"))
-    with_text = texts_of(docs).join(wanted, F.col("doc_id").eqNullSafe(F.col("doc")) & (F.col("h") == F.col("text_hash"))).select("doc", "text", "wanted")
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
-        for batch in batches:
-            for part in slices(batch, 200):
-                rows = [(r, k, s, o, n, doc.as_py(), w) for doc, text, want in zip(*(part.column(k) for k in range(3)), strict=True) for r, k, s, o, n, w in _passages(text.as_py(), want.as_py(), window)]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["route", "key", "seg", "off", "number", "doc", "words"])
-
-    passages = with_text.mapInArrow(cut, "route long, key long, seg long, off int, number int, doc long, words binary")
+    shared = every.groupBy("key").agg(F.min("doc").alias("a"), F.max("doc").alias("b"), F.count("*").alias("n")).where("a < b").select("key", "n")
+    some = materialise(join_counted(every, shared, ["key"], "n"))
+    drop(every)
+    distinct = some.groupBy("key", "seg", "number").agg(F.min(F.struct("doc", "text_hash", "first")).alias("at"), F.count("*").alias("n"))
+    distinct = materialise(distinct.select("key", "seg", "number", "n", "at.*"))
+    many = materialise(distinct.groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") > KEY_SEGMENTS))
+    plain = distinct if many.isEmpty() else distinct.join(many.select("key"), "key", "left_anti")
+    if not many.isEmpty():
+        split = join_counted(distinct, many, ["key"], "c")
+        schema = pa_schema(spark, WINDOWS)
+        every_window = _with_texts(docs, split).mapInArrow(lambda b: _rows_of(b, lambda *x: _windows(*x, window), schema), WINDOWS)
+        every_window = materialise(every_window)
+        folded = every_window.groupBy("w1", "w2").agg(F.min(F.struct("doc", "text_hash", "place")).alias("at"), F.count("*").alias("c"))
+        folded = materialise(folded.select("w1", "w2", "c", F.col("at.doc").alias("doc"), F.col("at.text_hash").alias("text_hash"), F.col("at.place").alias("first")))
+        plain = plain.select("key", "seg", "number", "doc", "text_hash", "first").unionByName(folded.select(F.col("w1").alias("key"), F.col("w2").alias("seg"), F.lit(1).alias("number"), "doc", "text_hash", "first"))
+    words = plain.agg(F.coalesce(F.sum(F.col("number") + window), F.lit(0))).first()[0]
     shards = max(1, -(-int(words) // SHARD_WORDS))
-    found = passages.repartition(shards, "route").select("key", "seg", "off", "number", "doc", "words").mapInArrow(lambda b: _search_shard(b, window), "key long, seg long, off int, least array<long>")
-    runs = some.select("doc", "text_hash", "key", "seg", "first").join(found, ["key", "seg"]).where("exists(least, x -> x < doc)")
-    runs = runs.withColumn("hit", F.expr("transform(least, x -> x < doc)")).withColumn("n", F.size("least") - 1)
-    runs = runs.withColumn("starts", F.expr("transform(filter(sequence(0, n), j -> hit[j] and (j = 0 or not hit[j - 1])), j -> first + off + j)"))
-    runs = runs.withColumn("ends", F.expr("transform(filter(sequence(0, n), j -> hit[j] and (j = n or not hit[j + 1])), j -> first + off + j)"))
+    schema_ = pa_schema(spark, PASSAGE)
+    passages = _with_texts(docs, plain).mapInArrow(lambda b: _rows_of(b, lambda *x: _passages(*x, window), schema_), PASSAGE)
+    found = passages.repartition(shards, "key").mapInArrow(lambda b: _search_shard(b, window), "key long, seg long, least array<long>")
+    if not many.isEmpty():
+        found = materialise(found)
+        one = folded.select("w1", "w2", "c").join(found.select(F.col("key").alias("w1"), F.col("seg").alias("w2"), F.col("least")[0].alias("first_doc")), ["w1", "w2"])
+        of_windows = join_counted(every_window, one, ["w1", "w2"], "c")
+        whole = of_windows.groupBy("key", "seg").agg(F.sort_array(F.collect_set(F.struct("off", "first_doc"))).alias("x")).select("key", "seg", F.col("x.first_doc").alias("least"))
+        found = found.unionByName(whole)  # rows of single windows have no segment to meet
+    counted = found.join(distinct.select("key", "seg", "n"), ["key", "seg"])
+    runs = join_counted(some.select("doc", "text_hash", "key", "seg", "first"), counted, ["key", "seg"], "n").where("exists(least, x -> x < doc)")
+    runs = runs.withColumn("hit", F.expr("transform(least, x -> coalesce(x < doc, false))")).withColumn("n", F.size("least") - 1)
+    runs = runs.withColumn("starts", F.expr("transform(filter(sequence(0, n), j -> hit[j] and (j = 0 or not hit[j - 1])), j -> first + j)"))
+    runs = runs.withColumn("ends", F.expr("transform(filter(sequence(0, n), j -> hit[j] and (j = n or not hit[j + 1])), j -> first + j)"))
     return runs.groupBy(F.col("doc").alias("doc_id"), "text_hash").agg(F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("ends")).alias("ends"))
 
 
+WINDOWS = "w1 long, w2 long, key long, seg long, off int, doc long, text_hash long, place int"
+
+
+def _with_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(doc, text_hash, text, wanted): the segments wanted of each row beside its text."""
+    each = wanted.groupBy("doc", "text_hash").agg(F.collect_list(F.struct("key", "seg", "first", "number")).alias("wanted"))
+    return texts_of(docs).join(each, F.col("doc_id").eqNullSafe(F.col("doc")) & (F.col("h") == F.col("text_hash"))).select("doc", "text_hash", "text", "wanted")
+
+
 def cut_out(text: bytes | None, starts: list[int] | None, ends: list[int] | None, window: int) -> tuple[int, int, bytes]:
     """(words, words removed, kept words joined by a space)."""
     words = (text or b"").split()
