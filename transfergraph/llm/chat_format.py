@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +22,8 @@ DEFAULT_TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 TOKENIZER_BYTES = 64 << 20
 #: Conversations that are encoded together.
 BATCH = 64
+#: Or fewer, once their texts have so many characters.
+BATCH_CHARS = 4 << 20
 
 
 @dataclass(frozen=True)
@@ -96,57 +99,72 @@ def _tokenizer(vocabulary: str, controls: tuple[str, ...]) -> Tokenizer:
     return made
 
 
-def _format(done: list[tuple[object, list[tuple[str, str]]]], tokenizer: Tokenizer, template: Template) -> Iterator[tuple]:
+def _lists(parts: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
+    """A list column from one array a row, without a Python object for each value."""
+    ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts) if parts else np.empty(0), kind))
+
+
+FORMATTED = "conv_id long, n_turns long, formatted string, ids array<int>, starts array<int>, ends array<int>, mask array<tinyint>"
+
+
+def _format(done: list[tuple[object, list[tuple[str, str]]]], tokenizer: Tokenizer, template: Template) -> pa.RecordBatch:
     drawn = [template.render(turns) for _, turns in done]
     codes = tokenizer.encode_batch([t for t, _ in drawn], add_special_tokens=False)
-    for (conv, turns), (text, spans), code in zip(done, drawn, codes, strict=True):
-        offsets = np.array(code.offsets, np.int64).reshape(-1, 2)
-        yield conv, len(turns), text, code.ids, offsets[:, 0].tolist(), offsets[:, 1].tolist(), loss_mask(offsets, spans).tolist()
-
+    offsets = [np.fromiter(chain.from_iterable(c.offsets), np.int32).reshape(-1, 2) for c in codes]
+    masks = [loss_mask(at, spans) for at, (_, spans) in zip(offsets, drawn, strict=True)]
+    columns = [
+        pa.array([conv for conv, _ in done], pa.int64()), pa.array([len(turns) for _, turns in done], pa.int64()), pa.array([t for t, _ in drawn], pa.string()),
+        _lists([np.array(c.ids, np.int32) for c in codes], pa.int32()), _lists([x[:, 0] for x in offsets], pa.int32()), _lists([x[:, 1] for x in offsets], pa.int32()), _lists(masks, pa.int8()),
+    ]
+    return pa.RecordBatch.from_arrays(columns, names=["conv_id", "n_turns", "formatted", "ids", "starts", "ends", "mask"])
 
-def format_conversations(turns: DataFrame, tokenizer_path: str = DEFAULT_TOKENIZER, template: Template | None = None) -> DataFrame:
-    """(conv_id, n_turns, formatted, ids, starts, ends, mask): one row per conversation.
 
-    turns: conv_id, turn, role, text; other columns are not read. Rows go by turn (null first), equal turns by role and text;
-    repeated rows are turns too. A null role or text is empty; rows without a conv_id are one conversation. Rows are dealt by conv_id and
-    sorted by Spark, which spills; a task holds BATCH conversations at a time.
-    """
-    template = template or Template()
-    spark = turns.sparkSession
+def _formatted(turns: DataFrame, tokenizer_path: str, template: Template, then: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """Format in one pass over the sorted turns, and hand each batch on to `then` in the same task."""
     with open(tokenizer_path, encoding="utf-8") as f:
         vocabulary = f.read()
     if len(vocabulary) > TOKENIZER_BYTES:
         raise ValueError(f"{tokenizer_path} is over {TOKENIZER_BYTES} bytes")
-    sent = spark.sparkContext.broadcast(vocabulary)
-    schema = "conv_id long, n_turns long, formatted string, ids array<int>, starts array<int>, ends array<int>, mask array<tinyint>"
-    fields = pa_schema(spark, schema)
+    sent = turns.sparkSession.sparkContext.broadcast(vocabulary)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def batched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = _tokenizer(sent.value, template.controls)
         done: list[tuple[object, list[tuple[str, str]]]] = []
-
-        def flush(upto: int) -> pa.RecordBatch:
-            rows = list(zip(*_format(done[:upto], tokenizer, template), strict=True))
-            del done[:upto]
-            return pa.RecordBatch.from_arrays([pa.array(list(x), f.type) for x, f in zip(rows, fields, strict=True)], schema=fields)
-
+        held = 0
         for batch in batches:
             for part in slices(batch, 5000):
                 for conv, role, text in zip(*(part.column(k).to_pylist() for k in range(3)), strict=True):
                     if not done or done[-1][0] != conv:
-                        if len(done) >= BATCH:
-                            yield flush(len(done))
+                        if len(done) >= BATCH or held >= BATCH_CHARS:
+                            yield _format(done, tokenizer, template)
+                            done, held = [], 0
                         done.append((conv, []))
                     done[-1][1].append((role or "", text or ""))
+                    held += len(text or "")
         if done:
-            yield flush(len(done))
+            yield _format(done, tokenizer, template)
 
     rows = turns.select("conv_id", "turn", "role", "text").repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return rows.select("conv_id", "role", "text").mapInArrow(run, schema)
+    return rows.select("conv_id", "role", "text").mapInArrow(lambda batches: then(batched(batches)), schema)
 
 
-def _digest(part: pa.RecordBatch, template: Template) -> Iterator[tuple]:
-    for conv, n, text, starts, ends, mask in zip(*(part.column(k) for k in range(6)), strict=True):
+def format_conversations(turns: DataFrame, tokenizer_path: str = DEFAULT_TOKENIZER, template: Template | None = None) -> DataFrame:
+    """(conv_id, n_turns, formatted, ids, starts, ends, mask): one row per conversation.
+
+    turns: conv_id, turn, role, text; other columns are not read. Rows go by turn (null first), equal turns by role and text;
+    repeated rows are turns too. A null role or text is empty; rows without a conv_id are one conversation; an empty table gives no rows.
+    Rows are dealt by conv_id and sorted by Spark, which spills; a task holds BATCH conversations or BATCH_CHARS characters, and one
+    conversation at least, at a time: a very long one is one row of the result and needs its room.
+    """
+    return _formatted(turns, tokenizer_path, template or Template(), lambda batches: batches, FORMATTED)
+
+
+DIGESTS = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_tokens long"
+
+
+def _digest(batch: pa.RecordBatch, template: Template) -> Iterator[tuple]:
+    for conv, text, starts, ends, mask in zip(*(batch.column(k) for k in ("conv_id", "formatted", "starts", "ends", "mask")), strict=True):
         text = text.as_py()
         offsets = np.stack([starts.values.to_numpy(), ends.values.to_numpy()], axis=1).astype(np.int64).reshape(-1, 2)
         lost = masked_text(text, offsets, mask.values.to_numpy(), template)
@@ -155,19 +173,23 @@ def _digest(part: pa.RecordBatch, template: Template) -> Iterator[tuple]:
         yield conv.as_py(), len(turns), hashlib.sha256(said.encode()).hexdigest(), len(lost), hashlib.sha256(lost.encode()).hexdigest(), len(text), len(offsets)
 
 
+def _digested(batches: Iterator[pa.RecordBatch], template: Template, fields: pa.Schema) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in slices(batch, 500):
+            rows = list(zip(*_digest(part, template), strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(list(x), f.type) for x, f in zip(rows, fields, strict=True)], schema=fields)
+
+
 def digests(formatted: DataFrame, template: Template | None = None) -> DataFrame:
     """What the formatted conversations hold, read back from text, offsets and mask alone."""
-    template = template or Template()
-    schema = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_tokens long"
-    fields = pa_schema(formatted.sparkSession, schema)
+    template, fields = template or Template(), pa_schema(formatted.sparkSession, DIGESTS)
+    return formatted.mapInArrow(lambda batches: _digested(batches, template, fields), DIGESTS)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, 500):
-                rows = list(zip(*_digest(part, template), strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(list(x), f.type) for x, f in zip(rows, fields, strict=True)], schema=fields)
 
-    return formatted.select("conv_id", "n_turns", "formatted", "starts", "ends", "mask").mapInArrow(run, schema)
+def format_digests(turns: DataFrame, tokenizer_path: str = DEFAULT_TOKENIZER, template: Template | None = None) -> DataFrame:
+    """digests(format_conversations(turns)) in one pass: each batch is read back in the task that formatted it."""
+    template, fields = template or Template(), pa_schema(turns.sparkSession, DIGESTS)
+    return _formatted(turns, tokenizer_path, template, lambda batches: _digested(batches, template, fields), DIGESTS)
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -175,7 +197,7 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     extra = spark.range(1).select(F.lit(-1).cast("long").alias("conv_id"), F.posexplode(F.array(F.lit("user"), F.lit("assistant"))).alias("turn", "role"))
     extra = extra.select("conv_id", F.col("turn").cast("long").alias("turn"), "role", F.lit(said).alias("text"))
     turns = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text").unionByName(extra)
-    return digests(format_conversations(turns)).drop("n_tokens")
+    return format_digests(turns).drop("n_tokens")
 
 
 ORACLE = r"""
