@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..plans.components import connected_components
@@ -20,8 +20,8 @@ SIMILARITY = 0.8
 #: A pair of similarity s shares no band with probability (1 - s^8)^36: 0.0013 at 0.8, 0.00002 at 0.85.
 BANDS, BAND_ROWS = 36, 8
 HASHES = BANDS * BAND_ROWS
-#: Standard deviations below the similarity asked for at which a pair's share of equal MinHash values rules it out (a chance under 1e-10).
-SLACK = 6.5
+#: Standard deviations below what the similarity asked for leads to at which a pair's share of equal 2-bit MinHash values rules it out (a chance of 3e-7).
+SLACK = 5
 #: Shingles that are permuted at a time, so that a very long text takes bounded memory.
 SHINGLES_AT_ONCE = 256
 #: Rounds of comparing each bucket's members with one of them, before the pairs that are left.
@@ -57,8 +57,21 @@ def bands(least: np.ndarray) -> np.ndarray:
     return (key ^ (key >> np.uint64(32))).view(np.int64)
 
 
+def code(least: np.ndarray) -> np.ndarray:
+    """The low two bits of each MinHash value, 32 to a 64-bit integer."""
+    return ((least & np.uint32(3)).astype(np.uint64).reshape(-1, 32) << (np.arange(32, dtype=np.uint64) * np.uint64(2))).sum(axis=1, dtype=np.uint64).view(np.int64)
+
+
+def alike(x: str, y: str, similarity: float) -> Column:
+    """Whether two codes agree often enough for the similarity; values that differ agree in two bits one time in four."""
+    agree = similarity + (1 - similarity) / 4
+    most = HASHES * (1 - agree) + SLACK * (HASHES * agree * (1 - agree)) ** 0.5
+    differ = " + ".join(f"bit_count((({x}[{k}] ^ {y}[{k}]) | shiftrightunsigned({x}[{k}] ^ {y}[{k}], 1)) & 6148914691236517205L)" for k in range(HASHES // 32))
+    return F.expr(differ) <= F.lit(most)
+
+
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of h, text: h, fp, size, bands, sketch (the low bytes of the MinHash values), once for each h of a task."""
+    """Of h, text: h, fp, size, bands, code, once for each h of a task."""
     seen: set[int] = set()
     for batch in batches:
         for part in slices(batch, 500):
@@ -70,12 +83,11 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     found = np.unique(every)
                     least = minhash(found)
                     h.append(key)
-                    rows.append((fold(every), len(found), bands(least), least.astype(np.uint8).tobytes()))
+                    rows.append((fold(every), len(found), bands(least), code(least)))
             if h:
-                fp, size, keys, sketch = zip(*rows, strict=True)
-                ends = pa.array(np.arange(0, (len(h) + 1) * BANDS, BANDS, dtype=np.int32))
-                columns = [pa.array(h, pa.int64()), pa.array(fp, pa.int64()), pa.array(size, pa.int32()), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(keys))), pa.array(sketch, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=["h", "fp", "size", "bands", "sketch"])
+                fp, size, *lists = zip(*rows, strict=True)
+                lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(h) + 1, dtype=np.int32) * len(x[0])), pa.array(np.concatenate(x))) for x in lists]
+                yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(fp, pa.int64()), pa.array(size, pa.int32()), *lists], names=["h", "fp", "size", "bands", "code"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -84,15 +96,6 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingles(t.as_py()).tobytes() for t in part.column(1)], pa.binary())], names=["h", "found"])
 
 
-def _likely(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
-    """The pairs whose sketches agree often enough."""
-    least = HASHES * similarity - SLACK * (HASHES * similarity * (1 - similarity)) ** 0.5
-    for batch in batches:
-        for part in slices(batch, 4096):
-            x, y = (np.frombuffer(b"".join(part.column(k).to_pylist()), np.uint8).reshape(-1, HASHES) for k in (2, 3))
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], names=["src", "dst"]).filter(pa.array((x == y).sum(axis=1) >= least))
-
-
 def _similar(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keep = []
@@ -112,9 +115,9 @@ def _both_ends(pairs: DataFrame, of: DataFrame, column: str) -> DataFrame:
 
 def _simhash_pairs(signed: DataFrame) -> DataFrame:
     """(src, dst) that span the groups of texts whose fingerprints are linked in the trie self-join, at three bits or fewer."""
-    alike = materialise(signed.select("h", "fp").distinct())
-    first = materialise(alike.groupBy("fp").agg(F.min("h").alias("first"), F.count("*").alias("n")))
-    equal = join_counted(alike, first.where("n > 1"), ["fp"], "n").select(F.col("h").alias("src"), F.col("first").alias("dst"))
+    same = materialise(signed.select("h", "fp").distinct())
+    first = materialise(same.groupBy("fp").agg(F.min("h").alias("first"), F.count("*").alias("n")))
+    equal = join_counted(same, first.where("n > 1"), ["fp"], "n").select(F.col("h").alias("src"), F.col("first").alias("dst"))
     links = near_links(first.select("fp"))
     ends = links.join(first.select(F.col("fp").alias("src"), F.col("first").alias("a")), "src").join(first.select(F.col("fp").alias("dst"), F.col("first").alias("b")), "dst")
     return equal.unionByName(ends.select(F.col("a").alias("src"), F.col("b").alias("dst")))
@@ -126,17 +129,17 @@ def near_texts(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     h is the text's hash, component the least of its component. Equal texts are one node. Candidates are the groups that the SimHash
     trie links and, for what three bits don't see, the texts that share a band of MinHash values: in each bucket all are compared with
     the member that shares the most, in a second round with another one; pairs of a bucket that are not in one component then
-    are all compared. A candidate whose sketches differ too much is out; the exact shingle sets decide the rest.
+    are all compared by their codes, within the join. A candidate whose codes differ too much is out; the exact shingle sets decide the rest.
     Texts without words are linked with each other. An empty table gives no rows; only doc_id-free columns are read, so ids may be null or repeat.
     """
-    signed = materialise(docs.select(text_hash().alias("h"), F.col("text").cast("binary").alias("text")).mapInArrow(_signed, "h long, fp long, size int, bands array<long>, sketch binary"))
+    signed = materialise(docs.select(text_hash().alias("h"), F.col("text").cast("binary").alias("text")).mapInArrow(_signed, "h long, fp long, size int, bands array<long>, code array<long>"))
     entries = signed.select("h", "size", F.explode("bands").alias("band"))
     shared = materialise(entries.groupBy("band").agg(F.count("*").alias("n"), F.min("h").alias("low"), F.max("h").alias("high")).where("low < high").select("band", "n"))
     entries = materialise(join_counted(entries, shared.withColumn("rows", F.col("n")), ["band"], "rows", rows=signed.count() * BANDS, write=False).distinct())
     weight = entries.groupBy("h").agg(F.sum("n").alias("weight"))
     by_simhash = materialise(_simhash_pairs(signed))
     nodes = entries.select("h").unionByName(by_simhash.select(F.col("src").alias("h"))).unionByName(by_simhash.select(F.col("dst").alias("h"))).distinct()
-    sketches = materialise(signed.select("h", "size", "sketch").join(nodes, "h", "left_semi").groupBy("h").agg(F.first("size").alias("size"), F.first("sketch").alias("sketch")))
+    codes = materialise(signed.select("h", "code").join(nodes, "h", "left_semi").groupBy("h").agg(F.first("code").alias("code")))
     links = checked = sets = groups = None
     now = entries.withColumn("component", F.col("h"))
     for k in range(STAR_ROUNDS + 1):
@@ -145,14 +148,17 @@ def near_texts(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
             order = F.struct(*([F.col("weight")] if k == 0 else []), F.xxhash64("h", F.lit(k)).alias("o"), "h", "size", "component")
             a = (now.join(weight, "h") if k == 0 else now).groupBy("band").agg(F.max(order).alias("at"), F.count("*").alias("n")).select("band", "n", *(F.col(f"at.{c}").alias(f"{c}_a") for c in ("h", "size", "component")))
         close = F.least("size_a", "size_b") >= F.lit(similarity) * F.greatest("size_a", "size_b")
-        pairs = join_counted(b, a, ["band"], "n") if k < STAR_ROUNDS else a.join(b, "band").where("h_a < h_b")
+        if k == STAR_ROUNDS:
+            a, b = (x.join(codes.select(F.col("h").alias(f"h_{c}"), F.col("code").alias(f"code_{c}")), f"h_{c}") for x, c in ((a, "a"), (b, "b")))
+            close = close & (F.col("h_a") < F.col("h_b")) & alike("code_a", "code_b", similarity)
+        pairs = join_counted(b, a, ["band"], "n") if k < STAR_ROUNDS else a.join(b, "band")
         pairs = pairs.where((F.col("component_a") != F.col("component_b")) & close)
         pairs = pairs.select(F.col("h_a").alias("src"), F.col("h_b").alias("dst"))
         pairs = pairs.unionByName(by_simhash) if k == 0 else pairs
         pairs = pairs.where("src <> dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
         pairs = materialise(pairs if checked is None else pairs.join(checked, ["src", "dst"], "left_anti"))
         checked = pairs if checked is None else checked.unionByName(pairs)
-        likely = materialise(_both_ends(pairs, sketches, "sketch").mapInArrow(lambda batches: _likely(batches, similarity), "src long, dst long"))
+        likely = materialise(_both_ends(pairs, codes, "code").where(alike("x", "y", similarity)).select("src", "dst"))
         if likely.isEmpty():
             found = likely
         else:
