@@ -20,8 +20,8 @@ SIMILARITY = 0.8
 #: A pair of similarity s shares no band with probability (1 - s^8)^36: 0.0013 at 0.8, 0.00002 at 0.85.
 BANDS, BAND_ROWS = 36, 8
 HASHES = BANDS * BAND_ROWS
-#: Standard deviations below what the similarity asked for leads to at which a pair's share of equal 2-bit MinHash values rules it out (a chance of 3e-7).
-SLACK = 5
+#: Standard deviations below what the similarity asked for leads to at which a pair's share of equal 4-bit MinHash values rules it out (a chance of 0.0002).
+SLACK = 3.5
 #: Shingles that are permuted at a time, so that a very long text takes bounded memory.
 SHINGLES_AT_ONCE = 256
 #: Rounds of comparing each bucket's members with one of them, before the pairs that are left.
@@ -58,15 +58,16 @@ def bands(least: np.ndarray) -> np.ndarray:
 
 
 def code(least: np.ndarray) -> np.ndarray:
-    """The low two bits of each MinHash value, 32 to a 64-bit integer."""
-    return ((least & np.uint32(3)).astype(np.uint64).reshape(-1, 32) << (np.arange(32, dtype=np.uint64) * np.uint64(2))).sum(axis=1, dtype=np.uint64).view(np.int64)
+    """The low four bits of each MinHash value, 16 to a 64-bit integer."""
+    return ((least & np.uint32(15)).astype(np.uint64).reshape(-1, 16) << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(axis=1, dtype=np.uint64).view(np.int64)
 
 
 def alike(x: str, y: str, similarity: float) -> Column:
-    """Whether two codes agree often enough for the similarity; values that differ agree in two bits one time in four."""
-    agree = similarity + (1 - similarity) / 4
+    """Whether two codes agree often enough for the similarity; values that differ agree in four bits one time in 16."""
+    agree = similarity + (1 - similarity) / 16
     most = HASHES * (1 - agree) + SLACK * (HASHES * agree * (1 - agree)) ** 0.5
-    differ = " + ".join(f"bit_count((({x}[{k}] ^ {y}[{k}]) | shiftrightunsigned({x}[{k}] ^ {y}[{k}], 1)) & 6148914691236517205L)" for k in range(HASHES // 32))
+    pairs = f"zip_with({x}, {y}, (a, b) -> (a ^ b) | shiftrightunsigned(a ^ b, 2))"
+    differ = f"aggregate({pairs}, 0, (n, d) -> n + bit_count((d | shiftrightunsigned(d, 1)) & 1229782938247303441L))"
     return F.expr(differ) <= F.lit(most)
 
 
