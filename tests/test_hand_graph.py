@@ -87,3 +87,16 @@ def test_components_of_a_chain(spark):
 def test_rank_by_histogram(spark):
     df = spark.createDataFrame([(1,), (2,), (2,), (5,), (None,)], "x long")
     assert [(r.x, r.share) for r in windows.strict_rank_fraction(df, "x", "share").orderBy("x").collect()] == [(None, None), (1, 0.0), (2, 0.25), (2, 0.25), (5, 0.75)]
+
+
+def test_shortest_path_of_pairs(spark, edges):
+    pairs = spark.createDataFrame([("A", "C"), ("A", "C"), ("B", "A"), ("A", "E"), ("A", "A"), ("C", "D")], "seed string, target string")
+    s = paths.shortest_path_of_pairs(edges, pairs, 4).withColumn("p", F.array_join("path", ""))
+    assert rows(s, "seed", "end", "hops", "p") == [("A", "C", 2, "ABC"), ("B", "A", 2, "BCA"), ("C", "D", 2, "CAD")]
+    assert paths.shortest_path_of_pairs(edges, pairs.limit(0), 4).count() == 0
+
+
+def test_spread_of_ranks(spark):
+    r = metrics.pagerank_convergence(spark.createDataFrame([("a", 0.2), ("b", 0.4)], "address string, pagerank double")).first()
+    assert r.vertices == 2 and r.mean == pytest.approx(0.3) and r.variance == pytest.approx(0.01) and not r.converged
+    assert not metrics.pagerank_convergence(spark.createDataFrame([], "address string, pagerank double")).first().converged

@@ -58,6 +58,9 @@ LEVEL = ", lv AS (SELECT *, rank() OVER (ORDER BY priority DESC) AS rank, CASE W
 SHOW = "id, type, address, round(confidence,6) AS confidence, severity"
 _show = lambda df: _round(df.select("id", "type", "address", "confidence", "severity"), "confidence")
 ERF = "(1 - (((((1.061405429*tt - 1.453152027)*tt) + 1.421413741)*tt - 0.284496736)*tt + 0.254829592)*tt*exp(-zz*zz))"
+SIGNIFICANT = f""", bs AS (SELECT type, count(value) AS bn, avg(value) AS mn, stddev_samp(value) AS sd FROM cx GROUP BY 1), z AS (SELECT cx.*, CASE WHEN bn >= 30 AND sd > 0 THEN abs((value-mn)/sd)/sqrt(2) END AS zz, 1/(1+0.3275911*zz) AS tt FROM cx JOIN bs USING (type)),
+ sg AS (SELECT * FROM z WHERE zz IS NULL OR 2*(1-0.5*(1+CASE WHEN zz > 0 THEN {ERF} ELSE 0 END)) >= 0.05)"""
+HEURISTIC = ", hx AS (SELECT * REPLACE (CASE WHEN sc > 0.7 THEN least(CAST(0.95 AS DOUBLE), confidence*1.1) ELSE confidence*0.8 END AS confidence) FROM (SELECT *, 0.5+0.2*confidence+0.15*least(severity,3)/3+CASE WHEN value > 0 THEN 0.1 ELSE 0 END+0.1 AS sc FROM sg) WHERE sc > 0.3)"
 
 QUERIES = {
     "l1_format_alerts": (lambda s, d: _show(_alerts(s, d)), ALERTS + f"SELECT {SHOW} FROM al"),
@@ -90,5 +93,9 @@ QUERIES = {
         lambda s, d: _round(_stages(s, d), "kept"),
         ALERTS + WHITE + KNOWN + CONTEXT + ", r AS (SELECT 0 AS position, 'formatted' AS stage, count(*) AS alerts FROM al UNION ALL SELECT 1, 'whitelist', count(*) FROM wl UNION ALL SELECT 2, 'known', count(*) FROM kp UNION ALL SELECT 3, 'context', count(*) FROM cx) SELECT *, round(alerts/(SELECT count(*) FROM al),6) AS kept FROM r",
     ),
-    "l14_run_pipeline": (lambda s, d: L_.run_pipeline(_detections(s, d), _white(s, d), L.accounts(s, d), _rules(s, d), _feedback(s, d), _as_of(s, d)).drop("value"), None),
+    "l14_run_pipeline": (
+        lambda s, d: _round(L_.run_pipeline(_detections(s, d), _white(s, d), L.accounts(s, d), _rules(s, d), _feedback(s, d), _as_of(s, d)).drop("value"), "confidence", "priority"),
+        ALERTS + WHITE + KNOWN + CONTEXT + SIGNIFICANT + HEURISTIC + DEDUP.replace("FROM al", "FROM hx") + ACC + PRIORITY + LEVEL
+        + "SELECT type, address, minute, id, count, first_seen, last_seen, severity, round(confidence,6) AS confidence, round(priority,6) AS priority, rank, level FROM lv",
+    ),
 }

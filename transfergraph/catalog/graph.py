@@ -24,6 +24,13 @@ def _pairs(s, d):
     return _edges(s, d).join(L.seeds(s, d).withColumnRenamed("address", "from_address"), "from_address").where("from_address <> to_address").select(F.col("from_address").alias("seed"), F.col("to_address").alias("target"))
 
 
+def _two_steps(s, d):
+    """Each seed with the ends of its paths of two edges."""
+    e = _edges(s, d).where("from_address <> to_address").select("from_address", "to_address")
+    first = e.join(L.seeds(s, d).withColumnRenamed("address", "from_address"), "from_address").select(F.col("from_address").alias("seed"), F.col("to_address").alias("from_address"))
+    return first.join(e, "from_address").where("seed <> to_address").select("seed", F.col("to_address").alias("target"))
+
+
 PAIR = ", pr AS (SELECT from_address AS seed, to_address AS fin FROM e JOIN seeds ON seeds.address = from_address WHERE from_address <> to_address)"
 _show = lambda df, *rest: df.withColumn("path", F.expr(ARROW)).select("path", *rest)
 
@@ -125,6 +132,11 @@ QUERIES = {
         lambda s, d: G.shortest_path(_edges(s, d), L.seeds(s, d), 4).select("seed", "end", "hops", "bottleneck"),
         REC + ', w AS (SELECT from_address AS seed, to_address AS fin, 1 AS hops, total_volume AS bn FROM e JOIN seeds ON address = from_address WHERE from_address <> to_address UNION SELECT seed, e.to_address, hops+1, least(bn, e.total_volume) FROM w JOIN e ON e.from_address = fin WHERE hops < 4 AND e.to_address <> seed), f AS (SELECT seed, fin, min(hops) AS h FROM w GROUP BY 1,2) SELECT w.seed, w.fin AS "end", hops, max(bn) AS bottleneck FROM w JOIN f ON f.seed = w.seed AND f.fin = w.fin AND h = hops WHERE w.fin <> w.seed GROUP BY 1,2,3',
     ),
+    "g4_shortest_pairs": (
+        lambda s, d: G.shortest_path_of_pairs(_edges(s, d), _two_steps(s, d), 4).select("seed", "end", "hops", "bottleneck"),
+        REC + """, tw AS (SELECT f.from_address AS seed, g.to_address AS fin, max(least(f.total_volume, g.total_volume)) AS bn FROM e f JOIN seeds ON seeds.address = f.from_address JOIN e g ON g.from_address = f.to_address WHERE f.from_address <> f.to_address AND g.from_address <> g.to_address AND g.to_address <> f.from_address GROUP BY 1,2)
+ SELECT tw.seed, tw.fin AS "end", CASE WHEN e.from_address IS NULL THEN 2 ELSE 1 END AS hops, coalesce(e.total_volume, bn) AS bottleneck FROM tw LEFT JOIN e ON e.from_address = seed AND e.to_address = fin""",
+    ),
     "g5_weighted_volume": (_weighted("volume"), _weighted_sql("1/(1+log10(1+CAST(CAST(total_volume AS HUGEINT)//1000000000 AS DOUBLE)))")),
     "g5_weighted_risk": (_weighted("risk"), _weighted_sql("1 + risk_score/100", "(SELECT e.*, risk_score FROM e JOIN a ON a.address = to_address)")),
     "g5_weighted_time": (_weighted("time"), _weighted_sql(f"1 + log10(1 + {AGE})")),
@@ -176,6 +188,10 @@ QUERIES = {
     ),
     "g18_pagerank": (lambda s, d: _round(M.pagerank(_edges(s, d), 20), "pagerank", n=9), LEDGER + pagerank_sql(20) + "SELECT address, round(r,9) AS pagerank FROM r20"),
     "g18_pagerank_weighted": (lambda s, d: _round(M.pagerank(_edges(s, d), 20, weighted=True), "pagerank", n=9), LEDGER + pagerank_sql(20, True) + "SELECT address, round(r,9) AS pagerank FROM r20"),
+    "g18_convergence": (
+        lambda s, d: _round(_round(M.pagerank_convergence(M.pagerank(_edges(s, d), 20)), "total", "mean", "deviation"), "variance", n=10),
+        LEDGER + pagerank_sql(20) + "SELECT count(*) AS vertices, round(sum(r),6) AS total, round(avg(r),6) AS mean, round(var_pop(r),10) AS variance, round(stddev_pop(r),6) AS deviation, var_pop(r) < 0.0001 AS converged FROM r20",
+    ),
     "g19_hubs": (
         _clustering_hubs,
         LEDGER + TRI + ", pt AS (SELECT address, count(DISTINCT other) AS partners FROM ue GROUP BY 1) SELECT m.address, degree, partners, round(0.3*least(1.0,degree/100) + 0.3*least(1, CAST(total_volume_in+total_volume_out AS HUGEINT)//1000000000000) + 0.2*least(1.0,partners/50) + 0.2*(1-clustering),6) AS score, "

@@ -269,3 +269,7 @@ def pagerank_report(ranks: DataFrame) -> DataFrame:
     return ranks.crossJoin(F.broadcast(n)).select("address", "pagerank", (F.col("pagerank") * F.col("_n")).alias("relative"))
 
 
+def pagerank_convergence(ranks: DataFrame, below: float = 1e-4) -> DataFrame:
+    """One row (vertices, total, mean, variance, deviation, converged): how far the ranks spread; converged if their variance is less than `below`."""
+    g = ranks.agg(F.count("*").alias("vertices"), F.sum("pagerank").alias("total"), F.avg("pagerank").alias("mean"), F.var_pop("pagerank").alias("variance"))
+    return g.withColumn("deviation", F.sqrt("variance")).withColumn("converged", F.coalesce(F.col("variance") < below, F.lit(False)))

@@ -73,10 +73,23 @@ def shortest_path(edges: DataFrame, seeds: DataFrame, max_depth: int = 6, target
     """(seed, end, hops, bottleneck, path): fewest hops from each seed, of equal ones the largest bottleneck, then the first path.
 
     A round keeps one row per (seed, vertex) and only vertices not reached before go on, so the state is bounded by seeds x vertices.
-    It ends when no vertex is new.
+    It ends when no vertex is new. With targets (address) only paths that end in them are returned.
     """
+    out = _fewest_hops(edges, seeds, max_depth)
+    return out if targets is None else out.join(targets.select(F.col("address").alias("end")).distinct(), "end", "left_semi")
+
+
+def shortest_path_of_pairs(edges: DataFrame, pairs: DataFrame, max_depth: int = 6) -> DataFrame:
+    """As shortest_path, for given (seed, target): a seed's search stops as soon as all of its targets are reached. Pairs that repeat count once."""
+    wanted = materialise(pairs.select("seed", F.col("target").alias("end")).where("seed <> end").distinct())
+    out = _fewest_hops(edges, wanted.select(F.col("seed").alias("address")), max_depth, wanted)
+    return out.join(wanted, ["seed", "end"], "left_semi")
+
+
+def _fewest_hops(edges: DataFrame, seeds: DataFrame, max_depth: int, wanted: DataFrame | None = None) -> DataFrame:
     e = materialise(_step(edges.where("from_address <> to_address")))
-    front = materialise(seeds.select(F.col("address").alias("seed"), F.col("address").alias("end"), F.lit(0).alias("hops"), F.lit(None).cast("decimal(38,0)").alias("bottleneck"), F.array("address").alias("path")).distinct())
+    start = seeds.select(F.col("address").alias("seed"), F.col("address").alias("end"), F.lit(0).alias("hops"), F.lit(None).cast("decimal(38,0)").alias("bottleneck"), F.array("address").alias("path"))
+    front = materialise(start.distinct())
     seen = front
     for k in range(1, max_depth + 1):
         reached = front.join(e, "end").select("seed", F.col("_to").alias("end"), F.least("bottleneck", "_volume").alias("bottleneck"), F.array_append("path", F.col("_to")).alias("path"))
@@ -85,8 +98,12 @@ def shortest_path(edges: DataFrame, seeds: DataFrame, max_depth: int = 6, target
         if front.isEmpty():
             break
         seen = seen.unionByName(front)
-    out = seen.where("hops > 0")
-    return out if targets is None else out.join(targets.select(F.col("address").alias("end")).distinct(), "end", "left_semi")
+        if wanted is not None and k < max_depth:
+            wanted = materialise(wanted.join(front.select("seed", "end"), ["seed", "end"], "left_anti"))
+            if wanted.isEmpty():
+                break
+            front = front.join(wanted.select("seed"), "seed", "left_semi")
+    return seen.where("hops > 0")
 
 
 def edge_cost(weight: str, as_of: Column | None = None) -> Column:

@@ -33,10 +33,28 @@ def materialise(df: DataFrame) -> DataFrame:
     return out
 
 
+def _files(spark: SparkSession, path: str) -> tuple:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+
+def finished(spark: SparkSession, folder: str) -> list[str]:
+    """Names of the folders in `folder` that a job has written to the end (they hold a _SUCCESS mark)."""
+    at, fs = _files(spark, folder)
+    if not fs.exists(at):
+        return []
+    paths = [f.getPath() for f in fs.listStatus(at) if f.isDirectory()]
+    return [p.getName() for p in paths if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+
+
+def delete(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        at, fs = _files(spark, path)
+        fs.delete(at, True)
+
+
 def drop(df: DataFrame) -> None:
     """Delete the table behind a DataFrame that materialise() returned, once nothing reads it any more; others are left alone."""
     path = getattr(df, "_cut_path", None)
     if path:
-        jvm, session = df.sparkSession._jvm, df.sparkSession._jsparkSession
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(session.sessionState().newHadoopConf()).delete(at, True)
+        delete(df.sparkSession, [path])

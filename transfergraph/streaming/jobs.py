@@ -13,28 +13,35 @@ from pyspark.sql.types import StructType
 from ..operators.aggregates import build_edges
 from ..operators.scoring import quick_relationship_score
 from ..operators.sets import undirected_view
-from ..plans.cut import shared_dir
+from ..plans.cut import delete, finished, shared_dir
 
 LATE = "1 hour"
 
 
 def read_stream(spark: SparkSession, folder: str, glob: str, schema: StructType, files_per_batch: int = 100) -> DataFrame:
-    """New files of a landing folder, at most files_per_batch a batch; a restarted query goes on from its checkpoint."""
+    """New files of a landing folder, at most files_per_batch a batch; run with the folder of an earlier run, a query goes on where that one stopped."""
     return spark.readStream.schema(schema).option("pathGlobFilter", glob).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
 
 
-def run_to_table(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Process all that is there and stop; the rows of an append query, as Parquet in the shared folder."""
+def _own_folder(spark: SparkSession, folder: str | None) -> str:
+    return folder.rstrip("/") if folder else f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+
+
+def run_to_table(stream: DataFrame, mode: str = "append", folder: str | None = None) -> DataFrame:
+    """Process all that is there and stop; the rows of an append query, as Parquet in `folder` (a new one in the shared folder by default).
+
+    The checkpoint is kept beside the rows: a run with the folder of an earlier run takes only what is new and returns the rows of all runs.
+    """
     spark = stream.sparkSession
-    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    base = _own_folder(spark, folder)
     q = stream.writeStream.format("parquet").outputMode(mode).option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
 
 
-def run_batches(stream: DataFrame, each: Callable[[DataFrame, int, str], None], mode: str = "append") -> str:
-    """each(batch, id, folder) for every micro-batch; returns the folder. A batch that is run again must give the same files."""
-    base = f"{shared_dir(stream.sparkSession)}/stream-{uuid.uuid4().hex}"
+def run_batches(stream: DataFrame, each: Callable[[DataFrame, int, str], None], mode: str = "append", folder: str | None = None) -> str:
+    """each(batch, id, folder) for every micro-batch; returns the folder, which holds the checkpoint. A batch that is run again must give the same files."""
+    base = _own_folder(stream.sparkSession, folder)
     q = stream.writeStream.foreachBatch(lambda df, k: each(df, k, base)).outputMode(mode).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
     return base
@@ -44,41 +51,71 @@ def dedup(transfers: DataFrame, late: str = LATE) -> DataFrame:
     return transfers.withWatermark("timestamp", late).dropDuplicatesWithinWatermark(["hash"])
 
 
-def _merge(old: DataFrame, new: DataFrame) -> DataFrame:
-    return old.unionByName(new).groupBy("from_address", "to_address").agg(
-        F.sum("transfer_count").alias("transfer_count"), F.sum("total_volume").cast("decimal(38,0)").alias("total_volume"), F.min("first_transfer_block").alias("first_transfer_block"), F.max("last_transfer_block").alias("last_transfer_block"),
-        F.min("first_transfer_time").alias("first_transfer_time"), F.max("last_transfer_time").alias("last_transfer_time"),
-    )
+def _merge(parts: DataFrame) -> DataFrame:
+    return parts.groupBy("from_address", "to_address").agg(
+        F.sum("transfer_count").alias("transfer_count"),
+        F.sum("total_volume").cast("decimal(38,0)").alias("total_volume"),
+        F.min("first_transfer_block").alias("first_transfer_block"),
+        F.max("last_transfer_block").alias("last_transfer_block"),
+        F.min("first_transfer_time").alias("first_transfer_time"),
+        F.max("last_transfer_time").alias("last_transfer_time"),
+    )
+
 
+def _versions(spark: SparkSession, base: str, kind: str) -> list[int]:
+    """The batches k, ascending, whose folder {base}/{kind}-{k} is complete."""
+    names = finished(spark, base)
+    return sorted(int(n.removeprefix(f"{kind}-")) for n in names if n.startswith(f"{kind}-"))
 
-def edges_snapshot(transfers: DataFrame) -> DataFrame:
-    """The edge table that a stream of transfers leaves: each batch is folded and merged into the snapshot before it, which stays, so a batch that fails is run again from the same version."""
+
+def snapshot_edges(spark: SparkSession, folder: str, schema: StructType, upto: int | None = None) -> DataFrame:
+    """The edge table in the folder of edges_snapshot: the newest whole table with the batches after it, up to a batch if given."""
+    within = lambda k: upto is None or k <= upto
+    whole = max((k for k in _versions(spark, folder, "whole") if within(k)), default=-1)
+    paths = [f"{folder}/batch-{k}" for k in _versions(spark, folder, "batch") if k > whole and within(k)]
+    if whole >= 0:
+        paths.append(f"{folder}/whole-{whole}")
+    return _merge(spark.read.schema(schema).parquet(*paths)) if paths else spark.createDataFrame([], schema)
+
+
+def edges_snapshot(transfers: DataFrame, folder: str | None = None, fold_every: int = 20) -> DataFrame:
+    """The edge table that a stream of transfers leaves.
+
+    A batch writes only its own edges, so its cost does not grow with the table. Each fold_every-th batch also writes the whole table, from the
+    whole table before it and the batches since; what that one had replaced is then deleted. All state is in the folder: run again with it, a
+    query goes on from its checkpoint, and a batch that failed writes the same folders again.
+    """
     spark = transfers.sparkSession
-    last: list[int] = []
+    schema = build_edges(spark.createDataFrame([], transfers.schema)).schema
 
     def each(batch: DataFrame, k: int, base: str) -> None:
-        new = build_edges(batch)
-        if last and last[-1] != k:
-            new = _merge(spark.read.parquet(f"{base}/v{last[-1]}"), new)
-        new.write.mode("overwrite").parquet(f"{base}/v{k}")
-        last.append(k)
+        build_edges(batch).write.mode("overwrite").parquet(f"{base}/batch-{k}")
+        if k % fold_every != fold_every - 1:
+            return
+        before = [w for w in _versions(spark, base, "whole") if w < k]
+        parts = [f"{base}/batch-{j}" for j in _versions(spark, base, "batch") if max(before, default=-1) < j <= k] + [f"{base}/whole-{w}" for w in before[-1:]]
+        _merge(spark.read.schema(schema).parquet(*parts)).write.mode("overwrite").parquet(f"{base}/whole-{k}")
+        if before:
+            old = [f"{base}/batch-{j}" for j in _versions(spark, base, "batch") if j <= before[-1]] + [f"{base}/whole-{w}" for w in before[:-1]]
+            delete(spark, old)
 
-    base = run_batches(transfers, each)
-    if not last:
-        return build_edges(transfers.sparkSession.createDataFrame([], transfers.schema))
-    return spark.read.parquet(f"{base}/v{last[-1]}")
+    return snapshot_edges(spark, run_batches(transfers, each, folder=folder), schema)
 
 
-def rescore(transfers: DataFrame, edges: DataFrame, as_of: DataFrame) -> DataFrame:
-    """Scores of the edges that a stream touches, after each batch: the latest score of each wins."""
+def rescore(transfers: DataFrame, edges: DataFrame, as_of: DataFrame, folder: str | None = None) -> DataFrame:
+    """Scores of the edges that a stream touches, after each batch: the latest score of each wins. With the folder of an earlier run its scores are among them."""
     spark = transfers.sparkSession
+    start = spark.createDataFrame([], "from_address string, to_address string, score double, batch long")
 
     def each(batch: DataFrame, k: int, base: str) -> None:
         touched = batch.select("from_address", "to_address").distinct()
-        quick_relationship_score(edges.join(touched, ["from_address", "to_address"], "left_semi"), as_of).withColumn("batch", F.lit(k)).write.mode("overwrite").parquet(f"{base}/scores/batch_id={k}")
+        scored = quick_relationship_score(edges.join(touched, ["from_address", "to_address"], "left_semi"), as_of)
+        scored.select("from_address", "to_address", F.col("score").cast("double"), F.lit(k).cast("long").alias("batch")).write.mode("overwrite").parquet(f"{base}/scores-{k}")
 
-    base = run_batches(transfers, each)
-    return spark.read.parquet(f"{base}/scores").groupBy("from_address", "to_address").agg(F.max_by("score", "batch").alias("score"))
+    base = run_batches(transfers, each, folder=folder)
+    paths = [f"{base}/scores-{k}" for k in _versions(spark, base, "scores")]
+    scores = spark.read.schema(start.schema).parquet(*paths) if paths else start
+    return scores.groupBy("from_address", "to_address").agg(F.max_by("score", "batch").alias("score"))
 
 
 def dispersion(transfers: DataFrame, blocks: int = 10, more_than: int = 10) -> DataFrame:
