@@ -111,6 +111,29 @@ def test_language_edges(spark, make, prose):
 
 
 def test_network_gradients():
+    """Against differences of the loss, in double precision; the loss goes through the forward pass that predicts, the gradients through the one that trains."""
+    r = np.random.default_rng(5)
+    net = language_id.Network.fresh(["a", "b", "c"], 1)
+    net.embed, net.out = net.embed.astype(float), net.out.astype(float)
+    net.bias, net.out_bias = r.normal(0, 0.1, net.bias.shape), r.normal(0, 0.1, net.out_bias.shape)
+    net.filters = {w: f.astype(float) for w, f in net.filters.items()}
+    x, y = r.integers(0, 255, (6, 32)).astype(np.uint8), np.array([0, 1, 2, 1, 1, 0])
+    loss = lambda: -np.log(net.probabilities(x)[np.arange(6), y]).mean()
+    g = net.gradients(x, y)
+    for name, grad in g.items():
+        at = net.filters[name] if name in net.filters else getattr(net, name)
+        assert grad.shape == at.shape and np.abs(grad).max() > 0
+        for place in r.permutation(np.argwhere(grad != 0))[:12]:
+            place = tuple(place)
+            kept, ends = at[place], []
+            for step in (1e-6, -1e-6):
+                at[place] = kept + step
+                ends.append(loss())
+            at[place] = kept
+            assert grad[place] == pytest.approx((ends[0] - ends[1]) / 2e-6, rel=1e-4, abs=1e-8)
+
+
+def test_network_learns():
     r = np.random.default_rng(5)
     net = language_id.Network.fresh(["a", "b"], 1)
     x, y = r.integers(0, 255, (6, 32)).astype(np.uint8), np.array([0, 1, 0, 1, 1, 0])

@@ -165,7 +165,9 @@ def leaks(docs: DataFrame, items: DataFrame, min_score: float = 0.5) -> DataFram
     Words are compared without case and punctuation. score is the alignment's score over that of the whole item: 1 for a copy, about
     1 - 1.5 e with a share e of words replaced. Rare seeds: of an item's 3-grams the 70 % found in the fewest documents (so a passage
     that very many documents share still has seeds). Null texts and items have no words and leak nothing; repeated rows each give
-    their rows; items shorter than three words are not matched.
+    their rows; items shorter than three words are not matched. Of passages with the same score the first is reported. Texts of any length are
+    searched as a whole, but only passages round seeds are aligned. Empty tables of either side give no rows; columns beyond doc_id and
+    text, or item_id and text, are not read.
     Documents are read twice, once to count and once to align, and never shuffled; a block of items is broadcast.
     """
     out = None
@@ -177,7 +179,7 @@ def leaks(docs: DataFrame, items: DataFrame, min_score: float = 0.5) -> DataFram
 
 
 def clean_documents(docs: DataFrame, items: DataFrame, min_score: float = 0.5) -> DataFrame:
-    """The rows of docs (their five columns) that leak no item."""
+    """The rows of docs (their five columns) that leak no item; nulls, repeated rows, short items and empty tables are as in leaks."""
     out = docs.select(*DOCUMENT_COLUMNS)
     schema = out.schema
     for m in matchers(docs, items, min_score):
@@ -197,4 +199,9 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents columns of each row that leaks no item of the benchmark.
+
+    Rows are judged one by one, so null, repeated and shared ids and repeated rows need no rule; a null text leaks nothing and stays; an
+    empty table of documents gives no rows, an empty benchmark keeps all; columns beyond those of documents are dropped.
+    """
     return clean_documents(docs, table(spark, sf_dir, "benchmark"))

@@ -68,8 +68,25 @@ class Network:
             tops.append(y[:, 0])
         return _softmax(np.maximum(np.concatenate(tops, axis=1) + self.bias, 0) @ self.out + self.out_bias)
 
+    def gradients(self, x: np.ndarray, y: np.ndarray) -> dict:
+        """Of the mean cross entropy of windows x with languages y; a maximum passes its gradient to the bytes of its own place alone."""
+        h, places = self.pooled(x)
+        p = _softmax(h @ self.out + self.out_bias)
+        p[np.arange(len(x)), y] -= 1
+        d = p / len(x)
+        g = {"out": h.T @ d, "out_bias": d.sum(axis=0), "embed": np.zeros_like(self.embed)}
+        dh = (d @ self.out.T) * (h > 0)
+        g["bias"] = dh.sum(axis=0)
+        for i, w in enumerate(WIDTHS):
+            part = dh[:, i * FILTERS : (i + 1) * FILTERS]
+            bytes_at = np.take_along_axis(x[:, None, :], places[i][:, :, None] + np.arange(w), 2)  # batch, filter, width
+            g[w] = np.einsum("bf,bfe->ef", part, self.embed[bytes_at].reshape(len(x), FILTERS, w * EMBED))
+            back = part[:, :, None] * self.filters[w].T
+            np.add.at(g["embed"], bytes_at.ravel(), back.reshape(-1, EMBED))
+        return g
+
     def train(self, windows: np.ndarray, y: np.ndarray, epochs: int, rate: float, seed: int) -> None:
-        """Adam on the cross entropy; a maximum passes its gradient to the bytes of its own place alone."""
+        """Adam on the cross entropy, batch by batch."""
         names = ["embed", *WIDTHS, "bias", "out", "out_bias"]
         get = lambda k: self.filters[k] if k in self.filters else getattr(self, k)
         m, v, t = {k: np.zeros_like(get(k)) for k in names}, {k: np.zeros_like(get(k)) for k in names}, 0
@@ -78,20 +95,7 @@ class Network:
             order = r.permutation(len(windows))
             for k in range(0, len(order), BATCH):
                 b = order[k : k + BATCH]
-                x = windows[b]
-                h, places = self.pooled(x)
-                p = _softmax(h @ self.out + self.out_bias)
-                p[np.arange(len(b)), y[b]] -= 1
-                d = p / len(b)
-                g = {"out": h.T @ d, "out_bias": d.sum(axis=0), "embed": np.zeros_like(self.embed)}
-                dh = (d @ self.out.T) * (h > 0)
-                g["bias"] = dh.sum(axis=0)
-                for i, w in enumerate(WIDTHS):
-                    part = dh[:, i * FILTERS : (i + 1) * FILTERS]
-                    bytes_at = np.take_along_axis(x[:, None, :], places[i][:, :, None] + np.arange(w), 2)  # batch, filter, width
-                    g[w] = np.einsum("bf,bfe->ef", part, self.embed[bytes_at].reshape(len(b), FILTERS, w * EMBED))
-                    back = part[:, :, None] * self.filters[w].T
-                    np.add.at(g["embed"], bytes_at.ravel(), back.reshape(-1, EMBED))
+                g = self.gradients(windows[b], y[b])
                 t += 1
                 for name in names:
                     m[name] += 0.1 * (g[name] - m[name])

@@ -39,7 +39,9 @@ def repeated_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> D
 def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, keep: list[str] | None = None) -> DataFrame:
     """The columns keep of docs (default doc_id) with lines array<string>, kept array<string> and new text `clean`.
 
-    A null or empty text is one empty line. Rows that are repeated as a whole each get the same result.
+    A null or empty text is one empty line. Rows that are repeated as a whole each get the same result; of texts that share a doc_id each
+    keeps or loses its own lines, and they count as one document. A long text is many rows of the shuffle, never one. An empty table gives
+    no rows; columns beyond doc_id, text and keep are not read.
     """
     names = ["doc_id"] if keep is None else keep
     drops = repeated_lines(docs, min_chars, min_docs).select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash"), F.col("drop").alias("_drop"))
@@ -57,6 +59,11 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents columns of every row, without its dropped lines and with n_chars counted anew.
+
+    No row goes: a text that loses all lines stays as an empty one, a null text becomes an empty one. Null and repeated ids, repeated rows
+    and empty tables are as in dedup_lines; columns beyond those of documents are dropped.
+    """
     out = dedup_lines(docs, keep=["doc_id", "lang", "source"])
     return out.select("doc_id", F.col("clean").alias("text"), "lang", "source", F.char_length("clean").cast("long").alias("n_chars")).select(*DOCUMENT_COLUMNS)
 

@@ -104,7 +104,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_repeat: int =
     A document of a source with target T and size S is taken floor(T / S) times, and once more if the fit of the remaining
     T mod S selects it: the fit says how many documents of each exact length, a seeded hash of doc_id says which. Rows that are alike
     in doc_id, source and length are ranked in any order, which doesn't change the result. Null or blank texts have size 0 and are
-    never taken beyond 0 words; a null source is a source; an empty table gives no rows.
+    never taken beyond 0 words; a null source is a source; an empty table gives no rows. Of a long text only its number of words is
+    kept; columns beyond doc_id, text and source are not read.
     What is shuffled is four numbers a document and a histogram of lengths; a task holds the distinct lengths of one source, which
     grow with the square root of its words at most.
     """
