@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, decontam, language_id, line_dedup, mixing, quality_rules, simhash, substring_dedup, toxicity, weak_quality
+from . import chat_format, decontam, language_id, line_dedup, mixing, quality_rules, simhash, substring_dedup, toxicity, vector_codes, weak_quality
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,8 +21,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_toxicity_ftrl": toxicity.op8,
         "op9_decontaminate": decontam.op9,
         "op10_line_dedup": line_dedup.op10,
+        "op12_vector_codes": vector_codes.op12,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": quality_rules.ORACLE, "op4_chat_format": chat_format.ORACLE, "op5_substring_fm": substring_dedup.ORACLE, "op10_line_dedup": line_dedup.ORACLE}
+    return {
+        "op2_quality_rules": quality_rules.ORACLE,
+        "op4_chat_format": chat_format.ORACLE,
+        "op5_substring_fm": substring_dedup.ORACLE,
+        "op10_line_dedup": line_dedup.ORACLE,
+        "op12_vector_codes": vector_codes.ORACLE,
+    }
