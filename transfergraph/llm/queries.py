@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, decontam, language_id, line_dedup, mixing, prefix_trie, quality_rules, simhash, substring_dedup, toxicity, vector_codes, weak_quality
+from . import chat_format, decontam, language_id, line_dedup, mixing, pii, prefix_trie, quality_rules, simhash, substring_dedup, toxicity, vector_codes, weak_quality
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_toxicity_ftrl": toxicity.op8,
         "op9_decontaminate": decontam.op9,
         "op10_line_dedup": line_dedup.op10,
+        "op11_pii_crf": pii.op11,
         "op12_vector_codes": vector_codes.op12,
         "op13_conversation_trie": prefix_trie.op13,
     }
