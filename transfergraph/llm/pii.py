@@ -9,7 +9,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import WORD, pa_schema, slices, table
@@ -169,7 +169,9 @@ def fit_field(sentences: list[tuple[str, list[tuple[str, int, int]]]], rounds: i
     texts = [t for t in texts if t[0]]
     found = Counter(f for words, _ in texts for f in {f for w in words for f in shape(w)})
     places = {f: k for k, f in enumerate(sorted(f for f, n in found.items() if n >= (2 if f.startswith("w=") else 1)))}
-    width, n, k = max((len(w) for w, _ in texts), default=1), len(texts), len(LABELS)
+    if not texts:
+        return Field({}, np.zeros((2 * REACH + 1, 0, len(LABELS))), np.zeros((len(LABELS), len(LABELS))))
+    width, n, k = max(len(w) for w, _ in texts), len(texts), len(LABELS)
     mask, labels = np.zeros((n, width), bool), np.zeros((n, width), np.int64)
     x = np.zeros((2 * REACH + 1, n, width, len(places)), np.float32)
     for i, (words, tags) in enumerate(texts):
@@ -183,7 +185,7 @@ def fit_field(sentences: list[tuple[str, list[tuple[str, int, int]]]], rounds: i
     flat = x.transpose(1, 2, 0, 3).reshape(n * width, -1)
     params = np.zeros(flat.shape[1] * k + k * k)
     m, v = np.zeros_like(params), np.zeros_like(params)
-    for step in range(1, rounds + 1 if n else 1):
+    for step in range(1, rounds + 1):
         weights, steps = params[: -k * k].reshape(-1, k).astype(np.float32), params[-k * k :].reshape(k, k)
         _, by_score, by_step = likelihood((flat @ weights).reshape(n, width, k).astype(np.float64), mask, labels, steps)
         up = np.concatenate(((flat.T @ by_score.reshape(n * width, k).astype(np.float32)).reshape(-1), by_step.reshape(-1))) - l2 * params
@@ -450,8 +452,10 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data of all `documents`: counts of the fixed patterns, a digest of their spans, all spans, and how many the field adds."""
     out = find_personal_data(table(spark, sf_dir, "documents"), fit(labelled_table(spark)))
 
-    def text(column: str):
+    def of(kind: str) -> Column:
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    def text(column: str) -> Column:
         return F.array_join(F.transform(column, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
-    counts = [F.size(F.filter("base", lambda s, kind=kind: s["kind"] == kind)).cast("long").alias(f"n_{kind}") for kind in KINDS]
-    return out.select("doc_id", *counts, F.sha2(text("base").cast("binary"), 256).alias("base_sha256"), text("spans").alias("spans"), (F.size("spans") - F.size("base")).cast("long").alias("n_added"))
+    return out.select("doc_id", *map(of, KINDS), F.sha2(text("base").cast("binary"), 256).alias("base_sha256"), text("spans").alias("spans"), (F.size("spans") - F.size("base")).cast("long").alias("n_added"))
