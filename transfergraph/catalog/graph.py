@@ -3,6 +3,8 @@ from pyspark.sql import functions as F
 from ..operators import aggregates as A
 from ..operators import metrics as M
 from ..operators import paths as G
+from ..operators import sampling as S
+from ..operators import weighted as V
 from ..sources import ledger as L
 from .base import LEDGER
 from .filters import UNIT, _as_of, _edges, _ts
@@ -24,11 +26,15 @@ def _pairs(s, d):
     return _edges(s, d).join(L.seeds(s, d).withColumnRenamed("address", "from_address"), "from_address").where("from_address <> to_address").select(F.col("from_address").alias("seed"), F.col("to_address").alias("target"))
 
 
-def _two_steps(s, d):
-    """Each seed with the ends of its paths of two edges."""
-    e = _edges(s, d).where("from_address <> to_address").select("from_address", "to_address")
-    first = e.join(L.seeds(s, d).withColumnRenamed("address", "from_address"), "from_address").select(F.col("from_address").alias("seed"), F.col("to_address").alias("from_address"))
-    return first.join(e, "from_address").where("seed <> to_address").select("seed", F.col("to_address").alias("target"))
+def _strong(s, d):
+    """Edges of 80 units or more: few, so that pairs are from one edge to over ten apart, and some out of reach."""
+    return _edges(s, d).where(F.col("total_volume") >= 80 * UNIT)
+
+
+def _hundreds(s, d):
+    """Each seed with the 99 accounts that follow it."""
+    a = L.accounts(s, d)
+    return a.select(L.address(F.col("user_id") - F.col("user_id") % 100).alias("seed"), F.col("address").alias("target")).where("seed <> target")
 
 
 PAIR = ", pr AS (SELECT from_address AS seed, to_address AS fin FROM e JOIN seeds ON seeds.address = from_address WHERE from_address <> to_address)"
@@ -67,6 +73,21 @@ TRI = """, se AS (SELECT DISTINCT least(from_address,to_address) AS a, greatest(
  cc AS (SELECT v.address, coalesce(k,0) AS neighbours, coalesce(triangles,0) AS triangles, CASE WHEN coalesce(k,0) > 1 THEN 2.0*coalesce(triangles,0)/(k*(k-1)) ELSE 0 END AS clustering FROM (SELECT DISTINCT address FROM ue) v LEFT JOIN (SELECT x AS address, count(*) AS k FROM nb GROUP BY 1) USING (address) LEFT JOIN tr USING (address))"""
 
 
+#: Least sums of volume between all pairs, by doubling: paths of up to 64 edges.
+FAR = """, far0 AS MATERIALIZED (SELECT s, v, min(d) AS d FROM (SELECT from_address AS s, to_address AS v, CAST(total_volume AS HUGEINT) AS d FROM e WHERE from_address <> to_address UNION ALL SELECT DISTINCT address, address, CAST(0 AS HUGEINT) FROM ue) GROUP BY 1,2)""" + "".join(
+    f", far{k + 1} AS MATERIALIZED (SELECT x.s, y.v, min(x.d + y.d) AS d FROM far{k} x JOIN far{k} y ON y.s = x.v GROUP BY 1,2)" for k in range(6)
+) + ", far AS (FROM far6)"
+FAR_PATHS = """, tight AS MATERIALIZED (SELECT x.s, x.v, y.v AS w FROM far x JOIN e ON e.from_address = x.v AND e.from_address <> e.to_address JOIN far y ON y.s = x.s AND y.v = e.to_address AND x.d + CAST(e.total_volume AS HUGEINT) = y.d),
+ sk AS (SELECT s, v, 0 AS k, CAST(1 AS DOUBLE) AS g FROM far WHERE s = v UNION ALL SELECT s, w, k+1, g FROM (SELECT sk.s, tight.w, sk.k, sum(sk.g) AS g FROM sk JOIN tight ON tight.s = sk.s AND tight.v = sk.v GROUP BY ALL)),
+ sg AS MATERIALIZED (SELECT sk.s, sk.v, any_value(far.d) AS d, sum(g) AS g FROM sk JOIN far ON far.s = sk.s AND far.v = sk.v GROUP BY 1,2)"""
+#: Pairs that g15_betweenness_sampled draws.
+SAMPLED = 400
+
+
+def _by_volume(s, d):
+    return _edges(s, d).select("from_address", "to_address", F.col("total_volume").alias("cost"))
+
+
 def pagerank_sql(rounds, weighted=False):
     w = "CAST(total_volume AS DOUBLE)" if weighted else "1.0"
     out = f", nodes AS (SELECT DISTINCT address FROM ue), nn AS (SELECT count(*) AS n FROM nodes), ls AS MATERIALIZED (SELECT from_address, to_address, {w}/sum({w}) OVER (PARTITION BY from_address) AS share FROM e), r0 AS (SELECT address, 1.0/n AS r FROM nodes, nn)"
@@ -133,9 +154,12 @@ QUERIES = {
         REC + ', w AS (SELECT from_address AS seed, to_address AS fin, 1 AS hops, total_volume AS bn FROM e JOIN seeds ON address = from_address WHERE from_address <> to_address UNION SELECT seed, e.to_address, hops+1, least(bn, e.total_volume) FROM w JOIN e ON e.from_address = fin WHERE hops < 4 AND e.to_address <> seed), f AS (SELECT seed, fin, min(hops) AS h FROM w GROUP BY 1,2) SELECT w.seed, w.fin AS "end", hops, max(bn) AS bottleneck FROM w JOIN f ON f.seed = w.seed AND f.fin = w.fin AND h = hops WHERE w.fin <> w.seed GROUP BY 1,2,3',
     ),
     "g4_shortest_pairs": (
-        lambda s, d: G.shortest_path_of_pairs(_edges(s, d), _two_steps(s, d), 4).select("seed", "end", "hops", "bottleneck"),
-        REC + """, tw AS (SELECT f.from_address AS seed, g.to_address AS fin, max(least(f.total_volume, g.total_volume)) AS bn FROM e f JOIN seeds ON seeds.address = f.from_address JOIN e g ON g.from_address = f.to_address WHERE f.from_address <> f.to_address AND g.from_address <> g.to_address AND g.to_address <> f.from_address GROUP BY 1,2)
- SELECT tw.seed, tw.fin AS "end", CASE WHEN e.from_address IS NULL THEN 2 ELSE 1 END AS hops, coalesce(e.total_volume, bn) AS bottleneck FROM tw LEFT JOIN e ON e.from_address = seed AND e.to_address = fin""",
+        lambda s, d: G.shortest_path_of_pairs(_strong(s, d), _hundreds(s, d), 6).select("seed", "end", "hops", "bottleneck"),
+        REC + """, st AS (SELECT * FROM e WHERE total_volume >= 80000000000000 AND from_address <> to_address), pr AS (SELECT concat('U',lpad(CAST(user_id - user_id % 100 AS VARCHAR),6,'0')) AS seed, address AS fin FROM a WHERE user_id % 100 <> 0),
+ w AS (SELECT from_address AS seed, to_address AS fin, 1 AS hops, total_volume AS bn FROM st WHERE from_address IN (SELECT seed FROM pr)
+  UNION SELECT seed, st.to_address, hops+1, least(bn, st.total_volume) FROM w JOIN st ON st.from_address = w.fin WHERE hops < 6 AND st.to_address <> seed),
+ f AS (SELECT seed, fin, min(hops) AS h FROM w GROUP BY 1,2)
+ SELECT w.seed, w.fin AS "end", hops, max(bn) AS bottleneck FROM w JOIN f ON f.seed = w.seed AND f.fin = w.fin AND h = hops JOIN pr ON pr.seed = w.seed AND pr.fin = w.fin GROUP BY 1,2,3""",
     ),
     "g5_weighted_volume": (_weighted("volume"), _weighted_sql("1/(1+log10(1+CAST(CAST(total_volume AS HUGEINT)//1000000000 AS DOUBLE)))")),
     "g5_weighted_risk": (_weighted("risk"), _weighted_sql("1 + risk_score/100", "(SELECT e.*, risk_score FROM e JOIN a ON a.address = to_address)")),
@@ -178,13 +202,31 @@ QUERIES = {
         lambda s, d: _round(M.betweenness(_edges(s, d), L.seeds(s, d)), "betweenness", n=8),
         REC + DIST + BETWEEN.format(seeded="JOIN seeds ON seeds.address = x.s") + """ SELECT nodes.address, round(coalesce(b,0)*2.0/((SELECT (count(*)-1)*(count(*)-2) FROM nodes)),8) AS betweenness FROM nodes LEFT JOIN bt USING (address)""",
     ),
+    "g15_betweenness_volume": (
+        lambda s, d: _round(V.weighted_betweenness(_by_volume(s, d), L.seeds(s, d)), "betweenness", n=8),
+        REC + FAR + FAR_PATHS + """, nodes AS (SELECT DISTINCT address FROM ue), bt AS (SELECT x.v AS address, sum(x.g*y.g/z.g) AS b FROM sg x JOIN seeds ON seeds.address = x.s JOIN sg z ON z.s = x.s JOIN sg y ON y.s = x.v AND y.v = z.v AND x.d + y.d = z.d WHERE x.v <> x.s AND x.v <> z.v GROUP BY 1)
+ SELECT nodes.address, round(coalesce(b,0)*2.0/((SELECT (count(*)-1)*(count(*)-2) FROM nodes)),8) AS betweenness FROM nodes LEFT JOIN bt USING (address)""",
+    ),
+    "g15_betweenness_sampled": (
+        lambda s, d: _round(S.sampled_betweenness(_edges(s, d), SAMPLED, seed=7, epsilon=0.0), "betweenness", "bound", n=8),
+        REC + DIST + BETWEEN.format(seeded="") + """, vx AS (SELECT address, row_number() OVER (ORDER BY address) - 1 AS i, count(*) OVER () AS n FROM nodes),
+ dr AS (SELECT j, CAST('0x' || substr(md5('7:' || j || ':0'),1,15) AS BIGINT) % n AS a, CAST('0x' || substr(md5('7:' || j || ':1'),1,15) AS BIGINT) % (n-1) AS b FROM range({m}) AS t(j), (SELECT count(*) AS n FROM nodes)),
+ pr AS (SELECT j, x.address AS u, y.address AS v FROM dr JOIN vx x ON x.i = a JOIN vx y ON y.i = CASE WHEN b >= a THEN b + 1 ELSE b END),
+ ex AS (SELECT x.v AS address, j, x.g*y.g/z.g AS f FROM pr JOIN sg x ON x.s = pr.u JOIN sg z ON z.s = pr.u AND z.v = pr.v JOIN sg y ON y.s = x.v AND y.v = pr.v AND x.d + y.d = z.d WHERE x.v <> pr.u AND x.v <> pr.v),
+ sm AS (SELECT address, sum(f) AS s1, sum(f*f) AS s2 FROM ex GROUP BY 1), w AS (SELECT nodes.address, coalesce(s1,0)/{m} AS mean, greatest(0, coalesce(s2,0)/{m} - (coalesce(s1,0)/{m})*(coalesce(s1,0)/{m})) AS var, ln(3.0*(SELECT count(*) FROM nodes)/0.1) AS l FROM nodes LEFT JOIN sm USING (address))
+ SELECT address, round(mean,8) AS betweenness, round(sqrt(2*var*l/{m}) + 3*l/{m},8) AS bound, {m} AS pairs FROM w""".format(m=SAMPLED),
+    ),
     "g16_betweenness_proxy": (
         lambda s, d: _round(M.betweenness_proxy(_edges(s, d), 20), "betweenness"),
         LEDGER + "SELECT x.from_address AS address, count(DISTINCT y.to_address) AS reach, round(count(DISTINCT y.to_address)/1000,6) AS betweenness FROM e x JOIN e y ON x.to_address = y.from_address JOIN m ON m.address = x.from_address WHERE degree > 20 AND x.from_address <> y.to_address GROUP BY 1",
     ),
     "g17_closeness": (
-        lambda s, d: _round(M.closeness(_edges(s, d)), "closeness"),
-        REC + DIST + "SELECT v AS address, count(*)-1 AS reachable, round(coalesce((count(*)-1)/nullif(sum(d),0),0)*(count(*)-1)/((SELECT count(*) FROM nodes)-1),6) AS closeness FROM ds GROUP BY 1",
+        lambda s, d: _round(M.closeness(_edges(s, d), L.seeds(s, d)), "closeness"),
+        REC + DIST + "SELECT v AS address, count(*)-1 AS reachable, round(coalesce((count(*)-1)/nullif(sum(d),0),0)*(count(*)-1)/((SELECT count(*) FROM nodes)-1),6) AS closeness FROM ds SEMI JOIN seeds ON seeds.address = v GROUP BY 1",
+    ),
+    "g17_closeness_volume": (
+        lambda s, d: _round(V.weighted_closeness(_by_volume(s, d), L.seeds(s, d)).withColumn("closeness", F.col("closeness") * 1e12), "closeness"),
+        REC + FAR + ", nodes AS (SELECT DISTINCT address FROM ue) SELECT v AS address, count(*)-1 AS reachable, round(1e12*coalesce((count(*)-1)/nullif(CAST(sum(d) AS DOUBLE),0),0)*(count(*)-1)/((SELECT count(*) FROM nodes)-1),6) AS closeness FROM far SEMI JOIN seeds ON seeds.address = v GROUP BY 1",
     ),
     "g18_pagerank": (lambda s, d: _round(M.pagerank(_edges(s, d), 20), "pagerank", n=9), LEDGER + pagerank_sql(20) + "SELECT address, round(r,9) AS pagerank FROM r20"),
     "g18_pagerank_weighted": (lambda s, d: _round(M.pagerank(_edges(s, d), 20, weighted=True), "pagerank", n=9), LEDGER + pagerank_sql(20, True) + "SELECT address, round(r,9) AS pagerank FROM r20"),
@@ -216,11 +258,11 @@ QUERIES = {
     ),
     "g24_common_neighbours": (lambda s, d: _round(M.common_neighbours_avg(_edges(s, d)), "average"), LEDGER + TRI + "SELECT address, round(CASE WHEN neighbours > 0 THEN 2.0*triangles/neighbours ELSE 0 END,6) AS average FROM cc"),
     "g25_network_metrics": (
-        lambda s, d: _round(_round(M.network_metrics(_edges(s, d)), "centrality", "clustering", "closeness", "common_average"), "pagerank", "betweenness", n=8),
-        REC + pagerank_sql(20).replace("nodes AS (SELECT DISTINCT address FROM ue), ", "", 1).replace(", nn AS", DIST + ", nn AS", 1) + TRI + BETWEEN.format(seeded="")
-        + """, cl AS (SELECT v AS address, round(coalesce((count(*)-1)/nullif(sum(d),0),0)*(count(*)-1)/((SELECT count(*) FROM nodes)-1),6) AS closeness FROM ds GROUP BY 1)
+        lambda s, d: _round(_round(M.network_metrics(_edges(s, d), L.seeds(s, d)), "centrality", "clustering", "closeness", "common_average"), "pagerank", "betweenness", n=8),
+        REC + pagerank_sql(20).replace("nodes AS (SELECT DISTINCT address FROM ue), ", "", 1).replace(", nn AS", DIST + ", nn AS", 1) + TRI + BETWEEN.format(seeded="JOIN seeds ON seeds.address = x.s")
+        + """, cl AS (SELECT v AS address, round(coalesce((count(*)-1)/nullif(sum(d),0),0)*(count(*)-1)/((SELECT count(*) FROM nodes)-1),6) AS closeness FROM ds SEMI JOIN seeds ON seeds.address = v GROUP BY 1)
  SELECT m.address, degree, round(degree/((SELECT count(*) FROM m)-1),6) AS centrality, neighbours, triangles, round(clustering,6) AS clustering, round(r,8) AS pagerank, round(coalesce(b,0)*2.0/((SELECT (count(*)-1)*(count(*)-2) FROM nodes)),8) AS betweenness, closeness,
- round(CASE WHEN neighbours > 0 THEN 2.0*triangles/neighbours ELSE 0 END,6) AS common_average FROM m JOIN cc USING (address) JOIN r20 USING (address) JOIN cl USING (address) LEFT JOIN bt USING (address)""",
+ round(CASE WHEN neighbours > 0 THEN 2.0*triangles/neighbours ELSE 0 END,6) AS common_average FROM m JOIN cc USING (address) JOIN r20 USING (address) LEFT JOIN cl USING (address) LEFT JOIN bt USING (address)""",
     ),
     "g26_metrics_cache": (
         lambda s, d: _round(M.graph_metrics_cache(_edges(s, d)).withColumn("mean_volume", F.col("mean_volume") / 1e12), "mean_volume"),

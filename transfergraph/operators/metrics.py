@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from ..plans.components import connected_components as components_of
 from ..plans.cut import drop, materialise
 from .aggregates import degrees
 from .sets import undirected_view, vertices
+from .weighted import Parts, counted
 
 
 def degree_centrality(edges: DataFrame) -> DataFrame:
@@ -45,18 +48,23 @@ def clustering_coefficient(edges: DataFrame) -> DataFrame:
 
 
 def bfs(edges: DataFrame, sources: DataFrame, max_depth: int | None = None) -> DataFrame:
-    """(source, address, distance, sigma): hops from each source along the edges and the number of shortest paths; to the end of the graph if no depth is given."""
+    """(source, address, distance, sigma): hops from each source along the edges and the number of shortest paths; to the end of the graph if no depth is given.
+
+    Levels are counted while they are written, folded when they are many and dropped at the end.
+    """
     e = materialise(edges.where("from_address <> to_address").select(F.col("from_address").alias("address"), F.col("to_address").alias("_to")).distinct())
     front = materialise(sources.select(F.col("address").alias("source"), "address", F.lit(0).alias("distance"), F.lit(1.0).alias("sigma")).distinct())
-    seen, k = front, 0
-    while max_depth is None or k < max_depth:
+    seen, k, n = Parts(front), 0, 1
+    while n and (max_depth is None or k < max_depth):
         k += 1
         near = front.join(e, "address").groupBy("source", F.col("_to").alias("address")).agg(F.sum("sigma").alias("sigma"))
-        front = materialise(near.join(seen.select("source", "address"), ["source", "address"], "left_anti").select("source", "address", F.lit(k).alias("distance"), "sigma"))
-        if front.isEmpty():
-            break
-        seen = seen.unionByName(front)
-    return materialise(seen)
+        new = near.join(seen.whole().select("source", "address"), ["source", "address"], "left_anti")
+        front, n = counted(new.select("source", "address", F.lit(k).alias("distance"), "sigma"))
+        seen.add(front)
+    out = materialise(seen.whole())
+    seen.drop()
+    drop(e)
+    return out
 
 
 def in_blocks(sources: DataFrame, size: int) -> list[DataFrame]:
@@ -67,34 +75,31 @@ def in_blocks(sources: DataFrame, size: int) -> list[DataFrame]:
 
 
 def betweenness(edges: DataFrame, sources: DataFrame, max_depth: int | None = None) -> DataFrame:
-    """(address, betweenness): Brandes' dependencies summed over the sources and scaled by 2 / ((n - 1)(n - 2)); shortest paths are counted, not listed."""
+    """(address, betweenness): Brandes' dependencies summed over the sources and scaled by 2 / ((n - 1)(n - 2)); shortest paths are counted, not listed.
+
+    The share of a vertex's paths that a predecessor hands on is known once the search ends, so going back is one join and one sum a level.
+    """
     d = bfs(edges, sources, max_depth)
     e = edges.where("from_address <> to_address").select(F.col("from_address").alias("v"), F.col("to_address").alias("w")).distinct()
-    depth = d.agg(F.max("distance")).first()[0] or 0
-    n = vertices(edges).count()
+    every = vertices(edges)
+    depth, n = d.agg(F.max("distance")).crossJoin(every.agg(F.count("*"))).first()  # one row each
     scale = 2 / ((n - 1) * (n - 2)) if n > 2 else 0.0
-    links = materialise(
-        d.select("source", F.col("address").alias("v"), F.col("distance").alias("dv"), F.col("sigma").alias("sv")).join(e, "v").join(d.select("source", F.col("address").alias("w"), F.col("distance").alias("dw"), F.col("sigma").alias("sw")), ["source", "w"]).where("dw = dv + 1")
-    )
-    parts = []
-    below = None
-    for k in range(depth - 1, 0, -1):  # from the far ends back to the sources
+    near = d.where("distance > 0").select("source", F.col("address").alias("v"), F.col("distance").alias("dv"), F.col("sigma").alias("sv"))
+    links = near.join(e, "v").join(d.select("source", F.col("address").alias("w"), F.col("distance").alias("dw"), F.col("sigma").alias("sw")), ["source", "w"]).where("dw = dv + 1")
+    links = materialise(links.select("source", "v", "w", "dv", (F.col("sv") / F.col("sw")).alias("share")))
+    parts, below = [], None
+    for k in range((depth or 0) - 1, 0, -1):  # from the far ends back to the sources
         level = links.where(F.col("dv") == k)
-        if below is None:
-            got = level.groupBy("source", "v").agg(F.sum(F.col("sv") / F.col("sw")).alias("delta"))
-        else:
-            got = level.join(below, ["source", "w"], "left").groupBy("source", "v").agg(F.sum(F.col("sv") / F.col("sw") * (1 + F.coalesce("delta_w", F.lit(0.0)))).alias("delta"))
-        got = materialise(got)
+        level = level.withColumn("_got", F.lit(0.0)) if below is None else level.join(below, ["source", "w"], "left").withColumn("_got", F.coalesce("delta", F.lit(0.0)))
+        got = materialise(level.groupBy("source", "v").agg(F.sum(F.col("share") * (1 + F.col("_got"))).alias("delta")))
         parts.append(got)
-        below = got.select("source", F.col("v").alias("w"), F.col("delta").alias("delta_w"))
-    out = vertices(edges)
+        below = got.withColumnRenamed("v", "w")
     if not parts:
-        return out.withColumn("betweenness", F.lit(0.0))
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    total = every.where("source <> v").groupBy(F.col("v").alias("address")).agg((F.sum("delta") * scale).alias("betweenness"))
-    return out.join(total, "address", "left").fillna(0.0, ["betweenness"])
+        return every.withColumn("betweenness", F.lit(0.0))
+    total = materialise(reduce(DataFrame.unionByName, parts).groupBy(F.col("v").alias("address")).agg((F.sum("delta") * scale).alias("betweenness")))
+    for t in (d, links, *parts):
+        drop(t)
+    return every.join(total, "address", "left").fillna(0.0, ["betweenness"])
 
 
 def betweenness_proxy(edges: DataFrame, more_than: int = 50) -> DataFrame:
@@ -116,7 +121,9 @@ def closeness(edges: DataFrame, targets: DataFrame | None = None, max_depth: int
     every = vertices(edges) if targets is None else targets
     d = None
     for part in in_blocks(every, block):
-        got = bfs(back, part, max_depth).groupBy(F.col("source").alias("address")).agg((F.count("*") - 1).alias("reachable"), F.sum("distance").alias("_sum"))
+        far = bfs(back, part, max_depth)
+        got = materialise(far.groupBy(F.col("source").alias("address")).agg((F.count("*") - 1).alias("reachable"), F.sum("distance").alias("_sum")))
+        drop(far)
         d = got if d is None else d.unionByName(got)
     n = vertices(edges).agg(F.count("*").alias("_n"))
     x = d.crossJoin(F.broadcast(n))  # one row
@@ -235,7 +242,8 @@ def common_neighbours_avg(edges: DataFrame) -> DataFrame:
 def network_metrics(edges: DataFrame, sources: DataFrame | None = None, iterations: int = 20, block: int = 100_000) -> DataFrame:
     """One row per vertex: degree centrality, clustering, pagerank, betweenness, closeness, common-neighbour average.
 
-    Betweenness counts paths from the sources, or from every vertex, block by block; closeness is that of every vertex.
+    Betweenness counts paths from the sources, and closeness is that of the sources (null for other vertices); without sources both take every
+    vertex, block by block, and the work grows with vertices times what each reaches.
     """
     c = clustering_coefficient(edges)
     between = None
@@ -245,7 +253,7 @@ def network_metrics(edges: DataFrame, sources: DataFrame | None = None, iteratio
     between = between.groupBy("address").agg(F.sum("betweenness").alias("betweenness"))
     return (
         degree_centrality(edges).select("address", "degree", "centrality").join(c.select("address", "neighbours", "triangles", "clustering"), "address").join(pagerank(edges, iterations), "address")
-        .join(between, "address").join(closeness(edges, None, block=block).select("address", "closeness"), "address")
+        .join(between, "address").join(closeness(edges, sources, block=block).select("address", "closeness"), "address", "left")
         .withColumn("common_average", F.when(F.col("neighbours") > 0, 2 * F.col("triangles") / F.col("neighbours")).otherwise(0.0))
     )
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.times import days_between, micros
-from ..plans.cut import materialise
+from ..plans.cut import drop, materialise
 from .filters import ladder
 from .sets import undirected_view
 from .topk import topk
@@ -80,13 +80,66 @@ def shortest_path(edges: DataFrame, seeds: DataFrame, max_depth: int = 6, target
 
 
 def shortest_path_of_pairs(edges: DataFrame, pairs: DataFrame, max_depth: int = 6) -> DataFrame:
-    """As shortest_path, for given (seed, target): a seed's search stops as soon as all of its targets are reached. Pairs that repeat count once."""
+    """(seed, end, hops, bottleneck, path) of the given (seed, target) that at most max_depth edges join: fewest hops, of equal ones the largest bottleneck, then a fixed one.
+
+    Two fronts grow towards each other, one from all seeds along the edges and one from all targets against them; each round grows the one
+    of fewer rows. A pair is found in the first round in which its fronts share a vertex: all of its shortest paths lie on those vertices,
+    so the best is the best meeting. Seeds and targets whose pairs are all found, or whose front has ended, take no part in the next round. Pairs that
+    repeat count once, and one from a vertex to itself is left out. A front holds seeds times what half the distance reaches, not what the whole does.
+    """
+    e = materialise(_step(edges.where("from_address <> to_address")))
     wanted = materialise(pairs.select("seed", F.col("target").alias("end")).where("seed <> end").distinct())
-    out = _fewest_hops(edges, wanted.select(F.col("seed").alias("address")), max_depth, wanted)
-    return out.join(wanted, ["seed", "end"], "left_semi")
+    ahead, back = _Front(_start(wanted, "seed"), e), _Front(_start(wanted, "end"), e.select(F.col("_to").alias("end"), F.col("end").alias("_to"), "_volume"))
+    found, asked = [], [wanted]
+    for k in range(1, max_depth + 1):
+        (ahead if ahead.rows <= back.rows else back).grow()
+        here = wanted.join(ahead.now.select("seed", F.col("end").alias("_at"), F.col("bottleneck").alias("_b"), F.col("path").alias("_p")), "seed")
+        there = back.now.select(F.col("seed").alias("end"), F.col("end").alias("_at"), "bottleneck", F.reverse("path").alias("path"))
+        path = F.concat("_p", F.slice("path", F.lit(2), F.size("path") - 1))
+        met = here.join(there, ["end", "_at"]).select("seed", "end", F.struct((-F.least("bottleneck", "_b")).alias("b"), path.alias("path")).alias("s"))
+        best = met.groupBy("seed", "end").agg(F.min("s").alias("s"))
+        found.append(materialise(best.select("seed", "end", F.lit(k).alias("hops"), (-F.col("s.b")).cast("decimal(38,0)").alias("bottleneck"), F.col("s.path").alias("path"))))
+        left = wanted.join(found[-1].select("seed", "end"), ["seed", "end"], "left_anti")
+        left = left.join(ahead.now.select("seed").distinct(), "seed", "left_semi").join(back.now.select(F.col("seed").alias("end")).distinct(), "end", "left_semi")
+        wanted = materialise(left)
+        asked.append(wanted)
+        ahead.keep(wanted.select("seed"))
+        back.keep(wanted.select(F.col("end").alias("seed")))
+        if wanted.isEmpty():
+            break
+    for t in (e, *asked, *ahead.levels, *back.levels):
+        drop(t)
+    return _union(found)
+
+
+def _start(df: DataFrame, column: str) -> DataFrame:
+    """(seed, end, bottleneck, path): each distinct value of a column as the start of a search."""
+    at = F.col(column)
+    return df.select(at.alias("seed"), at.alias("end"), F.lit(None).cast("decimal(38,0)").alias("bottleneck"), F.array(at).alias("path")).distinct()
+
+
+class _Front:
+    """The vertices that a search from many starts reached last, with the best path to each; those reached before are on the levels behind it."""
+
+    def __init__(self, start: DataFrame, edges: DataFrame):
+        self.edges, self.levels = edges, []
+        self._put(start)
+
+    def _put(self, df: DataFrame) -> None:
+        self.now = materialise(df)
+        self.rows = self.now.count()
+        self.levels.append(self.now)
+
+    def keep(self, starts: DataFrame) -> None:
+        self.now = self.now.join(starts.distinct(), "seed", "left_semi")
+
+    def grow(self) -> None:
+        reached = self.now.join(self.edges, "end").select("seed", F.col("_to").alias("end"), F.least("bottleneck", "_volume").alias("bottleneck"), F.array_append("path", F.col("_to")).alias("path"))
+        new = reached.join(_union([x.select("seed", "end") for x in self.levels]), ["seed", "end"], "left_anti").groupBy("seed", "end").agg(F.min(F.struct((-F.col("bottleneck")).alias("b"), "path")).alias("s"))
+        self._put(new.select("seed", "end", (-F.col("s.b")).cast("decimal(38,0)").alias("bottleneck"), F.col("s.path").alias("path")))
 
 
-def _fewest_hops(edges: DataFrame, seeds: DataFrame, max_depth: int, wanted: DataFrame | None = None) -> DataFrame:
+def _fewest_hops(edges: DataFrame, seeds: DataFrame, max_depth: int) -> DataFrame:
     e = materialise(_step(edges.where("from_address <> to_address")))
     start = seeds.select(F.col("address").alias("seed"), F.col("address").alias("end"), F.lit(0).alias("hops"), F.lit(None).cast("decimal(38,0)").alias("bottleneck"), F.array("address").alias("path"))
     front = materialise(start.distinct())
@@ -98,11 +151,6 @@ def _fewest_hops(edges: DataFrame, seeds: DataFrame, max_depth: int, wanted: Dat
         if front.isEmpty():
             break
         seen = seen.unionByName(front)
-        if wanted is not None and k < max_depth:
-            wanted = materialise(wanted.join(front.select("seed", "end"), ["seed", "end"], "left_anti"))
-            if wanted.isEmpty():
-                break
-            front = front.join(wanted.select("seed"), "seed", "left_semi")
     return seen.where("hops > 0")
 
 

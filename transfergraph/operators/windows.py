@@ -74,28 +74,48 @@ def sessions(transfers: DataFrame, gap_seconds: float = 300, key: str = "from_ad
     return s.groupBy(key, "session").agg(F.count("*").alias("n"), F.min("timestamp").alias("start"), F.max("timestamp").alias("end"), F.sum("value").cast("decimal(38,0)").alias("volume"))
 
 
+def _changes(windows: tuple[int, ...], width: int) -> str:
+    """What an event does to the running figures of its block: it comes (live rows are those of the block itself), leaves each window, and yields to its partner's next event."""
+    start = f"_block * {width}"
+
+    def change(when: str, at: str, live: str, amounts: dict[str, str]) -> str:
+        figures = []
+        for w in windows:
+            n, volume, partners = (amounts.get(f"{c}_{w}", "0") for c in ("n", "volume", "partners"))
+            figures.append(f"'n_{w}', cast({n} as long), 'volume_{w}', cast({volume} as decimal(38,0)), 'partners_{w}', cast({partners} as long)")
+        return f"if({when}, named_struct('_at', {at}, '_live', {live}, {', '.join(figures)}), null)"
+
+    comes, rest = {}, []
+    gone = {w: f"(_us + {w * US + 1})" for w in windows}
+    for w in windows:
+        alive = f"{gone[w]} > {start}"  # else it left before the block began
+        yields = f"coalesce(_next < {gone[w]}, false)"
+        comes |= {f"n_{w}": f"if({alive}, 1, 0)", f"volume_{w}": f"if({alive}, value, 0)", f"partners_{w}": f"if({alive}, 1, 0)"}
+        leaves = {f"n_{w}": "-1", f"volume_{w}": "-value", f"partners_{w}": f"if({yields}, 0, -1)"}
+        rest.append(change(f"{alive} and {gone[w]} < {start} + {width}", gone[w], "false", leaves))
+        rest.append(change(f"{alive} and {yields} and _next < {start} + {width}", "_next", "false", {f"partners_{w}": "-1"}))
+    return f"array({change(f'{gone[max(windows)]} > {start}', '_us', f'_us >= {start}', comes)}, {', '.join(rest)})"
+
+
 def rolling(events: DataFrame, windows: tuple[int, ...]) -> DataFrame:
     """events (address, other, _us, value, ...) with n_w, volume_w and partners_w of the w seconds that end with each event, ties included.
 
-    What an event adds it takes away again when it leaves the window, or, for the partner, when the next event with that partner takes
-    over; so every figure is a running sum over three rows an event and window, and no window's rows are read again for each event.
+    Time is cut into blocks as long as the longest window, and an event goes to its own block and, as what is carried in, to the next
+    one; no window ends later. So an address, however busy, is spread over its blocks, and one shuffle by (address, block) serves all.
+    Within a block what an event adds it takes away again when it leaves the window or, for the partner, when the next event with that partner
+    takes over: every figure is a running sum over the changes, and no window's rows are read again for each event.
     """
-    seen = events.withColumn("_next", F.lead("_us").over(Window.partitionBy("address", "other").orderBy("_us")))
-    names = [f"{c}_{w}" for w in windows for c in ("n", "volume", "partners")]
-    nothing = {f"{c}_{w}": F.lit(0).cast(t) for w in windows for c, t in (("n", "long"), ("volume", "decimal(38,0)"), ("partners", "long"))}
-    one, v = F.lit(1).cast("long"), F.col("value").cast("decimal(38,0)")
-    rows = [seen.withColumns({f"{c}_{w}": x for w in windows for c, x in (("n", one), ("volume", v), ("partners", one))}).withColumn("_live", F.lit(True))]
-    for w in windows:
-        gone = F.col("_us") + w * US + 1
-        left = seen.withColumns(nothing | {f"n_{w}": -one, f"volume_{w}": -v}).withColumn("_us", gone)
-        over = seen.withColumns(nothing | {f"partners_{w}": -one}).withColumn("_us", F.least(gone, F.col("_next")))
-        rows += [x.withColumn("_live", F.lit(False)) for x in (left, over)]
-    every = rows[0]
-    for x in rows[1:]:
-        every = every.unionByName(x)
-    until = Window.partitionBy("address").orderBy("_us").rangeBetween(Window.unboundedPreceding, 0)
-    sums = {c: (F.sum(c).over(until).cast("decimal(38,0)") if c.startswith("volume") else F.sum(c).over(until)) for c in names}
-    return every.withColumns(sums).where("_live").drop("_live", "_next")
+    width = max(windows) * US
+    parts = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a fixed number: few bytes make many changes, so AQE should not merge tasks
+    block = F.floor(F.col("_us") / width)
+    dealt = events.withColumn("_block", F.explode(F.array(block, block + 1))).repartition(parts, "address", "_block")
+    seen = dealt.withColumn("_next", F.lead("_us").over(Window.partitionBy("address", "_block", "other").orderBy("_us")))
+    row = ", ".join(c for c in events.columns if c != "address")
+    rows = seen.selectExpr("address", "_block", f"struct({row}) as _row", f"explode({_changes(windows, width)}) as _c").where("_c is not null")
+    flat = rows.selectExpr("address", "_block", "if(_c._live, _row, null) as _row", "_c.*")
+    until = "over (partition by address, _block order by _at range between unbounded preceding and current row)"
+    sums = [f"cast(sum({c}_{w}) {until} as {kind}) as {c}_{w}" for w in windows for c, kind in (("n", "long"), ("volume", "decimal(38,0)"), ("partners", "long"))]
+    return flat.selectExpr("address", "_live", "_row", *sums).where("_live").selectExpr("address", "_row.*", *(f"{c}_{w}" for w in windows for c in ("n", "volume", "partners")))
 
 
 def rolling_activity(transfers: DataFrame, windows: tuple[int, ...] = (300, 900, 3600)) -> DataFrame:
