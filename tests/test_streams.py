@@ -77,3 +77,61 @@ def test_rows_of_all_runs(spark, tmp_path):
 def test_no_files(spark, tmp_path):
     (tmp_path / "land").mkdir()
     assert jobs.edges_snapshot(_stream(spark, tmp_path / "land"), str(tmp_path / "state")).count() == 0
+
+
+def _bursty(spark, folder, name, numbers):
+    """Two bursts of transfers a week apart for each of seven accounts, in no order."""
+    start = datetime(2024, 1, 1)
+    rows = [(f"h{k}", k, start + timedelta(days=7 * (k % 5), seconds=37 * k, hours=k % 3), f"a{k % 7}", f"b{k * k % 5}", Decimal((100 + k) * 10**12), True) for k in numbers]
+    spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(f"{folder}/{name}")
+
+
+def test_awakenings_equal_the_batch_after_a_restart(spark, tmp_path):
+    from transfergraph.operators.anomalies import awakening
+    from transfergraph.streaming.awakening import awakenings
+
+    made, land, folder = tmp_path / "made", tmp_path / "land", str(tmp_path / "state")
+    for part in range(2):
+        _bursty(spark, made, f"p{part}", [k for k in range(70) if k % 5 == part])
+    _moved(spark, made, land)
+    late = "1 day"
+    jobs.run_to_table(awakenings(_stream(spark, land), 3.0, late=late), folder=folder)
+    for part in range(2, 5):
+        _bursty(spark, made, f"p{part}", [k for k in range(70) if k % 5 == part])
+    _bursty(spark, made, "q", [10_000 * 5 + 4])  # a transfer three weeks on, so that the watermark passes all sessions before
+    _moved(spark, made, land)
+    got = jobs.run_to_table(awakenings(_stream(spark, land), 3.0, late=late), folder=folder)
+    every = spark.read.schema(spark.createDataFrame([], SCHEMA).schema).parquet(str(land))
+    want = awakening(every, 3.0)
+    figures = lambda df: {(r.address, r.session): (r.n, r.destinations, r.kind, *(x if x is None else round(x, 6) for x in (r.sent, r.received, r.dormant_days, r.volume_factor, r.mean_gap, r.confidence))) for r in df.collect()}
+    batch, stream = figures(want), figures(got)
+    last = {a: max(s for b, s in batch if b == a) for a, _ in batch}
+    assert len(stream) == got.count() and set(stream) <= set(batch)
+    assert all(v == batch[k] for k, v in stream.items())
+    assert {k for k in batch if k[1] < last[k[0]]} <= set(stream), "every session but an address's last is closed by a later row at the latest"
+
+
+def test_late_rows_are_counted(spark, tmp_path):
+    from transfergraph.streaming.late import counting_late_rows, late_rows
+
+    made, land, folder, counts = tmp_path / "made", tmp_path / "land", str(tmp_path / "state"), str(tmp_path / "late")
+    _land(spark, made, "p0", range(0, 600))
+    _moved(spark, made, land)
+    with counting_late_rows(spark, counts):
+        jobs.run_to_table(jobs.dedup(_stream(spark, land)), folder=folder)
+        _land(spark, made, "p1", [1000, 1001, 1002])  # seven hours on
+        _moved(spark, made, land)
+        jobs.run_to_table(jobs.dedup(_stream(spark, land)), folder=folder)
+        _land(spark, made, "p2", [*range(2000, 2003), *range(30, 37)])  # seven of them over an hour before the watermark
+        _moved(spark, made, land)
+        out = jobs.run_to_table(jobs.dedup(_stream(spark, land)), folder=folder)
+    assert out.count() == 606
+    assert [r.dropped for r in late_rows(spark, counts).collect()] == [7]
+
+
+def test_no_late_rows(spark, tmp_path):
+    from transfergraph.streaming.late import counting_late_rows
+
+    with counting_late_rows(spark, str(tmp_path / "late")):
+        pass
+    assert not (tmp_path / "late").exists()

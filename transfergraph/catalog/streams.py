@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 
 from ..sources import ledger as L
 from ..streaming import jobs as S
+from ..streaming.awakening import awakenings
+from . import anomalies as N
 from .base import LEDGER
 from .filters import UNIT, _as_of, _edges
 from .windows import _round
@@ -86,6 +88,11 @@ QUERIES = {
         lambda s, d: _ntz(S.run_to_table(S.activity_sessions(_stream(s, d), "6 hours")), "start", "end"),
         LEDGER + f", g AS (SELECT *, sum(CASE WHEN p IS NULL OR epoch_us(timestamp)-p > 21600000000 THEN 1 ELSE 0 END) OVER (PARTITION BY from_address ORDER BY timestamp, hash ROWS UNBOUNDED PRECEDING) AS ss FROM (SELECT *, epoch_us(lag(timestamp) OVER (PARTITION BY from_address ORDER BY timestamp, hash)) AS p FROM t)) SELECT from_address, min(timestamp) AS start, max(timestamp) + INTERVAL 6 HOUR AS \"end\", count(*) AS n, CAST(sum(value) AS DECIMAL(38,0)) AS volume FROM g GROUP BY from_address, ss HAVING max(timestamp) + INTERVAL 6 HOUR <= {LAST} - INTERVAL 1 HOUR",
     ),
+    "st8_stream_awakening": (
+        lambda s, d: _round(S.run_to_table(awakenings(_stream(s, d), 2.0)).withColumn("mean_gap", F.round(F.col("mean_gap") + 0.0123, 1)), "sent", "received", "dormant_days", "volume_factor", "confidence", n=4),
+        # the sessions of n13_awakening that the watermark has closed: their last event is over two days and an hour before the last of all
+        N.QUERIES["n13_awakening"][1].replace("sum(gap) AS gs FROM", "sum(gap) AS gs, max(timestamp) AS last FROM").replace("round(mg+1e-6,4)", "round(mg+0.0123,1)").replace("WHERE session > 1", f"WHERE session > 1 AND last + INTERVAL 2 DAY < {LAST} - INTERVAL 1 HOUR"),
+    ),
     "st9_stream_watch": (
         lambda s, d: S.run_to_table(S.watch(_stream(s, d), L.accounts(s, d).where("node_type = 'mixer'"), 200 * UNIT)),
         LEDGER + "SELECT hash, l.address, 'watched_address' AS rule FROM l JOIN a ON a.address = l.address AND node_type='mixer' UNION ALL SELECT hash, from_address, 'large_transfer' FROM t WHERE value >= 200000000000000",
