@@ -288,7 +288,9 @@ def test_no_leak_that_reaches_the_score_is_missed(spark, make, prose):
     """Every item against every whole text by alignment alone, the hard cases at the threshold among them."""
     r = random.Random(8)
     texts = {k: prose(n, 700 + k) for k, n in enumerate([8, 9, 15, 30, 31, 60])}
-    rows = [(i, t) for i, t in enumerate(t for k in texts for t in planted(texts[k], r, 40))]
+    texts[6] = "over and over and over and over and over and over and out"
+    made = [t for k in texts for t in planted(texts[k], r, 40)] + ["and over and", "over and " * 3, "over over over over and and and", " ".join(texts[4].split()[:9] * 2)]
+    rows = list(enumerate(made))
     items = spark.createDataFrame(list(texts.items()), "item_id long, text string")
     want = {}
     for i, t in rows:

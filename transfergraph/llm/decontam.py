@@ -112,6 +112,8 @@ class Matcher:
     def _best(self, words: np.ndarray, item: int, at: np.ndarray) -> tuple[int, float, int, int, int] | None:
         """The best alignment of an item, which lies where as many seeds as it needs begin within its longest span."""
         target, need = self.words[item], int(self.needs[item])
+        if len(at) < need:  # seeds were counted, here they are told apart by where they begin
+            return None
         span = int(len(target) * (3 - 2 * self.scores[item])) + 1
         dense = np.flatnonzero(at[need - 1 :] - at[: len(at) - need + 1] <= span)
         if not len(dense):
