@@ -2,6 +2,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..functions.times import days_between, micros
+from ..plans.ranges import as_of
 from ..sources import ledger as L
 from .base import LEDGER
 from .filters import _as_of, _edges
@@ -87,6 +88,13 @@ def _json_groups(s, d):
     return rows.groupBy("blocks").agg(F.to_json(F.array_sort(F.collect_list(item))).alias("items"), F.to_json(F.array(F.min("block_number"), F.max("block_number"))).alias("span"), F.to_json(F.struct(F.count("*").alias("n"))).alias("object"))
 
 
+def _priced(s, d):
+    """Each transfer at the last price before it; the values of clicks are read as prices."""
+    quotes = L.events(s, d).where("event_type = 'click'").select(micros("ts").alias("at"), F.col("value").alias("price"))
+    priced = as_of(_t(s, d).withColumn("us", micros("timestamp")), quotes, "us", "at", "price", 86400 * 10**6)
+    return _round(priced.select("hash", "price", S.price(F.col("value"), F.col("price")).alias("usd")), "usd", n=4)
+
+
 QUERIES = {
     "f1_casts": (
         lambda s, d: _round(_cast(s, d), "approx"),
@@ -145,6 +153,10 @@ QUERIES = {
         lambda s, d: _round(_t(s, d).select("hash", S.price(F.col("value"), F.lit(6.5)).alias("usd")), "usd", n=4),
         LEDGER + "SELECT hash, round(CAST(value AS DOUBLE)/1000000000000*CAST(6.5 AS DOUBLE),4) AS usd FROM t",
     ),
+    "f27_price_as_of": (
+        _priced,
+        LEDGER + ", q AS (SELECT ts AS at, max(value) AS price FROM events WHERE event_type = 'click' GROUP BY 1) SELECT hash, price, round(CAST(value AS DOUBLE)/1000000000000*price,4) AS usd FROM t ASOF LEFT JOIN q ON t.timestamp >= q.at",
+    ),
     "f2_conditionals": (
         _conditionals,
         LEDGER + "SELECT address, coalesce(legal,display,address) AS name, nullif(node_type,'regular') AS special, CASE WHEN risk_score >= 75 THEN 'high' WHEN risk_score BETWEEN 40 AND 74.5 THEN 'medium' ELSE 'low' END AS band, node_type IN ('exchange','mixer') AS watched FROM a",

@@ -1,7 +1,11 @@
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import aggregates as A
 from ..operators import joins as J
+from ..operators import kept_index as K
+from ..plans.cut import materialise
 from ..sources import ledger as L
 from .base import LEDGER
 from .filters import UNIT, _edges
@@ -28,6 +32,23 @@ HOPS = ", hop AS (SELECT x.from_address AS origin, x.to_address AS via, y.to_add
 SEQUENCE = f""", seq AS (SELECT t1.hash AS hash1, t1.from_address AS from1, t1.to_address AS to1, t1.value AS value1, t2.hash AS hash2, t2.from_address AS from2, t2.to_address AS to2, t2.value AS value2, ({U2}-{U1})/1000000.0 AS seconds
  FROM t t1 JOIN t t2 ON t1.to_address = t2.from_address AND {U2} > {U1} AND {U2} - {U1} <= 18000000000 WHERE t1.success AND t2.success AND abs(CAST(t1.value AS DOUBLE) - CAST(t2.value AS DOUBLE)) <= 0.15 * CAST(t1.value AS DOUBLE))"""
 
+
+def _kept_index(s, d):
+    """The same search over an index that two batches of accounts have made."""
+    name = f"postings_{uuid.uuid4().hex}"
+    a = L.accounts(s, d)
+    for batch in (a.where("user_id < 700"), a):
+        K.add_to_index(batch, ["address", "display", "legal"], name, 8)
+    found = materialise(K.search_index(_queries(s, d), name).withColumn("rank", F.round("rank", 6)))
+    K.drop_index(s, name)
+    return found
+
+
+FULLTEXT = (
+        LEDGER + ", tok AS (SELECT address, unnest(list_filter(regexp_split_to_array(lower(concat_ws(' ', address, display, legal)), '[^a-z0-9]+'), lambda x: x <> '')) AS token FROM a), idx AS (SELECT token, address, count(*) AS tf FROM tok GROUP BY 1,2), dfs AS (SELECT token, count(*) AS df FROM idx GROUP BY 1), "
+        "q AS (SELECT DISTINCT query, unnest(regexp_split_to_array(lower(query), '[^a-z0-9]+')) AS token FROM (VALUES ('Name 3'), ('legal 12'), ('U000009 name')) v(query)) SELECT query, address, count(*) AS matched, round(sum(tf * ln(1 + (SELECT count(*) FROM a) / df)), 6) AS rank FROM q JOIN idx USING (token) JOIN dfs USING (token) GROUP BY 1,2"
+)
+
 QUERIES = {
     "j1_direct_connections": (
         lambda s, d: J.direct_connections(_edges(s, d), L.accounts(s, d), _metrics(s, d), None, 10 * UNIT, 5),
@@ -72,9 +93,9 @@ QUERIES = {
     ),
     "j12_fulltext_search": (
         lambda s, d: J.fulltext_search(L.accounts(s, d), _queries(s, d), ["address", "display", "legal"]).withColumn("rank", F.round("rank", 6)),
-        LEDGER + ", tok AS (SELECT address, unnest(list_filter(regexp_split_to_array(lower(concat_ws(' ', address, display, legal)), '[^a-z0-9]+'), lambda x: x <> '')) AS token FROM a), idx AS (SELECT token, address, count(*) AS tf FROM tok GROUP BY 1,2), dfs AS (SELECT token, count(*) AS df FROM idx GROUP BY 1), "
-        "q AS (SELECT DISTINCT query, unnest(regexp_split_to_array(lower(query), '[^a-z0-9]+')) AS token FROM (VALUES ('Name 3'), ('legal 12'), ('U000009 name')) v(query)) SELECT query, address, count(*) AS matched, round(sum(tf * ln(1 + (SELECT count(*) FROM a) / df)), 6) AS rank FROM q JOIN idx USING (token) JOIN dfs USING (token) GROUP BY 1,2",
+        FULLTEXT,
     ),
+    "j12_kept_index": (_kept_index, FULLTEXT),
     "j13_orphan_transfers": (
         lambda s, d: J.orphan_transfers(L.transfers(s, d), L.accounts(s, d).where("display is not null")),
         LEDGER + "SELECT hash, 'from' AS missing FROM t WHERE from_address NOT IN (SELECT address FROM a WHERE display IS NOT NULL) UNION ALL SELECT hash, 'to' FROM t WHERE to_address NOT IN (SELECT address FROM a WHERE display IS NOT NULL)",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -21,3 +21,24 @@ def within_after(left: DataFrame, right: DataFrame, on: list[tuple[str, str]], l
     gap = F.col(right_at) - F.col(left_at)
     low = gap >= 0 if include_equal else gap > 0
     return near.join(there, keys & low & (gap <= width)).drop("_bucket", "_right_bucket")
+
+
+def as_of(left: DataFrame, right: DataFrame, left_at: str, right_at: str, value: str, width: int, on: list[str] | None = None) -> DataFrame:
+    """left with the column `value` of the last row of right at or before its time (null before the first), for equal keys `on` if given.
+
+    Both sides are one table in order of time, cut into blocks `width` long, and within a block the last value seen is a running window; what a
+    block begins with is carried in from the last value of the blocks before, of which there is one row each. So a key's rows (or all rows, without
+    a key) are spread over its blocks, and only the blocks of one key meet in a task. At equal times right comes first, of several the greatest
+    value counts. Times are numbers; null times match nothing.
+    """
+    keys = on or []
+    at = lambda c: F.col(c).cast("long")
+    mine = left.select(*keys, at(left_at).alias("_at"), F.lit(1).alias("_side"), F.lit(None).cast(right.schema[value].dataType).alias("_value"), F.struct(*left.columns).alias("_row"))
+    theirs = right.where(F.col(right_at).isNotNull() & F.col(value).isNotNull()).select(*keys, at(right_at).alias("_at"), F.lit(0).alias("_side"), F.col(value).alias("_value"), F.lit(None).cast(mine.schema["_row"].dataType).alias("_row"))
+    both = mine.unionByName(theirs).withColumn("_block", F.floor(F.col("_at") / width))
+    blocks = both.groupBy(*keys, "_block").agg(F.max(F.when(F.col("_side") == 0, F.struct("_at", "_value"))).alias("_last"))
+    before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = blocks.select(*keys, "_block", F.last("_last", ignorenulls=True).over(before)["_value"].alias("_carried"))
+    seen = Window.partitionBy(*keys, "_block").orderBy("_at", "_side", "_value").rowsBetween(Window.unboundedPreceding, 0)
+    found = both.join(carried, [*keys, "_block"], "left").withColumn("_seen", F.last("_value", ignorenulls=True).over(seen))
+    return found.where("_side = 1").select("_row.*", F.when(F.col("_at").isNotNull(), F.coalesce("_seen", "_carried")).alias(value))
