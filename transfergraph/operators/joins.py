@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.times import micros
 from ..plans.cut import materialise
-from ..plans.ranges import within_after
+from ..plans.ranges import CELL_ROWS, join_cells, within_after
 from .aggregates import AMOUNT
 from .sets import undirected_view
 from .topk import topk
@@ -77,16 +77,17 @@ def sequential_transfers(transfers: DataFrame, window_seconds: int = 300 * 60, t
     return near.withColumn("seconds", (F.col("us2") - F.col("us1")) / US).drop("us1", "us2")
 
 
-def time_proximity_pairs(activity: DataFrame, window_seconds: int = 60, at: str = "timestamp") -> DataFrame:
+def time_proximity_pairs(activity: DataFrame, window_seconds: int = 60, at: str = "timestamp", limit: int = CELL_ROWS) -> DataFrame:
     """(address_a, address_b, seconds): events of two addresses, a < b, at most window_seconds apart, whichever comes first.
 
-    activity: address, timestamp. Time buckets are the join key, so the cost follows the number of near pairs.
+    activity: address, timestamp. Time buckets are the join key, so the cost follows the number of near pairs; a bucket of more than `limit` events is
+    compared in blocks, so that a busy minute is many tasks' work.
     """
     a = activity.select(F.col("address").alias("address_a"), micros(at).alias("us_a"))
     b = activity.select(F.col("address").alias("address_b"), micros(at).alias("us_b"))
     w = window_seconds * US
-    near = a.withColumn("_k", F.explode(F.array(*(F.floor(F.col("us_a") / w) + d for d in (-1, 0, 1)))))
-    j = near.join(b.withColumn("_j", F.floor(F.col("us_b") / w)), (F.col("_k") == F.col("_j")) & (F.col("address_a") < F.col("address_b")) & (F.abs(F.col("us_a") - F.col("us_b")) <= w))
+    near = a.withColumn("_cell", F.explode(F.array(*(F.floor(F.col("us_a") / w) + d for d in (-1, 0, 1)))))
+    j = join_cells(near, b.withColumn("_cell", F.floor(F.col("us_b") / w)), ["_cell"], limit).where((F.col("address_a") < F.col("address_b")) & (F.abs(F.col("us_a") - F.col("us_b")) <= w))
     return j.select("address_a", "address_b", (F.abs(F.col("us_a") - F.col("us_b")) / US).alias("seconds"))
 
 

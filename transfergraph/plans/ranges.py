@@ -42,3 +42,25 @@ def as_of(left: DataFrame, right: DataFrame, left_at: str, right_at: str, value:
     seen = Window.partitionBy(*keys, "_block").orderBy("_at", "_side", "_value").rowsBetween(Window.unboundedPreceding, 0)
     found = both.join(carried, [*keys, "_block"], "left").withColumn("_seen", F.last("_value", ignorenulls=True).over(seen))
     return found.where("_side = 1").select("_row.*", F.when(F.col("_at").isNotNull(), F.coalesce("_seen", "_carried")).alias(value))
+
+
+#: A cell of a grid join is split when either side has more rows in it.
+CELL_ROWS = 20_000
+
+
+def join_cells(left: DataFrame, right: DataFrame, cell: list[str], limit: int = CELL_ROWS) -> DataFrame:
+    """left inner join right on the columns `cell`, in which no task compares more than about limit x limit rows of one cell.
+
+    The rows of a cell are counted on both sides (combined before they are shuffled). A cell of more than `limit` is dealt into parts on each side by a
+    hash of the whole row, and each part of one side meets each part of the other: a row is sent once for each part of the other side, a pair is compared
+    once. Other columns must differ in name; null cells match nothing.
+    """
+    n = left.groupBy(*cell).agg(F.count("*").alias("_l")).join(right.groupBy(*cell).agg(F.count("*").alias("_r")), cell)
+    parts = n.where((F.col("_l") > limit) | (F.col("_r") > limit)).select(*cell, F.ceil(F.col("_l") / limit).alias("_l"), F.ceil(F.col("_r") / limit).alias("_r"))
+
+    def dealt(side: DataFrame, own: str, other: str) -> DataFrame:
+        mine, theirs = F.coalesce(own, F.lit(1)), F.coalesce(other, F.lit(1))
+        row = F.xxhash64(*(c for c in side.columns if c not in cell))
+        return side.join(parts, cell, "left").withColumn(f"{own}_part", F.pmod(row, mine)).withColumn(f"{other}_part", F.explode(F.sequence(F.lit(0).cast("long"), theirs - 1))).drop("_l", "_r")
+
+    return dealt(left, "_l", "_r").join(dealt(right, "_r", "_l"), [*cell, "_l_part", "_r_part"]).drop("_l_part", "_r_part")
