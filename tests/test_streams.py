@@ -135,3 +135,26 @@ def test_no_late_rows(spark, tmp_path):
     with counting_late_rows(spark, str(tmp_path / "late")):
         pass
     assert not (tmp_path / "late").exists()
+
+
+def test_strength_follows_the_stream(spark, tmp_path):
+    """After each run the scores are those of all rows so far for the edges that the last batch touched, and those of their own last batch for the others."""
+    from transfergraph.operators import metrics, scoring
+    from transfergraph.streaming.rescoring import rescore_strength
+
+    made, land, folder = tmp_path / "made", tmp_path / "land", str(tmp_path / "state")
+    names = [f"a{k}" for k in range(7)]
+    accounts = spark.createDataFrame([(a, Decimal(500 * k), datetime(2023, 12, 20 + k)) for k, a in enumerate(names)], "address string, balance decimal(38,0), created_at timestamp")
+    ranks = spark.createDataFrame([(a, 0.1 + k / 100) for k, a in enumerate(names)], "address string, pagerank double")
+    as_of = spark.createDataFrame([(datetime(2024, 1, 3),)], "as_of timestamp")
+    want = {}
+    for part, numbers in enumerate([range(40), [3, 40, 41, 42, 59], [3, 5, 100]]):
+        _land(spark, made, f"p{part}", numbers)
+        _moved(spark, made, land)
+        got = rescore_strength(_stream(spark, land), accounts, ranks, as_of, folder, fold_every=2)
+        t = spark.read.schema(spark.createDataFrame([], SCHEMA).schema).parquet(str(land))
+        e = build_edges(t)
+        full = scoring.strength_score(scoring.volume_score(e, accounts), scoring.frequency_score(e, t), scoring.temporal_score(t, as_of), scoring.network_score(e, metrics.degree_centrality(e), ranks), scoring.risk_score(t, accounts))
+        now = {(r.from_address, r.to_address): (r.strength, round(r.adjusted, 6)) for r in full.collect()}
+        want |= {(f"a{k % 7}", f"a{k * k % 5}"): now[f"a{k % 7}", f"a{k * k % 5}"] for k in numbers}
+        assert {(r.from_address, r.to_address): (r.strength, round(r.adjusted, 6)) for r in got.collect()} == want

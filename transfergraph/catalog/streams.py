@@ -3,10 +3,13 @@
 from pyspark.sql import functions as F
 
 
+from ..operators import metrics as M
 from ..sources import ledger as L
 from ..streaming import jobs as S
 from ..streaming.awakening import awakenings
+from ..streaming.rescoring import rescore_strength
 from . import anomalies as N
+from . import scoring as R
 from .base import LEDGER
 from .filters import UNIT, _as_of, _edges
 from .windows import _round
@@ -72,6 +75,10 @@ QUERIES = {
         lambda s, d: _round(S.rescore(_stream(s, d), _edges(s, d), _as_of(s, d)), "score", n=4),
         LEDGER + "SELECT from_address, to_address, round(greatest(1.0, CASE WHEN total_volume > 0 THEN least(50.0, log10(CAST(total_volume AS DOUBLE)/1e12)*10) ELSE 0 END + least(30.0, 2*transfer_count) + greatest(0, 20 - floor(((SELECT epoch_us(as_of) FROM latest_)-epoch_us(last_transfer_time))/1000000.0/86400))),4) AS score FROM e",
     ),
+    "st4_stream_strength": (
+        lambda s, d: rescore_strength(_stream(s, d), L.accounts(s, d), M.pagerank(_edges(s, d), 3), _as_of(s, d)).select("from_address", "to_address", F.round("strength", 1).alias("strength"), F.round("adjusted", 3).alias("adjusted")),
+        R.QUERIES["r6_strength"][1],
+    ),
     "st5_stream_dispersion": (
         lambda s, d: S.run_to_table(S.dispersion(_stream(s, d), 1000, 2)).groupBy("from_address", "bucket").agg(F.max("recipients").alias("recipients")),
         LEDGER + "SELECT from_address, block_number//1000*1000 AS bucket, count(DISTINCT to_address) AS recipients FROM t GROUP BY 1,2 HAVING count(DISTINCT to_address) > 2",

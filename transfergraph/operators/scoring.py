@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,20 +25,26 @@ def capped(limit: float, x: Column) -> Column:
     return F.least(F.lit(float(limit)), x)
 
 
-def volume_score(edges: DataFrame, accounts: DataFrame, method: str = "strict") -> DataFrame:
-    """40 * rank of total + 30 * rank of mean size + min(30, 100 * total / sender's balance), 15 without a balance; at most 100."""
-    rank = strict_rank_fraction if method == "strict" else percent_rank
+Rank = Callable[[DataFrame, str, str], DataFrame]
+
+
+def volume_score(edges: DataFrame, accounts: DataFrame, method: str | Rank = "strict") -> DataFrame:
+    """40 * rank of total + 30 * rank of mean size + min(30, 100 * total / sender's balance), 15 without a balance; at most 100.
+
+    method: strict, percent, or a function like strict_rank_fraction(df, column, name) that knows the ranks of more edges than these.
+    """
+    rank = method if callable(method) else strict_rank_fraction if method == "strict" else percent_rank
     e = edges.select(*EDGE, F.col("total_volume").cast("double").alias("_total"), (F.col("total_volume").cast("double") / F.col("transfer_count")).alias("_mean"))
     r = rank(rank(e, "_total", "_rt"), "_mean", "_rm").join(accounts.select(F.col("address").alias("from_address"), F.col("balance").cast("double").alias("_b")), "from_address", "left")
     share = F.when(F.coalesce("_b", F.lit(0.0)) > 0, capped(30, 100 * F.col("_total") / F.col("_b"))).otherwise(15.0)
     return r.select(*EDGE, capped(100, 40 * F.col("_rt") + 30 * F.col("_rm") + share).alias("volume_score"))
 
 
-def frequency_score(edges: DataFrame, transfers: DataFrame) -> DataFrame:
+def frequency_score(edges: DataFrame, transfers: DataFrame, rank: Rank = strict_rank_fraction) -> DataFrame:
     """40 * rank of count + 30 * min(1, transfers a day / 10) + 30 * distinct days / days active."""
     d = transfers.groupBy(*EDGE).agg(F.countDistinct(F.to_date("timestamp")).alias("_days"), F.min("timestamp").alias("_a"), F.max("timestamp").alias("_b"), F.count("*").alias("_n"))
     active = F.greatest(F.lit(1), F.ceil(days_between("_a", "_b")) + 1)
-    r = strict_rank_fraction(edges.select(*EDGE, "transfer_count"), "transfer_count", "_r").join(d.withColumn("_active", active), EDGE)
+    r = rank(edges.select(*EDGE, "transfer_count"), "transfer_count", "_r").join(d.withColumn("_active", active), EDGE)
     return r.select(*EDGE, (40 * F.col("_r") + 30 * capped(1, F.col("_n") / F.col("_active") / 10) + 30 * F.col("_days") / F.col("_active")).alias("frequency_score"))
 
 
@@ -62,11 +70,11 @@ def temporal_decay_score(transfers: DataFrame, as_of: DataFrame) -> DataFrame:
     return g.select(*EDGE, (40 * F.exp(-F.col("_last") / 30) + capped(30, (F.col("_first") - F.col("_last")) / 10) + capped(30, 15 * F.col("_w") / F.col("_n") + 15 * F.col("_m") / F.col("_n"))).alias("temporal_score"))
 
 
-def network_score(edges: DataFrame, centrality: DataFrame, ranks: DataFrame) -> DataFrame:
-    """min(40, 5 * common) + min(30, 100 * mean degree centrality) + min(30, 1000 * mean pagerank)."""
+def network_score(edges: DataFrame, centrality: DataFrame, ranks: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+    """min(40, 5 * common) + min(30, 100 * mean degree centrality) + min(30, 1000 * mean pagerank), of each edge or of the pairs."""
     m = centrality.select("address", "centrality").join(ranks.select("address", "pagerank"), "address", "left")
     end = lambda e, s: m.select(F.col("address").alias(e), F.col("centrality").alias(f"_c{s}"), F.col("pagerank").alias(f"_p{s}"))
-    j = common_connections(edges).join(end("from_address", 1), "from_address", "left").join(end("to_address", 2), "to_address", "left")
+    j = common_connections(edges, pairs).join(end("from_address", 1), "from_address", "left").join(end("to_address", 2), "to_address", "left")
     mean = lambda x: (F.coalesce(F.col(f"{x}1"), F.lit(0.0)) + F.coalesce(F.col(f"{x}2"), F.lit(0.0))) / 2
     return j.select(*EDGE, (capped(40, 5.0 * F.col("common")) + capped(30, 100 * mean("_c")) + capped(30, 1000 * mean("_p"))).alias("network_score"))
 

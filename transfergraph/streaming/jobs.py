@@ -62,7 +62,7 @@ def _merge(parts: DataFrame) -> DataFrame:
     )
 
 
-def _versions(spark: SparkSession, base: str, kind: str) -> list[int]:
+def versions(spark: SparkSession, base: str, kind: str) -> list[int]:
     """The batches k, ascending, whose folder {base}/{kind}-{k} is complete."""
     names = finished(spark, base)
     return sorted(int(n.removeprefix(f"{kind}-")) for n in names if n.startswith(f"{kind}-"))
@@ -71,13 +71,26 @@ def _versions(spark: SparkSession, base: str, kind: str) -> list[int]:
 def snapshot_edges(spark: SparkSession, folder: str, schema: StructType, upto: int | None = None) -> DataFrame:
     """The edge table in the folder of edges_snapshot: the newest whole table with the batches after it, up to a batch if given."""
     within = lambda k: upto is None or k <= upto
-    whole = max((k for k in _versions(spark, folder, "whole") if within(k)), default=-1)
-    paths = [f"{folder}/batch-{k}" for k in _versions(spark, folder, "batch") if k > whole and within(k)]
+    whole = max((k for k in versions(spark, folder, "whole") if within(k)), default=-1)
+    paths = [f"{folder}/batch-{k}" for k in versions(spark, folder, "batch") if k > whole and within(k)]
     if whole >= 0:
         paths.append(f"{folder}/whole-{whole}")
     return _merge(spark.read.schema(schema).parquet(*paths)) if paths else spark.createDataFrame([], schema)
 
 
+def add_edges(spark: SparkSession, schema: StructType, fold_every: int, batch: DataFrame, k: int, base: str) -> None:
+    """Write the edges of batch k; each fold_every-th batch also the whole table, from the one before it and the batches since."""
+    build_edges(batch).write.mode("overwrite").parquet(f"{base}/batch-{k}")
+    if k % fold_every != fold_every - 1:
+        return
+    before = [w for w in versions(spark, base, "whole") if w < k]
+    parts = [f"{base}/batch-{j}" for j in versions(spark, base, "batch") if max(before, default=-1) < j <= k] + [f"{base}/whole-{w}" for w in before[-1:]]
+    _merge(spark.read.schema(schema).parquet(*parts)).write.mode("overwrite").parquet(f"{base}/whole-{k}")
+    if before:
+        old = [f"{base}/batch-{j}" for j in versions(spark, base, "batch") if j <= before[-1]] + [f"{base}/whole-{w}" for w in before[:-1]]
+        delete(spark, old)
+
+
 def edges_snapshot(transfers: DataFrame, folder: str | None = None, fold_every: int = 20) -> DataFrame:
     """The edge table that a stream of transfers leaves.
 
@@ -87,18 +100,7 @@ def edges_snapshot(transfers: DataFrame, folder: str | None = None, fold_every:
     """
     spark = transfers.sparkSession
     schema = build_edges(spark.createDataFrame([], transfers.schema)).schema
-
-    def each(batch: DataFrame, k: int, base: str) -> None:
-        build_edges(batch).write.mode("overwrite").parquet(f"{base}/batch-{k}")
-        if k % fold_every != fold_every - 1:
-            return
-        before = [w for w in _versions(spark, base, "whole") if w < k]
-        parts = [f"{base}/batch-{j}" for j in _versions(spark, base, "batch") if max(before, default=-1) < j <= k] + [f"{base}/whole-{w}" for w in before[-1:]]
-        _merge(spark.read.schema(schema).parquet(*parts)).write.mode("overwrite").parquet(f"{base}/whole-{k}")
-        if before:
-            old = [f"{base}/batch-{j}" for j in _versions(spark, base, "batch") if j <= before[-1]] + [f"{base}/whole-{w}" for w in before[:-1]]
-            delete(spark, old)
-
+    each = lambda batch, k, base: add_edges(spark, schema, fold_every, batch, k, base)
     return snapshot_edges(spark, run_batches(transfers, each, folder=folder), schema)
 
 
@@ -113,7 +115,7 @@ def rescore(transfers: DataFrame, edges: DataFrame, as_of: DataFrame, folder: st
         scored.select("from_address", "to_address", F.col("score").cast("double"), F.lit(k).cast("long").alias("batch")).write.mode("overwrite").parquet(f"{base}/scores-{k}")
 
     base = run_batches(transfers, each, folder=folder)
-    paths = [f"{base}/scores-{k}" for k in _versions(spark, base, "scores")]
+    paths = [f"{base}/scores-{k}" for k in versions(spark, base, "scores")]
     scores = spark.read.schema(start.schema).parquet(*paths) if paths else start
     return scores.groupBy("from_address", "to_address").agg(F.max_by("score", "batch").alias("score"))
 
