@@ -211,3 +211,14 @@ def test_models_are_fitted_on_whole_texts(spark, make, prose, monkeypatch):
     assert sorted(r[0].tolist() for r in got["quality"]) == sorted(weak_quality.features(t)[0].tolist() for t in whole)
     known = [np.unique(toxicity.features(t)).tolist() for t in whole]
     assert got["toxic"] and all(r[0].tolist() in known for r in got["toxic"])
+
+
+def test_toxicity_of_the_tables(spark):
+    """Held-out documents of the given table that are labelled toxic: nine of ten are found, hardly any other."""
+    import duckdb
+
+    sf = "/root/testdata/sf0.1"
+    marked = dict(duckdb.connect().execute(f"SELECT doc_id, max(toxic) FROM '{sf}/labels.parquet' WHERE toxic IS NOT NULL GROUP BY 1").fetchall())
+    got = [(marked[r.doc_id], r.predicted) for r in toxicity.op8(spark, sf).where("held_out").collect() if r.doc_id in marked]
+    toxic, clean = [p for y, p in got if y], [p for y, p in got if not y]
+    assert sum(toxic) >= 0.9 * len(toxic) and sum(clean) <= 0.01 * len(clean)
