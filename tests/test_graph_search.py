@@ -38,22 +38,19 @@ def dijkstra(links, source):
 
 
 def best_paths(links, source, target, cost=None):
-    """All cheapest simple paths, listed."""
+    """The cheapest cost and all paths of it, listed: a step is taken only if the target can still be reached at that cost."""
+    priced = [(a, b, w if cost else 1) for a, b, w in links if a != b]
+    left = dijkstra([(b, a, w) for a, b, w in priced], target)
     near = defaultdict(list)
-    for a, b, w in links:
-        if a != b:
-            near[a].append((b, w if cost else 1))
-    best, found, stack = None, [], [(0, [source])]
-    while stack:
+    for a, b, w in priced:
+        near[a].append((b, w))
+    best, found, stack = left.get(source), [], [(0, [source])]
+    while stack and best is not None:
         d, p = stack.pop()
-        if best is not None and d > best:
-            continue
         if p[-1] == target:
-            if best is None or d < best:
-                best, found = d, []
             found.append(p)
-            continue
-        stack += [(d + c, [*p, b]) for b, c in near[p[-1]] if b not in p]
+        else:
+            stack += [(d + c, [*p, b]) for b, c in near[p[-1]] if b in left and d + c + left[b] == best]
     return best, found
 
 
@@ -149,10 +146,15 @@ def test_sampled_betweenness_is_within_its_bound(spark, links):
             for v in p[1:-1]:
                 exact[v] += 1 / len(found) / (n * (n - 1))
     e = graph(spark, links)
-    got = S.sampled_betweenness(e, most=20_000, seed=1, epsilon=0.1, first=256).collect()
+    got = S.sampled_betweenness(e, most=20_000, seed=1, epsilon=0.2, first=128).collect()
     assert {r.address for r in got} == set(names)
-    assert all(abs(r.betweenness - exact[r.address]) <= r.bound <= 0.1 for r in got)
-    assert {r.pairs for r in got} <= {256, 512, 1024}, "drawing stops long before 20,000 pairs"
-    one_look, again = (S.sampled_betweenness(e, most=50, seed=2, epsilon=0).collect() for _ in range(2))
-    assert {r.pairs for r in one_look} == {50} and sorted(one_look) == sorted(again)
+    assert all(abs(r.betweenness - exact[r.address]) <= r.bound <= 0.2 for r in got)
+    assert {r.pairs for r in got} <= {128, 256, 512}, "drawing stops long before 20,000 pairs"
     assert S.sampled_betweenness(graph(spark, [])).count() == 0
+
+
+def test_pairs_hang_on_the_seed_and_their_number(spark):
+    numbered = spark.createDataFrame([(f"v{k}", k) for k in range(9)], "address string, i long")
+    some, more, other = (sorted(map(tuple, S.draw_pairs(numbered, 9, 0, n, seed).collect())) for n, seed in ((300, 1), (400, 1), (300, 2)))
+    assert some == more[:300] and some != other and len(some) == 300
+    assert all(u != v for _, u, v in more) and len({(u, v) for _, u, v in more}) > 65  # of 72
