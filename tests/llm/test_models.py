@@ -67,21 +67,21 @@ def test_matching_statistics_against_scan(seed):
     streams = [base[:400], np.concatenate((base[10:70], [-1], base[210:280])), r.integers(1, 6, 60), np.concatenate((r.integers(1, 6, 20), base[30:80], r.integers(1, 6, 20))), base[50:90]]
     stream, lengths = np.concatenate(streams), np.array([len(x) for x in streams])
     start, number = np.cumsum(lengths) - lengths, lengths - window + 1
-    index, said = fm_index.FMIndex(text, window), {}
-    for who, last, length, low, high in index.matching_statistics(stream, start, number):
-        for w, e, n, lo, hi in zip(*(x.tolist() for x in (who, last, length, low, high)), strict=True):
-            assert (w, e) not in said
-            said[w, e] = n
-            if n == window:
-                want = {k for k in range(len(text) - window + 1) if (text[k : k + window] == streams[w][e - window + 1 : e + 1]).all()}
-                assert set(index.order[lo:hi].tolist()) == want
+    index = fm_index.FMIndex(text, window)
+    lengths, lows = index.matching_statistics(stream, start, number)
+    found = [(w, e) for w, x in enumerate(streams) for e in range(window - 1, len(x)) if lengths[start[w] + e] == window]
+    assert found and (lengths[[start[w] + e for w, x in enumerate(streams) for e in range(window - 1, len(x))]] < window).any()
+    for w, e in found:
+        low = int(lows[start[w] + e])
+        group = index.order[low : np.append(index.starts, len(text))[np.searchsorted(index.starts, low) + 1]]
+        assert set(group.tolist()) == {k for k in range(len(text) - window + 1) if (text[k : k + window] == streams[w][e - window + 1 : e + 1]).all()}
     held = {tuple(text[k : k + n].tolist()) for n in range(1, window + 1) for k in range(len(text) - n + 1)}
     for w, x in enumerate(streams):
         for e in range(window - 1, len(x)):
             n = 0
             while n < window and tuple(x[e - n : e + 1].tolist()) in held:
                 n += 1
-            assert said[w, e] == n
+            assert lengths[start[w] + e] == n
     with pytest.raises(ValueError):
         fm_index.FMIndex(text, 20)
 

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from tests.oracle import compare
-from transfergraph.llm import decontam, line_dedup, mixing, near_texts, quality_rules, queries, simhash, substring_dedup
+from transfergraph.llm import decontam, fm_index, line_dedup, mixing, near_texts, quality_rules, queries, simhash, substring_dedup
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -244,6 +244,53 @@ def test_substring_dedup(make, prose, monkeypatch, hot):
     assert substring_dedup.dedup_substrings(make([])).count() == 0
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_shard_against_scan(monkeypatch, seed):
+    """Passages of few words with edits, copies and shared ids: no index holds what is streamed through it, lengths under the window are told, and every window's verdict is the scan's."""
+    r, window, lengths = np.random.default_rng(seed), 33, []
+    base = r.integers(1, 4, 70)
+    passages, keys, docs = [], [], []
+    for k in range(24):
+        x = base.copy() if k % 3 else r.integers(1, 9, 70)
+        x[r.integers(0, 70, k % 3)] = 9
+        a = int(r.integers(0, 20))
+        passages.append(x[a : a + int(r.integers(window, 50))].astype(np.int32))
+        keys.append(k % 2)
+        docs.append(int(r.integers(-3, 9)))
+    whole = fm_index.FMIndex.matching_statistics
+
+    def watched(index, stream, start, number):
+        got = whole(index, stream, start, number)
+        lengths.extend(got[0][a + window - 1 : a + n + window - 1].tolist() for a, n in zip(start, number, strict=True))
+        return got
+
+    monkeypatch.setattr(fm_index.FMIndex, "matching_statistics", watched)
+    docs = np.array(docs)
+    got = substring_dedup.least_before(passages, np.array(keys), docs, docs, window)
+    having = [{tuple(p[k : k + window].tolist()) for k in range(len(p) - window + 1)} for p in passages]
+    for p, d, key, (least, found) in zip(passages, docs, keys, got, strict=True):
+        for k in range(len(p) - window + 1):
+            w = tuple(p[k : k + window].tolist())
+            same_key = any(w in having[x] and docs[x] < d and keys[x] == key for x in range(len(passages)))
+            assert found[k] or not same_key
+            assert not found[k] or any(w in having[x] and docs[x] == least[k] < d for x in range(len(passages)))
+    told = [n for x in lengths for n in x]
+    assert min(told) < window and max(told) == window
+
+
+def test_unrelated_passages_find_nothing(prose):
+    passages = [np.unique(prose(80, k).split(), return_inverse=True)[1].astype(np.int32) + 1 + 1000 * k for k in range(6)]
+    docs = np.arange(6)
+    assert not any(found.any() for _, found in substring_dedup.least_before(passages, np.zeros(6, int), docs, docs, 50))
+
+
+def test_substring_dedup_of_a_very_long_text(make, prose):
+    long = prose(25_000, 8)
+    rows = [(1, long), (2, " ".join(long.split()[9_000:24_500])), (3, prose(60, 9))]
+    got = substring_dedup.dedup_substrings(make(rows), digest=True).collect()
+    assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == brute_substrings(rows, 50)
+
+
 # decontamination
 
 

@@ -95,8 +95,8 @@ def segments(docs: DataFrame, window: int) -> DataFrame:
     return rows.mapInArrow(run, "doc long, text_hash long, key long, seg long, first int, number int")
 
 
-#: A passage: where it is sent, what it is (key and seg), windows in it, the least document with it, its words.
-PASSAGE = "key long, seg long, number int, doc long, words binary"
+#: A passage: where it is sent, what it is (key and seg), windows in it, a document with it, below which document its windows are sought, its words.
+PASSAGE = "key long, seg long, number int, doc long, below long, words binary"
 
 
 def _rows_of(batches: Iterator[pa.RecordBatch], rows_of_text: Callable[[int, int, list[bytes], list[dict]], Iterator[tuple]], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
@@ -111,7 +111,7 @@ def _rows_of(batches: Iterator[pa.RecordBatch], rows_of_text: Callable[[int, int
 def _passages(doc: int, h: int, words: list[bytes], wanted: list[dict], window: int) -> Iterator[tuple]:
     for w in wanted:
         at, n = w["first"], w["number"]
-        yield w["key"], w["seg"], n, doc, b" ".join(words[at : at + n + window - 1])
+        yield w["key"], w["seg"], n, doc, w["below"], b" ".join(words[at : at + n + window - 1])
 
 
 def _windows(doc: int, h: int, words: list[bytes], wanted: list[dict], window: int) -> Iterator[tuple]:
@@ -123,37 +123,81 @@ def _windows(doc: int, h: int, words: list[bytes], wanted: list[dict], window: i
             yield x, y, w["key"], w["seg"], k, doc, h, w["first"] + k
 
 
+def least_before(passages: list[np.ndarray], keys: np.ndarray, docs: np.ndarray, below: np.ndarray, window: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each passage (documents, found): of each of its windows a document under `below` that has it as well, and whether there is one.
+
+    Passages of a key are ranked by document. For each bit of the rank, the highest first, an index is built of those without the bit, and those with
+    it that agree in the higher bits are streamed through it: each passage meets all of lower rank, each pair once, and none meets itself. What is found is
+    the least document of all passages in that index with the window. A passage whose windows are all found has nothing that one of lower rank has not,
+    so it takes no more part. `below` is a passage's own document, or one more than the least document of an equal passage.
+    """
+    order = np.lexsort((docs, keys))
+    k = keys[order]
+    first = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
+    rank, group = np.empty(len(k), np.int64), np.empty(len(k), np.int64)
+    group[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(k))))
+    rank[order] = np.arange(len(k)) - first[group[order]]
+    number = np.array([len(x) for x in passages]) - window + 1
+    out = [(np.zeros(n, np.int64), np.zeros(n, bool)) for n in number.tolist()]
+    alive = np.ones(len(passages), bool)
+    for bit in range(int(rank.max()).bit_length() - 1, -1, -1):
+        side = rank >> bit & 1
+        block = np.unique(np.stack((group, rank >> bit + 1)), axis=1, return_inverse=True)[1].reshape(-1)
+        sides = [np.bincount(block[alive & (side == x)], minlength=len(passages)) > 0 for x in (0, 1)]
+        both = alive & (sides[0] & sides[1])[block]
+        held, streamed = np.flatnonzero(both & (side == 0)), np.flatnonzero(both & (side == 1))
+        if not len(held):
+            continue
+        names, text = np.unique(np.concatenate([np.append(passages[x], 0) for x in held]), return_inverse=True)  # a passage ends with 0
+        index = FMIndex(text.astype(np.int64), window)
+        least = index.least(np.repeat(docs[held], number[held] + window))
+        words = np.concatenate([passages[x] for x in streamed])
+        place = np.minimum(np.searchsorted(names, words), len(names) - 1)
+        length = number[streamed] + window - 1
+        start = np.cumsum(length) - length
+        matched, low = index.matching_statistics(np.where(names[place] == words, place, -1), start, number[streamed])
+        for x, a, n in zip(streamed.tolist(), (start + window - 1).tolist(), number[streamed].tolist(), strict=True):
+            (docs_of, found), doc = out[x], least[low[a : a + n]]
+            new = ~found & (matched[a : a + n] == window) & (doc < below[x])
+            docs_of[new] = doc[new]
+            found |= new
+            alive[x] = not found.all()
+    return out
+
+
 def _search_shard(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    """Index the passages of a shard and stream passages through it. Out: key, seg, least (of each window the least document, or null if it is in none)."""
-    seen: dict[tuple, int] = {}
-    rows = []
+    """Search the passages of a shard in one another. Out: key, seg, least (of each window a document with it, as small as its own documents need, or null if it is in none)."""
+    ids: dict[bytes, int] = {}
+    rows, passages = [], []
     for batch in batches:
-        for key, seg, number, doc, words in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
-            if (key, seg) not in seen:
-                seen[key, seg] = len(rows)
-                rows.append((key, seg, number, doc, words))
+        for *row, words in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
+            rows.append(row)
+            passages.append(np.array([ids.setdefault(w, len(ids) + 1) for w in words.split(b" ")], np.int32))
     if not rows:
         return
-    words = b" \x00 ".join(r[4] for r in rows).split(b" ")
-    ids, names = pd.factorize(np.array([*words, b"\x00"], dtype=object))
-    del words, names
-    zero = ids[-1]
-    text = np.where(ids == zero, 0, np.where(ids < zero, ids + 1, ids)).astype(np.int64)  # each passage ends with 0
-    number = np.array([r[2] for r in rows])
-    length = number + window
-    start = np.cumsum(length) - length
-    index = FMIndex(text, window)
-    least = index.least(np.repeat(np.array([r[3] for r in rows], np.int64), length))
-    out, found = np.zeros(int(number.sum()), np.int64), np.zeros(int(number.sum()), bool)
-    ends = np.cumsum(number)
-    for who, last, matched, low, _ in index.matching_statistics(text, start, number):
-        at = (ends - number)[who] + last - window + 1
-        found[at] = matched >= window
-        out[at] = least[low]
-    columns = [*(pa.array([r[k] for r in rows], pa.int64()) for k in (0, 1)), pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), pa.array(out, mask=~found))]
+    del ids
+    keys, docs, below = (np.array([r[k] for r in rows], np.int64) for k in (0, 3, 4))
+    merged: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
+    for row, (least, found) in zip(rows, least_before(passages, keys, docs, below, window), strict=True):
+        if (had := merged.get((row[0], row[1]))) is not None:
+            least = np.where(found & had[1], np.minimum(least, had[0]), np.where(found, least, had[0]))
+            found = found | had[1]
+        merged[row[0], row[1]] = least, found
+    lengths = [len(x) for x, _ in merged.values()]
+    values = pa.array(np.concatenate([x for x, _ in merged.values()]), mask=~np.concatenate([x for _, x in merged.values()]))
+    columns = [*(pa.array([x[k] for x in merged], pa.int64()) for k in (0, 1)), pa.ListArray.from_arrays(pa.array(np.cumsum([0, *lengths]).astype(np.int32)), values)]
     yield pa.RecordBatch.from_arrays(columns, names=["key", "seg", "least"])
 
 
+def ends_of(df: DataFrame, keys: list[str], place: str, count: str) -> DataFrame:
+    """Equal passages folded to two rows at most: one of the least document, sought below it, and one of the greatest, if that is another, which stands for all but the least."""
+    row = F.struct("doc", "text_hash", F.col(place).alias("first"))
+    ends = df.groupBy(*keys).agg(F.min(row).alias("a"), F.max(row).alias("b"), F.count("*").alias(count))
+    one = lambda x, below: F.struct(F.col(f"{x}.doc").alias("doc"), F.col(f"{x}.text_hash").alias("text_hash"), F.col(f"{x}.first").alias("first"), below.alias("below"))
+    both = F.array_compact(F.array(one("a", F.col("a.doc")), F.when(F.col("a.doc") < F.col("b.doc"), one("b", F.col("a.doc") + 1))))
+    return ends.select(*keys, count, both.alias("ends"))
+
+
 def texts_of(docs: DataFrame) -> DataFrame:
     """doc_id, h, text. Both joins with texts read it by the same null-safe keys, so that Spark shuffles the texts once and reuses the exchange."""
     return docs.select("doc_id", text_hash().alias("h"), F.col("text").cast("binary").alias("text"))
@@ -163,11 +207,14 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc_id, text_hash, starts array<int>, ends array<int>): for each row with any, runs of windows (first, last) that also start in a document with a smaller doc_id.
 
     A window is `window` words (33 to 64), compared as they are. Every window is sent by its anchor: equal windows have equal anchors, so segments
-    whose anchor is found in one document alone can't repeat and stay where they are. Of the others equal ones are folded, under the
-    smallest doc_id that has them, before their words are shuffled; each is indexed in its shard and streamed through the index, and the
-    intervals whose matching statistics reach the window are joined back to every document that has the segment. Nothing is sampled or
-    capped: of a key of very many segments each distinct window is a passage of its own, folded first, and joins on keys and segments
-    that a great share of the rows have meet a bounded broadcast.
+    whose anchor is found in one document alone can't repeat and stay where they are. Of the others equal ones are folded to the passages of the
+    least and of the greatest document that have them before their words are shuffled. In its shard each is streamed through indexes of other
+    passages of its key, never of itself, and the intervals whose matching statistics reach the window are joined back to every document that has the segment.
+    Nothing is sampled or capped: of a key of very many segments each distinct window is a passage of its own, folded first, and joins on keys
+    and segments that a great share of the rows have meet a bounded broadcast.
+
+    An empty table, null and empty texts and texts of fewer words than the window give no row. A very long text is one row of a task; its segments go
+    to their shards one by one. Repeated rows, and several texts of one doc_id, are one document. Other columns of docs are not read, so their names may clash with ours.
     """
     if not 33 <= window <= 64:
         raise ValueError("window is from 33 to 64")
@@ -176,18 +223,17 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     shared = every.groupBy("key").agg(F.min("doc").alias("a"), F.max("doc").alias("b"), F.count("*").alias("n")).where("a < b").select("key", "n")
     some = materialise(join_counted(every, shared, ["key"], "n"))
     drop(every)
-    distinct = some.groupBy("key", "seg", "number").agg(F.min(F.struct("doc", "text_hash", "first")).alias("at"), F.count("*").alias("n"))
-    distinct = materialise(distinct.select("key", "seg", "number", "n", "at.*"))
+    distinct = materialise(ends_of(some, ["key", "seg", "number"], "first", "n"))
     many = materialise(distinct.groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") > KEY_SEGMENTS))
-    plain = distinct if many.isEmpty() else distinct.join(many.select("key"), "key", "left_anti")
+    passage = ["key", "seg", "number", F.inline("ends")]
+    plain = (distinct if many.isEmpty() else distinct.join(many.select("key"), "key", "left_anti")).select(*passage)
     if not many.isEmpty():
-        split = join_counted(distinct, many, ["key"], "c")
+        split = join_counted(distinct, many, ["key"], "c").select(*passage)
         schema = pa_schema(spark, WINDOWS)
         every_window = _with_texts(docs, split).mapInArrow(lambda b: _rows_of(b, lambda *x: _windows(*x, window), schema), WINDOWS)
         every_window = materialise(every_window)
-        folded = every_window.groupBy("w1", "w2").agg(F.min(F.struct("doc", "text_hash", "place")).alias("at"), F.count("*").alias("c"))
-        folded = materialise(folded.select("w1", "w2", "c", F.col("at.doc").alias("doc"), F.col("at.text_hash").alias("text_hash"), F.col("at.place").alias("first")))
-        plain = plain.select("key", "seg", "number", "doc", "text_hash", "first").unionByName(folded.select(F.col("w1").alias("key"), F.col("w2").alias("seg"), F.lit(1).alias("number"), "doc", "text_hash", "first"))
+        folded = materialise(ends_of(every_window, ["w1", "w2"], "place", "c"))
+        plain = plain.unionByName(folded.select(F.col("w1").alias("key"), F.col("w2").alias("seg"), F.lit(1).alias("number"), F.inline("ends")))
     words = plain.agg(F.coalesce(F.sum(F.col("number") + window), F.lit(0))).first()[0]
     shards = max(1, -(-int(words) // SHARD_WORDS))
     schema_ = pa_schema(spark, PASSAGE)
@@ -212,7 +258,7 @@ WINDOWS = "w1 long, w2 long, key long, seg long, off int, doc long, text_hash lo
 
 def _with_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(doc, text_hash, text, wanted): the segments wanted of each row beside its text."""
-    each = wanted.groupBy("doc", "text_hash").agg(F.collect_list(F.struct("key", "seg", "first", "number")).alias("wanted"))
+    each = wanted.groupBy("doc", "text_hash").agg(F.collect_list(F.struct("key", "seg", "first", "number", "below")).alias("wanted"))
     return texts_of(docs).join(each, F.col("doc_id").eqNullSafe(F.col("doc")) & (F.col("h") == F.col("text_hash"))).select("doc", "text_hash", "text", "wanted")
 
 
