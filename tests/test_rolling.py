@@ -5,6 +5,8 @@ import random
 import re
 from decimal import Decimal
 
+import pytest
+
 from transfergraph.operators import windows as W
 
 START = datetime.datetime(2024, 1, 1)
@@ -46,3 +48,43 @@ def test_no_window_over_an_address_alone(spark):
 def test_rolling_of_nothing(spark):
     _, transfers = events(spark, 1, 3)
     assert W.rolling_activity(transfers.where("false")).count() == 0
+
+
+def folded(balances, alpha):
+    """The definition, event by event."""
+    state = {}
+    for r in sorted(balances, key=lambda r: (r.address, r.timestamp, r.hash, r.direction)):
+        if r.address not in state:
+            state[r.address] = (1, r.balance, 0.0, 0.0, r.balance)
+            continue
+        n, ema, dev, change, last = state[r.address]
+        ema = alpha * r.balance + (1 - alpha) * ema
+        state[r.address] = (n + 1, ema, alpha * abs(r.balance - ema) + (1 - alpha) * dev, change + (abs(r.balance - last) - change) / n, r.balance)
+    return state
+
+
+@pytest.mark.parametrize("alpha, block_seconds, chunk", [(0.1, 900, 7), (0.1, 86_400, 1_024), (0.6, 60, 1), (1.0, 3_600, 5)])
+def test_profile_is_the_fold(spark, alpha, block_seconds, chunk):
+    rows, transfers = events(spark, 400, 4)
+    balances = W.balance_events(transfers, block_seconds).collect()
+    running, total = {}, {}
+    both = sorted([(a, at, h, "out", -v) for h, at, a, b, v in rows] + [(b, at, h, "in", v) for h, at, a, b, v in rows])
+    for a, at, h, way, v in both:
+        total[a] = total.get(a, 0) + v
+        running[a, h, way] = float(total[a]) / 1e12
+    assert {(r.address, r.hash, r.direction): r.balance for r in balances} == pytest.approx(running, rel=1e-12)
+    want = folded(balances, alpha)
+    got = W.balance_profile(W.balance_events(transfers, block_seconds), alpha, 100, block_seconds, chunk).collect()
+    assert len(got) == len(want)
+    for r in got:
+        assert (r.n, r.ema, r.deviation, r.mean_change, r.last_balance) == pytest.approx(want[r.address], rel=1e-9, abs=1e-9) and r.kept == min(r.n, 100)
+
+
+def test_profile_plan(spark):
+    _, transfers = events(spark, 20, 5)
+    plan = W.balance_profile(W.balance_events(transfers))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "InPandas" not in plan and "InArrow" not in plan
+    events_plan = W.balance_events(transfers)._jdf.queryExecution().executedPlan().toString()
+    assert re.findall(r"windowspecdefinition\(address#\d+, _block#\d+L?, _us", events_plan), "rows are ordered within blocks"
+    assert not re.findall(r"windowspecdefinition\(address#\d+, _us", events_plan)
+    assert W.balance_profile(W.balance_events(transfers.where("false"))).count() == 0

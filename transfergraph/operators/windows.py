@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.times import micros
+from ..plans.cut import materialise
 from .aggregates import prefix_of_values
 from .sets import undirected_view
 
@@ -123,43 +121,64 @@ def rolling_activity(transfers: DataFrame, windows: tuple[int, ...] = (300, 900,
     return rolling(undirected_view(transfers).withColumn("_us", micros("timestamp")), windows).drop("_us")
 
 
-def balance_events(transfers: DataFrame) -> DataFrame:
-    """(address, timestamp, hash, balance): the running balance after each transfer, starting from 0; a transfer to oneself is two rows."""
-    v = undirected_view(transfers).withColumn("_us", micros("timestamp"))
+def balance_events(transfers: DataFrame, block_seconds: int = 86_400) -> DataFrame:
+    """(address, timestamp, hash, balance): the running balance after each transfer, starting from 0; a transfer to oneself is two rows.
+
+    A running sum in two levels: totals of each (address, block of time) are carried to the blocks that follow, and rows are summed within their block
+    only, so a busy address is spread over its blocks.
+    """
+    v = undirected_view(transfers).withColumn("_us", micros("timestamp")).withColumn("_block", F.floor(F.col("_us") / (block_seconds * US)))
     signed = F.when(F.col("direction") == "in", F.col("value")).otherwise(-F.col("value"))
-    w = Window.partitionBy("address").orderBy("_us", "hash", "direction").rowsBetween(Window.unboundedPreceding, 0)
-    return v.withColumn("balance", (F.sum(signed).over(w).cast("double") / 1e12)).select("address", "timestamp", "hash", "direction", "balance")
+    inside = Window.partitionBy("address", "_block").orderBy("_us", "hash", "direction").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy("address").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    totals = v.groupBy("address", "_block").agg(F.sum(signed).cast("decimal(38,0)").alias("_total"))
+    carried = totals.select("address", "_block", F.coalesce(F.sum("_total").over(before), F.lit(0)).cast("decimal(38,0)").alias("_carried"))
+    running = v.withColumn("_running", F.sum(signed).over(inside).cast("decimal(38,0)")).join(carried, ["address", "_block"])
+    balance = (F.col("_running") + F.col("_carried")).cast("decimal(38,0)").cast("double") / 1e12
+    return running.select("address", "timestamp", "hash", "direction", balance.alias("balance"))
 
 
-def balance_profile(balances: DataFrame, alpha: float = 0.1, history: int = 100) -> DataFrame:
+def balance_profile(balances: DataFrame, alpha: float = 0.1, history: int = 100, block_seconds: int = 86_400, chunk: int = 1_024) -> DataFrame:
     """Per address: number of events, exponential moving average and deviation of the balance, mean absolute change, last balance, size of the kept history.
 
-    The moving average is a fold over the events in order, which no window frame expresses: rows of an address stream through pandas in
-    sorted order, a state of a few numbers per address; an address is never held as a whole.
+    The averages are folds over the events in order: average = alpha x + (1 - alpha) average, from the first balance, and the same for the
+    distance of x from the new average, from 0. A run of events is an affine map (a, b) of the average before it, and maps compose. So an address's events are
+    numbered (counts of its blocks of time are carried on, rows are numbered within a block) and cut into chunks, each folded to its map; the maps
+    of an address are composed by a scan whose lags double; then each chunk is folded again from the average that it starts with. The deviation is linear in
+    its start, so chunks add up, each weighted by the events after it. An address meets in one task only as maps, one row of a few numbers per
+    chunk; one of no more than `chunk` events is the plain fold.
     """
-    schema = "address string, n long, ema double, deviation double, mean_change double, last_balance double, kept long"
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, state = None, None
-        for pdf in parts:
-            out = []
-            for a, b in zip(pdf["address"], pdf["balance"], strict=True):
-                if a != at:
-                    if state:
-                        out.append((at, *state))
-                    at, state = a, [1, b, 0.0, 0.0, b, 1]
-                    continue
-                n, ema, dev, change, last, _ = state
-                ema2 = alpha * b + (1 - alpha) * ema
-                state = [n + 1, ema2, alpha * abs(b - ema2) + (1 - alpha) * dev, change + (abs(b - last) - change) / n, b, min(n + 1, history)]
-            if out:
-                yield pd.DataFrame(out, columns=schema_names)
-        if state:
-            yield pd.DataFrame([(at, *state)], columns=schema_names)
-
-    schema_names = [x.split()[0] for x in schema.split(", ")]
-    ordered = balances.repartition("address").sortWithinPartitions("address", micros("timestamp"), "hash", "direction").select("address", "balance")
-    return ordered.mapInPandas(run, schema)
+    keep = 1.0 - alpha
+    inside = Window.partitionBy("address", "_block").orderBy("_us", "hash", "direction")
+    b = balances.withColumn("_us", micros("timestamp")).withColumn("_block", F.floor(F.col("_us") / (block_seconds * US)))
+    earlier = F.coalesce(F.sum("count").over(Window.partitionBy("address").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_earlier")
+    counts = b.groupBy("address", "_block").count().select("address", "_block", earlier)
+    placed = b.withColumn("_n", F.row_number().over(inside)).join(counts, ["address", "_block"]).withColumn("_i", F.col("_earlier") + F.col("_n") - 1)
+    rows = placed.groupBy("address", F.floor(F.col("_i") / chunk).alias("_part")).agg(F.array_sort(F.collect_list(F.struct("_i", "balance"))).alias("x"))
+    rows = rows.select("address", "_part", F.col("x.balance").alias("x"))
+    fold = f"aggregate(x, cast(0 as double), (e, v) -> {alpha!r}D * v + {keep!r}D * e) as b"
+    change = "aggregate(x, named_struct('last', x[0], 'sum', cast(0 as double)), (s, v) -> named_struct('last', v, 'sum', s.sum + abs(v - s.last)), s -> s.sum) as change"
+    chunks = materialise(rows.selectExpr("address", "_part", "x", "cast(size(x) as long) as m", f"pow({keep!r}D, size(x)) as a", fold, change))
+    parts = int(chunks.agg(F.coalesce(F.max("_part") + 1, F.lit(0))).first()[0])
+    forward, back = Window.partitionBy("address").orderBy("_part"), Window.partitionBy("address").orderBy(F.col("_part").desc())
+    maps = chunks.select("address", "_part", "m", "a", "b", "change", F.col("x")[0].alias("first"), F.lag(F.element_at("x", -1)).over(forward).alias("last"))
+    maps = maps.withColumn("start", F.first("first").over(forward)).withColumn("change", F.col("change") + F.coalesce(F.abs(F.col("first") - F.col("last")), F.lit(0.0)))
+    for k in range((parts - 1).bit_length() if parts else 0):
+        maps = maps.withColumn("_a", F.coalesce(F.lag("a", 1 << k).over(forward), F.lit(1.0))).withColumn("_b", F.coalesce(F.lag("b", 1 << k).over(forward), F.lit(0.0)))
+        maps = maps.withColumns({"a": F.col("a") * F.col("_a"), "b": F.col("a") * F.col("_b") + F.col("b")})
+    before = F.coalesce(F.lag("a").over(forward) * F.col("start") + F.lag("b").over(forward), F.col("start"))
+    sum_of = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    maps = maps.select("address", "_part", F.coalesce("last", "first").alias("last"), before.alias("before"), sum_of("m", forward).alias("had"), sum_of("change", forward).alias("changed"), sum_of("m", back).alias("after"))
+    average = f"({alpha!r}D * v + {keep!r}D * s.ema)"
+    start = "named_struct('ema', before, 'deviation', cast(0 as double), 'mean', changed / greatest(had - 1, 1), 'last', last, 'n', had)"
+    step = (
+        f"named_struct('ema', if(s.n = 0, v, {average}), 'deviation', if(s.n = 0, cast(0 as double), {alpha!r}D * abs(v - {average}) + {keep!r}D * s.deviation), "
+        "'mean', if(s.n = 0, cast(0 as double), s.mean + (abs(v - s.last) - s.mean) / s.n), 'last', v, 'n', s.n + 1)"
+    )
+    done = chunks.select("address", "_part", "x").join(maps, ["address", "_part"]).withColumn("s", F.expr(f"aggregate(x, {start}, (s, v) -> {step})"))
+    last = F.max_by(F.struct("s.ema", "s.mean", "s.last", "s.n"), "_part").alias("last")
+    out = done.groupBy("address").agg(last, F.sum(F.col("s.deviation") * F.pow(F.lit(keep), F.col("after"))).alias("deviation"))
+    return out.select("address", "last.n", "last.ema", "deviation", F.col("last.mean").alias("mean_change"), F.col("last.last").alias("last_balance"), F.least("last.n", F.lit(history).cast("long")).alias("kept"))
 
 
 def history_before(key: str, rows: int) -> Window:
