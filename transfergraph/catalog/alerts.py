@@ -38,6 +38,10 @@ def _scored(s, d):
     return L_.priority_score(L_.dedup_alerts(_alerts(s, d)), L_.detector_accuracy(_feedback(s, d)), _as_of(s, d))
 
 
+def _correlated(s, d):
+    return L_.priority_of_correlated(L_.with_correlated(_alerts(s, d), 7200), L_.detector_accuracy(_feedback(s, d)), L.accounts(s, d), _as_of(s, d), ("click",), ("error",), "reward", 5000.0)
+
+
 def _stages(s, d):
     a = _alerts(s, d)
     b = L_.whitelist_filter(a, _white(s, d), L.accounts(s, d))
@@ -62,6 +66,10 @@ SIGNIFICANT = f""", bs AS (SELECT type, count(value) AS bn, avg(value) AS mn, st
  sg AS (SELECT * FROM z WHERE zz IS NULL OR 2*(1-0.5*(1+CASE WHEN zz > 0 THEN {ERF} ELSE 0 END)) >= 0.05)"""
 HEURISTIC = ", hx AS (SELECT * REPLACE (CASE WHEN sc > 0.7 THEN least(CAST(0.95 AS DOUBLE), confidence*1.1) ELSE confidence*0.8 END AS confidence) FROM (SELECT *, 0.5+0.2*confidence+0.15*least(severity,3)/3+CASE WHEN value > 0 THEN 0.1 ELSE 0 END+0.1 AS sc FROM sg) WHERE sc > 0.3)"
 
+CORRELATED = ALERTS.replace("WITH n_", "WITH RECURSIVE n_", 1) + """, o AS (SELECT *, epoch_us(timestamp) AS us, row_number() OVER (PARTITION BY address ORDER BY epoch_us(timestamp), type, confidence) AS i FROM al),
+ w AS (SELECT id, address, i, us, us AS anchor FROM o WHERE i = 1 UNION ALL SELECT o.id, o.address, o.i, o.us, CASE WHEN o.us - w.anchor <= 7200000000 THEN w.anchor ELSE o.us END FROM w JOIN o ON o.address = w.address AND o.i = w.i+1),
+ co AS (SELECT o.*, count(*) OVER (PARTITION BY o.address, w.anchor) - 1 AS correlated, ((SELECT epoch_us(max(ts)) FROM events) - o.us)/3600000000.0 AS hours FROM o JOIN w ON o.address = w.address AND o.i = w.i)"""
+
 QUERIES = {
     "l1_format_alerts": (lambda s, d: _show(_alerts(s, d)), ALERTS + f"SELECT {SHOW} FROM al"),
     "l2_dedup_alerts": (lambda s, d: _round(L_.dedup_alerts(_alerts(s, d)).drop("value"), "confidence"), ALERTS + DEDUP + "SELECT type, address, minute, id, count, first_seen, last_seen, severity, round(confidence,6) AS confidence FROM dd"),
@@ -83,6 +91,15 @@ QUERIES = {
  SELECT address, anchor AS start_us, max(us) AS end_us, count(*) AS n, string_agg(DISTINCT type, ',' ORDER BY type) AS types, max(severity) AS severity, round(CASE WHEN count(*) > 1 THEN least(CAST(0.95 AS DOUBLE), sum(confidence)/count(*)*1.2) ELSE sum(confidence) END,6) AS confidence, round(least(CAST(1 AS DOUBLE), CAST(0.3*count(DISTINCT type)+0.1*count(*) AS DOUBLE)),6) AS strength FROM w GROUP BY 1,2""",
     ),
     "l9_priority_score": (lambda s, d: _round(_scored(s, d).select("id", "priority"), "priority"), ALERTS + DEDUP + ACC + PRIORITY + "SELECT id, round(priority,6) AS priority FROM pr"),
+    "l9_priority_of_correlated": (
+        lambda s, d: _round(_correlated(s, d).select("id", "correlated", "priority"), "priority"),
+        CORRELATED + ACC + """
+SELECT id, correlated, round(least(1.0, (0.25*greatest(least(confidence, 1), 0) + 0.2*CASE severity WHEN 1 THEN 0.33 WHEN 2 THEN 0.67 ELSE 1 END
+ + 0.2*greatest(least(1.0, coalesce(value, 0)*5000/1e6), CASE WHEN type='error' THEN 0.8 ELSE 0 END) + 0.15*CASE WHEN hours < 1 THEN 1.0 WHEN hours < 6 THEN 0.8 WHEN hours < 24 THEN 0.6 WHEN hours < 72 THEN 0.4 ELSE 0.2 END
+ + 0.1*least(1.0, 0.5 + correlated/10) + 0.1*coalesce(accuracy, 0.5))
+ * CASE WHEN type='click' THEN 1.2 ELSE 1 END * CASE WHEN balance > 1e15 THEN 1.15 ELSE 1 END * CASE WHEN reward THEN 0.8 ELSE 1 END * CASE WHEN hour(timestamp) BETWEEN 2 AND 5 THEN 1.1 ELSE 1 END), 6) AS priority
+FROM co LEFT JOIN ac USING (type) LEFT JOIN a USING (address)""",
+    ),
     "l10_priority_levels": (lambda s, d: L_.priority_levels(_scored(s, d)).select("id", "rank", "level"), ALERTS + DEDUP + ACC + PRIORITY + LEVEL + "SELECT id, rank, level FROM lv"),
     "l11_priority_summary": (
         lambda s, d: _round(L_.priority_summary(L_.priority_levels(_scored(s, d))), "mean_priority", "top_priority"),

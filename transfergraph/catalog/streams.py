@@ -65,6 +65,14 @@ def _link_batch(s, d):
 
 # Append mode gives out what the watermark has passed: windows that end by the last event less the delay.
 LAST = "(SELECT max(timestamp) FROM t)"
+
+def _link_as_of(s, d):
+    """As of the last event; what is divisible by 9 takes two hours, and every 50th message is received without a trace of its sender."""
+    e = L.events(s, d)
+    took = F.when(F.col("event_id") % 9 == 0, F.expr("INTERVAL 2 HOURS")).otherwise(F.expr("INTERVAL 1 MINUTE"))
+    return S.link_as_of(_sent(e, F.col("ts")).where("message % 50 <> 1"), _received(e, F.col("ts") + took), e.agg(F.max("ts").alias("now")), 7 * 86_400)
+
+
 LINK = "SELECT event_id AS message, CASE WHEN event_id%4=0 THEN 'not_found' WHEN event_id%7=0 THEN 'invalid' WHEN event_id%5=0 AND (CAST(trunc(value*100) AS BIGINT) - floor(CAST(trunc(value*100) AS BIGINT)*0.8))/CAST(trunc(value*100) AS BIGINT) > 0.05 THEN 'suspicious_fee' ELSE 'completed' END AS status FROM events"
 
 QUERIES = {
@@ -105,5 +113,14 @@ QUERIES = {
         LEDGER + "SELECT hash, l.address, 'watched_address' AS rule FROM l JOIN a ON a.address = l.address AND node_type='mixer' UNION ALL SELECT hash, from_address, 'large_transfer' FROM t WHERE value >= 200000000000000",
     ),
     "st10_block_link": (_link_batch, LINK),
+    "st10_link_as_of": (
+        _link_as_of,
+        """WITH n AS (SELECT max(ts) AS now FROM events), v AS (SELECT event_id, ts, CAST(trunc(value*100) AS BIGINT) AS v, now FROM events, n),
+ s AS (SELECT event_id, v, ts, now FROM v WHERE event_id%50 <> 1),
+ r AS (SELECT event_id, CASE WHEN event_id%7=0 THEN v+1 WHEN event_id%5=0 THEN floor(v*0.8) ELSE v END AS r, ts + CASE WHEN event_id%9=0 THEN INTERVAL 2 HOURS ELSE INTERVAL 1 MINUTE END AS arrived, now FROM v WHERE event_id%4 <> 0),
+ k AS (SELECT * FROM r WHERE arrived <= now)
+ SELECT coalesce(s.event_id, k.event_id) AS message, CASE WHEN s.event_id IS NULL THEN 'not_found' WHEN k.event_id IS NULL AND s.now <= s.ts + INTERVAL 7 DAYS THEN 'pending' WHEN k.event_id IS NULL THEN 'not_found'
+ WHEN k.r > s.v THEN 'invalid' WHEN (s.v - k.r)/s.v > 0.05 THEN 'suspicious_fee' ELSE 'completed' END AS status FROM s FULL JOIN k ON s.event_id = k.event_id""",
+    ),
     "st10_stream_block_link": (lambda s, d: _link(s, d).where("status <> 'not_found'"), f"SELECT * FROM ({LINK}) WHERE status <> 'not_found'"),
 }

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import normal_cdf
 from ..functions.times import days_between, micros
+from ..plans.ranges import as_of
 from .filters import ladder
 
 US = 1_000_000
@@ -135,6 +136,38 @@ def priority_score(alerts: DataFrame, accuracy: DataFrame, as_of: DataFrame) ->
     return a.withColumn("priority", s * factor).drop("as_of", "accuracy")
 
 
+def with_correlated(alerts: DataFrame, window_seconds: int = 300) -> DataFrame:
+    """alerts with `correlated`, the number of other alerts in their group of correlate_alerts(): groups of an address do not overlap, so an alert's is the last to begin."""
+    groups = correlate_alerts(alerts, window_seconds).select("address", "start_us", "n")
+    placed = as_of(alerts.withColumn("_us", micros("timestamp")), groups, "_us", "start_us", "n", 86_400 * US, ["address"])
+    return placed.withColumn("correlated", F.coalesce(F.col("n") - 1, F.lit(0))).drop("n", "_us")
+
+
+def priority_of_correlated(
+    alerts: DataFrame, accuracy: DataFrame, accounts: DataFrame, as_of_time: DataFrame, boosted: tuple[str, ...] = ("COORDINATED_ACTIVITY", "MIXING_PATTERNS"), systemic: tuple[str, ...] = (),
+    known: str = "known_pattern", price: float = 5.0, rich: float = 1e15,
+) -> DataFrame:
+    """alerts (with `correlated`) and their priority, at most 1.
+
+    0.25 confidence + 0.20 severity (low 0.33, medium 0.67, else 1) + 0.20 impact + 0.15 recency + 0.10 correlation + 0.10 accuracy of the type (0.5 if
+    unknown). Impact is the greater of value x price in millions and 0.8 for a systemic type; recency 1, 0.8, 0.6, 0.4 or 0.2 for an age under 1, 6,
+    24, 72 hours or more; correlation 0.5 and a tenth for each correlated alert. Then 1.2 times for boosted types, 1.15 for an account with a
+    balance over `rich`, 0.8 if the metadata flag `known` is set, 1.1 between 2 and 5 o'clock. Null values count as 0, unknown accounts as not rich.
+    """
+    at = as_of_time.select(F.col(as_of_time.columns[0]).alias("as_of"))
+    a = alerts.join(accuracy.select("type", "accuracy"), "type", "left").join(accounts.select("address", F.col("balance").cast("double").alias("_balance")), "address", "left")
+    a = a.crossJoin(F.broadcast(at))  # one row
+    hours = days_between("timestamp", "as_of") * 24
+    recency = F.when(hours < 1, 1.0).when(hours < 6, 0.8).when(hours < 24, 0.6).when(hours < 72, 0.4).otherwise(0.2)
+    severity = F.when(F.col("severity") == 1, 0.33).when(F.col("severity") == 2, 0.67).otherwise(1.0)
+    impact = F.greatest(top(1, F.coalesce("value", F.lit(0.0)) * price / 1e6), F.when(F.col("type").isin(*systemic), 0.8).otherwise(0.0))
+    confidence = top(1, F.greatest(F.col("confidence"), F.lit(0.0)))
+    score = 0.25 * confidence + 0.2 * severity + 0.2 * impact + 0.15 * recency + 0.1 * top(1, 0.5 + F.col("correlated") / 10) + 0.1 * F.coalesce("accuracy", F.lit(0.5))
+    yes = lambda c, x: F.when(F.coalesce(c, F.lit(False)), x).otherwise(1.0)
+    factor = yes(F.col("type").isin(*boosted), 1.2) * yes(F.col("_balance") > rich, 1.15) * yes(F.col("metadata")[known] == "true", 0.8) * yes(F.hour("timestamp").between(2, 5), 1.1)
+    return a.withColumn("priority", top(1, score * factor)).drop("as_of", "accuracy", "_balance")
+
+
 def priority_levels(scored: DataFrame, shares: tuple[float, float, float] = (0.05, 0.2, 0.5)) -> DataFrame:
     """Rank by priority and critical, high, medium or low by the top shares; ranks come from a histogram, equal priorities share one."""
     from .aggregates import prefix_of_values

@@ -172,17 +172,30 @@ def watch(transfers: DataFrame, watchlist: DataFrame, min_value: int) -> DataFra
     return listed.unionByName(large)
 
 
-def link_status(df: DataFrame) -> DataFrame:
+def link_status(df: DataFrame, more: list[str] | None = None) -> DataFrame:
     """not_found, invalid, suspicious_fee (over 5 %) or completed, of sent messages with what was received."""
     fee = (F.col("sent_value") - F.col("received_value")).cast("double") / F.col("sent_value").cast("double")
     s = F.when(F.col("received_value").isNull(), "not_found").when(F.col("received_value") > F.col("sent_value"), "invalid").when(fee > 0.05, "suspicious_fee").otherwise("completed")
-    return df.withColumn("status", s).select("message", "status")
+    return df.withColumn("status", s).select("message", "status", *(more or []))
 
 
 def link_batch(sent: DataFrame, received: DataFrame) -> DataFrame:
     return link_status(sent.join(received.select("message", "received_value"), "message", "left"))
 
 
+def link_as_of(sent: DataFrame, received: DataFrame, as_of: DataFrame, within_seconds: int = 86_400) -> DataFrame:
+    """(message, status) of every message sent or received by the time `as_of` (one row): what is sent and not yet received is `pending` within its time and `not_found`
+    after it, and so is what was received and never sent. A message counts as received within its time only. Null messages pair with nothing and are not found."""
+    at = F.broadcast(as_of.select(F.col(as_of.columns[0]).alias("_now")))  # one row
+    a = sent.crossJoin(at).where("sent_at <= _now").select("message", "sent_value", "sent_at", "_now")
+    b = received.crossJoin(at).where("received_at <= _now").select(F.col("message").alias("message2"), "received_value", "received_at")
+    late = F.expr(f"sent_at + INTERVAL {within_seconds} SECONDS")
+    j = a.join(b, (F.col("message") == F.col("message2")) & (F.col("received_at") >= F.col("sent_at")) & (F.col("received_at") <= late), "full_outer")
+    waits = F.col("received_value").isNull() & (F.col("_now") <= late)
+    known = link_status(j.select(F.coalesce("message", "message2").alias("message"), "sent_value", F.when(F.col("sent_at").isNotNull(), F.col("received_value")).alias("received_value"), waits.alias("_waits")), ["_waits"])
+    return known.select("message", F.when(F.coalesce("_waits", F.lit(False)), "pending").otherwise(F.col("status")).alias("status"))
+
+
 def link(sent: DataFrame, received: DataFrame, within: str = "1 day", late: str = LATE) -> DataFrame:
     """Sent messages paired with what was received for them within the time, or `not_found` once the watermark has passed it."""
     a = sent.withWatermark("sent_at", late)
