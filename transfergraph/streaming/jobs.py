@@ -185,7 +185,7 @@ def link_batch(sent: DataFrame, received: DataFrame) -> DataFrame:
 
 def link_as_of(sent: DataFrame, received: DataFrame, as_of: DataFrame, within_seconds: int = 86_400) -> DataFrame:
     """(message, status) of every message sent or received by the time `as_of` (one row): what is sent and not yet received is `pending` within its time and `not_found`
-    after it, and so is what was received and never sent. A message counts as received within its time only. Null messages pair with nothing and are not found."""
+    after it, and so is what was received and never sent. A message counts as received within its time only: one received later gives two rows, both `not_found`. Null messages pair with nothing."""
     at = F.broadcast(as_of.select(F.col(as_of.columns[0]).alias("_now")))  # one row
     a = sent.crossJoin(at).where("sent_at <= _now").select("message", "sent_value", "sent_at", "_now")
     b = received.crossJoin(at).where("received_at <= _now").select(F.col("message").alias("message2"), "received_value", "received_at")
