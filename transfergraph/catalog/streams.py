@@ -50,7 +50,7 @@ def _sent(df, at):
 
 def _received(df, at):
     v = (F.col("value") * 100).cast("long")
-    return df.where("event_id % 4 <> 0").select(F.col("event_id").alias("message"), F.when(F.col("event_id") % 7 == 0, v + 1).when(F.col("event_id") % 5 == 0, F.floor(v * 0.8)).otherwise(v).alias("received_value"), at.alias("received_at"))
+    return df.where("event_id % 4 <> 0").select(F.col("event_id").alias("message"), F.when(F.col("event_id") % 7 == 0, v + 1).when(F.col("event_id") % 5 == 0, F.floor(v * 0.8)).otherwise(v).alias("received_value"), at.alias("received_at"), (F.col("event_id") % 5 == 0).alias("charged"))
 
 
 def _link(s, d):
@@ -70,7 +70,7 @@ def _link_as_of(s, d):
     """As of the last event; what is divisible by 9 takes two hours, and every 50th message is received without a trace of its sender."""
     e = L.events(s, d)
     took = F.when(F.col("event_id") % 9 == 0, F.expr("INTERVAL 2 HOURS")).otherwise(F.expr("INTERVAL 1 MINUTE"))
-    return S.link_as_of(_sent(e, F.col("ts")).where("message % 50 <> 1"), _received(e, F.col("ts") + took), e.agg(F.max("ts").alias("now")), 7 * 86_400)
+    return S.link_as_of(_sent(e, F.col("ts")).where("message % 50 <> 1"), _received(e, F.col("ts") + took).drop("charged"), e.agg(F.max("ts").alias("now")), 7 * 86_400)
 
 
 LINK = "SELECT event_id AS message, CASE WHEN event_id%4=0 THEN 'not_found' WHEN event_id%7=0 THEN 'invalid' WHEN event_id%5=0 AND (CAST(trunc(value*100) AS BIGINT) - floor(CAST(trunc(value*100) AS BIGINT)*0.8))/CAST(trunc(value*100) AS BIGINT) > 0.05 THEN 'suspicious_fee' ELSE 'completed' END AS status FROM events"
