@@ -20,7 +20,7 @@ def _cast(s, d):
 
 def _math(s, d):
     x = F.col("value").cast("double") / 1e12
-    return _t(s, d).select("hash", F.log10(x).alias("log"), F.sqrt(x).alias("root"), F.pow(x, 0.25).alias("power"), F.exp(-x / 100).alias("decay"), F.ceil(x).alias("up"), F.floor(x).alias("down"), F.abs(x - 50).alias("far"), F.round(x, 1).alias("near"), F.greatest(F.lit(1.0), F.least(x, F.lit(100.0))).alias("clipped"))
+    return _t(s, d).select("hash", S.ieee_log10(x).alias("log"), F.sqrt(x).alias("root"), F.pow(x, 0.25).alias("power"), F.exp(-x / 100).alias("decay"), F.ceil(x).alias("up"), F.floor(x).alias("down"), F.abs(x - 50).alias("far"), F.round(x, 1).alias("near"), F.greatest(F.lit(1.0), F.least(x, F.lit(100.0))).alias("clipped"))
 
 
 def _dates(s, d):
