@@ -9,7 +9,7 @@ from .base import LEDGER
 from .filters import _as_of, _edges
 from .graph import CYCLES, REC, SEEDED
 
-from .windows import BALANCES, GAPS, QUERIES as WINDOWS, _round
+from .windows import BALANCES, GAPS, QUERIES as WINDOWS, _round, _round_scaled
 
 _t = L.transfers
 X = "CAST(value AS DOUBLE)/1e12"
@@ -95,7 +95,7 @@ QUERIES = {
         LEDGER + f", g AS (SELECT address, count(*) AS n, avg({X}) AS mean, count(DISTINCT CAST(timestamp AS DATE)) AS active_days, ((SELECT epoch_us(as_of) FROM latest_)-epoch_us(max(timestamp)))/1000000.0/86400 AS dd FROM l GROUP BY 1) SELECT address, n, round(mean+1e-8,6) AS mean_amount, active_days, round(dd,6) AS dormant_days, CASE WHEN dd >= 7 THEN 'deep' WHEN dd >= 3 THEN 'moderate' WHEN dd >= 1 THEN 'light' ELSE 'active' END AS level FROM g",
     ),
     "n13_awakening": (
-        lambda s, d: _round(N.awakening(_t(s, d), 2.0).withColumn("mean_gap", F.col("mean_gap") + 1e-6), "sent", "received", "dormant_days", "volume_factor", "mean_gap", "confidence", n=4),
+        lambda s, d: _round_scaled(N.awakening(_t(s, d), 2.0).withColumn("mean_gap", F.col("mean_gap") + 1e-6), "sent", "received", "dormant_days", "volume_factor", "mean_gap", "confidence", n=4),
         LEDGER + f""", x AS (SELECT *, {X} AS x, (epoch_us(timestamp)-epoch_us(lag(timestamp) OVER o))/1000000.0 AS gap FROM l WINDOW o AS (PARTITION BY address ORDER BY timestamp, hash, direction)),
  s AS (SELECT *, sum(CASE WHEN gap IS NULL OR gap > 172800 THEN 1 ELSE 0 END) OVER (PARTITION BY address ORDER BY timestamp, hash, direction ROWS UNBOUNDED PRECEDING) AS ss FROM x),
  g AS (SELECT address, CAST(ss AS BIGINT) AS session, count(*) AS n, sum(CASE WHEN direction='out' THEN x ELSE 0 END) AS sent, sum(CASE WHEN direction='in' THEN x ELSE 0 END) AS received, count(DISTINCT other) FILTER (WHERE direction='out') AS destinations, first(gap ORDER BY timestamp, hash, direction) AS g0, sum(gap) AS gs FROM s GROUP BY 1,2),

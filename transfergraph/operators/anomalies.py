@@ -198,10 +198,14 @@ def awakening(transfers: DataFrame, gap_days: float = 30, fan_out: int = 3) -> D
     out = F.col("direction") == "out"
     # the gap that opens a session is its first row's, and not one of its own gaps
     first = F.min_by("_gap", F.struct("_us", "hash", "direction"))
+    # sums run in order of time: grouping alone adds up in any order, and the last bit decides how ties are rounded
+    so_far = Window.partitionBy("address", "session").orderBy("_us", "hash", "direction").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    s = s.withColumns({"_sent": F.sum(F.when(out, F.col("_x")).otherwise(0.0)).over(so_far), "_received": F.sum(F.when(~out, F.col("_x")).otherwise(0.0)).over(so_far), "_gaps": F.sum("_gap").over(so_far)})
+    last = F.max_by(F.struct("_sent", "_received", "_gaps"), F.struct("_us", "hash", "direction"))
     g = s.groupBy("address", "session").agg(
-        F.count("*").alias("n"), F.sum(F.when(out, F.col("_x")).otherwise(0.0)).alias("sent"), F.sum(F.when(~out, F.col("_x")).otherwise(0.0)).alias("received"), F.countDistinct(F.when(out, F.col("other"))).alias("destinations"), (first / DAY).alias("dormant_days"),
-        F.sum("_gap").alias("_gs"), first.alias("_g0"), F.min("timestamp").alias("start"),
-    )
+        F.count("*").alias("n"), last.alias("_last"), F.countDistinct(F.when(out, F.col("other"))).alias("destinations"), (first / DAY).alias("dormant_days"),
+        first.alias("_g0"), F.min("timestamp").alias("start"),
+    ).withColumns({"sent": F.col("_last._sent"), "received": F.col("_last._received"), "_gs": F.col("_last._gaps")})
     past = Window.partitionBy("address").orderBy("session").rowsBetween(Window.unboundedPreceding, -1)
     g = g.withColumn("_all", F.col("sent") + F.col("received")).withColumn("_past", F.sum("_all").over(past) / F.sum("n").over(past)).where("session > 1")
     kind = F.when((F.col("sent") > 0.8 * F.col("_all")) & (F.col("destinations") <= 2), "liquidation").when(F.col("destinations") >= fan_out, "distribution").when(F.col("received") > F.col("sent"), "consolidation").otherwise("testing")
