@@ -67,9 +67,14 @@ def bfs(edges: DataFrame, sources: DataFrame, max_depth: int | None = None) -> D
     return out
 
 
-def in_blocks(sources: DataFrame, size: int) -> list[DataFrame]:
-    """The sources in blocks of about `size`, by hash, so that a search from all vertices keeps one block's frontier at a time."""
+#: What the searches of one block of sources reach, at most, in rows.
+REACHED = 200_000_000
+
+
+def in_blocks(sources: DataFrame, size: int | None = None) -> list[DataFrame]:
+    """The sources in blocks of about `size`, by hash, so that a search from all vertices keeps one block's rows at a time; without a size as many as reach REACHED rows if each reaches as many vertices."""
     n = sources.count()
+    size = size or max(1, REACHED // max(1, n))
     blocks = max(1, -(-n // size))
     return [sources.where(F.pmod(F.xxhash64("address"), F.lit(blocks)) == k) for k in range(blocks)] if blocks > 1 else [sources]
 
@@ -112,7 +117,7 @@ def betweenness_proxy(edges: DataFrame, more_than: int = 50) -> DataFrame:
     return reach.withColumn("betweenness", F.col("reach") / 1000)
 
 
-def closeness(edges: DataFrame, targets: DataFrame | None = None, max_depth: int | None = None, block: int = 100_000) -> DataFrame:
+def closeness(edges: DataFrame, targets: DataFrame | None = None, max_depth: int | None = None, block: int | None = None) -> DataFrame:
     """(address, reachable, closeness) of the targets, or of every vertex: by distances to it along the edges, scaled by the share of vertices that reach it.
 
     All vertices are searched in blocks, one after the other; the work grows with vertices times what each reaches.
@@ -239,7 +244,7 @@ def common_neighbours_avg(edges: DataFrame) -> DataFrame:
     return c.select("address", F.when(F.col("neighbours") > 0, 2 * F.col("triangles") / F.col("neighbours")).otherwise(0.0).alias("average"))
 
 
-def network_metrics(edges: DataFrame, sources: DataFrame | None = None, iterations: int = 20, block: int = 100_000) -> DataFrame:
+def network_metrics(edges: DataFrame, sources: DataFrame | None = None, iterations: int = 20, block: int | None = None) -> DataFrame:
     """One row per vertex: degree centrality, clustering, pagerank, betweenness, closeness, common-neighbour average.
 
     Betweenness counts paths from the sources, and closeness is that of the sources (null for other vertices); without sources both take every
