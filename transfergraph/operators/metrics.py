@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.components import connected_components as components_of
 from ..plans.cut import drop, materialise
 from .aggregates import degrees
+from .blocks import dependencies_of_sources
 from .sets import undirected_view, vertices
 from .weighted import Parts, counted
 
@@ -82,29 +81,12 @@ def in_blocks(sources: DataFrame, size: int | None = None) -> list[DataFrame]:
 def betweenness(edges: DataFrame, sources: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(address, betweenness): Brandes' dependencies summed over the sources and scaled by 2 / ((n - 1)(n - 2)); shortest paths are counted, not listed.
 
-    The share of a vertex's paths that a predecessor hands on is known once the search ends, so going back is one join and one sum a level.
+    Searches and the way back are products of blocks (see blocks.py): a search's rows are never joined with edges one by one.
     """
-    d = bfs(edges, sources, max_depth)
-    e = edges.where("from_address <> to_address").select(F.col("from_address").alias("v"), F.col("to_address").alias("w")).distinct()
     every = vertices(edges)
-    depth, n = d.agg(F.max("distance")).crossJoin(every.agg(F.count("*"))).first()  # one row each
+    got, n = dependencies_of_sources(edges, sources, max_depth)
     scale = 2 / ((n - 1) * (n - 2)) if n > 2 else 0.0
-    near = d.where("distance > 0").select("source", F.col("address").alias("v"), F.col("distance").alias("dv"), F.col("sigma").alias("sv"))
-    links = near.join(e, "v").join(d.select("source", F.col("address").alias("w"), F.col("distance").alias("dw"), F.col("sigma").alias("sw")), ["source", "w"]).where("dw = dv + 1")
-    links = materialise(links.select("source", "v", "w", "dv", (F.col("sv") / F.col("sw")).alias("share")))
-    parts, below = [], None
-    for k in range((depth or 0) - 1, 0, -1):  # from the far ends back to the sources
-        level = links.where(F.col("dv") == k)
-        level = level.withColumn("_got", F.lit(0.0)) if below is None else level.join(below, ["source", "w"], "left").withColumn("_got", F.coalesce("delta", F.lit(0.0)))
-        got = materialise(level.groupBy("source", "v").agg(F.sum(F.col("share") * (1 + F.col("_got"))).alias("delta")))
-        parts.append(got)
-        below = got.withColumnRenamed("v", "w")
-    if not parts:
-        return every.withColumn("betweenness", F.lit(0.0))
-    total = materialise(reduce(DataFrame.unionByName, parts).groupBy(F.col("v").alias("address")).agg((F.sum("delta") * scale).alias("betweenness")))
-    for t in (d, links, *parts):
-        drop(t)
-    return every.join(total, "address", "left").fillna(0.0, ["betweenness"])
+    return every.join(got.select("address", (F.col("delta") * scale).alias("betweenness")), "address", "left").fillna(0.0, ["betweenness"])
 
 
 def betweenness_proxy(edges: DataFrame, more_than: int = 50) -> DataFrame:
