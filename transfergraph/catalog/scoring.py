@@ -4,7 +4,7 @@ from ..operators import aggregates as A
 from ..operators import metrics as M
 from ..operators import scoring as R
 from ..operators import topk as O
-from ..plans.cut import materialise
+from ..plans.cut import drop, materialise
 from ..sources import ledger as L
 from .base import LEDGER
 from .filters import _as_of, _edges
@@ -28,8 +28,27 @@ def _network(s, d):
     return R.network_score(e, M.degree_centrality(e), M.pagerank(e, 3))
 
 
+def _strength_of_edges(s, d):
+    """The scores of every edge, and the edges: transfers, accounts and edges are written once, as every component reads them."""
+    t = materialise(_t(s, d))
+    a = materialise(L.accounts(s, d).select("address", "balance", "created_at"))
+    e = materialise(A.build_edges(t))
+    network = R.network_score(e, M.degree_centrality(e), M.pagerank(e, 3))
+    out = materialise(R.strength_score(R.volume_score(e, a), R.frequency_score(e, t), R.temporal_score(t, t.agg(F.max("timestamp").alias("as_of"))), network, R.risk_score(t, a)))
+    for x in (t, a):
+        drop(x)
+    return out, e
+
+
 def _strength(s, d):
-    return materialise(R.strength_score(_volume(s, d), _frequency(s, d), R.temporal_score(_t(s, d), _as_of(s, d)), _network(s, d), R.risk_score(_t(s, d), L.accounts(s, d))))
+    out, e = _strength_of_edges(s, d)
+    drop(e)
+    return out
+
+
+def _distribution(s, d):
+    out, e = _strength_of_edges(s, d)
+    return _round(R.score_distribution(out, e).withColumn("mean_volume", F.col("mean_volume") / 1e12), "mean_score", "mean_transfers", "mean_volume", n=4)
 
 
 NOW = "(SELECT epoch_us(as_of) FROM latest_)"
@@ -85,7 +104,7 @@ QUERIES = {
         SCORES + "SELECT from_address, to_address, strength FROM st SEMI JOIN (SELECT * FROM e WHERE transfer_count > 1) USING (from_address, to_address)",
     ),
     "a9_score_distribution": (
-        lambda s, d: _round(R.score_distribution(_strength(s, d), _edges(s, d)).withColumn("mean_volume", F.col("mean_volume") / 1e12), "mean_score", "mean_transfers", "mean_volume", n=4),
+        _distribution,
         SCORES + f"SELECT {BANDS} AS interpretation, count(*) AS n, round(avg(strength),4) AS mean_score, round(avg(transfer_count),4) AS mean_transfers, round(avg(CAST(total_volume AS DOUBLE))/1e12,4) AS mean_volume FROM st JOIN e USING (from_address, to_address) GROUP BY 1",
     ),
     "o2_top_relationships": (

@@ -80,20 +80,21 @@ def network_score(edges: DataFrame, centrality: DataFrame, ranks: DataFrame, pai
 
 
 def followed_quickly(transfers: DataFrame, seconds: int = 300) -> DataFrame:
-    """(hash): transfers whose receiver sends on within the time: the receiver's next outgoing transfer is found by a window, not a join."""
+    """The transfers with _rapid: 1 if the receiver sends on within the time, else null; the receiver's next outgoing transfer is found by a window, not a join."""
     from pyspark.sql import Window
 
     us = micros("timestamp")
-    v = transfers.select(F.col("to_address").alias("address"), us.alias("_us"), "hash", F.lit(None).cast("long").alias("_out")).unionByName(
-        transfers.select(F.col("from_address").alias("address"), us.alias("_us"), F.lit(None).cast("string").alias("hash"), us.alias("_out"))
+    row = F.struct(*transfers.columns)
+    v = transfers.select(F.col("to_address").alias("_at"), us.alias("_us"), row.alias("_row"), F.lit(None).cast("long").alias("_out")).unionByName(
+        transfers.select(F.col("from_address").alias("_at"), us.alias("_us"), F.lit(None).cast(transfers.select(row).schema[0].dataType).alias("_row"), us.alias("_out"))
     )
-    after = Window.partitionBy("address").orderBy("_us").rangeBetween(1, seconds * 1_000_000)
-    return v.withColumn("_next", F.min("_out").over(after)).where("hash is not null and _next is not null").select("hash")
+    after = Window.partitionBy("_at").orderBy("_us").rangeBetween(1, seconds * 1_000_000)
+    return v.withColumn("_next", F.min("_out").over(after)).where("_row is not null").select("_row.*", F.when(F.col("_next").isNotNull(), 1).alias("_rapid"))
 
 
 def risk_score(transfers: DataFrame, accounts: DataFrame) -> DataFrame:
     """min(30, 100 * rapid share) + min(25, 50 * round share) + min(25, 50 * share at 2 to 5 o'clock) + 20 if the receiver was under 7 days old."""
-    t = transfers.join(followed_quickly(transfers).withColumn("_rapid", F.lit(1)), "hash", "left")
+    t = followed_quickly(transfers.select(*EDGE, "timestamp", "value"))
     g = t.groupBy(*EDGE).agg(
         F.count("*").alias("_n"), F.count("_rapid").alias("_r"), F.count(F.when(F.col("value") % UNIT == 0, 1)).alias("_o"), F.count(F.when(F.hour("timestamp").between(2, 5), 1)).alias("_h"), F.min("timestamp").alias("_first")
     ).join(accounts.select(F.col("address").alias("to_address"), "created_at"), "to_address", "left")
