@@ -29,26 +29,26 @@ def _network(s, d):
 
 
 def _strength_of_edges(s, d):
-    """The scores of every edge, and the edges: transfers, accounts and edges are written once, as every component reads them."""
+    """The scores of every edge with its count and volume: transfers are folded twice, into edges for the network and into what the other scores take, and no more."""
     t = materialise(_t(s, d))
     a = materialise(L.accounts(s, d).select("address", "balance", "created_at"))
     e = materialise(A.build_edges(t))
+    facts = materialise(R.edge_facts(t, a, t.agg(F.max("timestamp").alias("as_of"))))
+    drop(t)
     network = R.network_score(e, M.degree_centrality(e), M.pagerank(e, 3))
-    out = materialise(R.strength_score(R.volume_score(e, a), R.frequency_score(e, t), R.temporal_score(t, t.agg(F.max("timestamp").alias("as_of"))), network, R.risk_score(t, a)))
-    for x in (t, a):
+    out = materialise(R.strength_of_facts(facts, a, network))
+    for x in (a, e, facts):
         drop(x)
-    return out, e
+    return out
 
 
 def _strength(s, d):
-    out, e = _strength_of_edges(s, d)
-    drop(e)
-    return out
+    return _strength_of_edges(s, d).drop("transfer_count", "total_volume")
 
 
 def _distribution(s, d):
-    out, e = _strength_of_edges(s, d)
-    return _round(R.score_distribution(out, e).withColumn("mean_volume", F.col("mean_volume") / 1e12), "mean_score", "mean_transfers", "mean_volume", n=4)
+    out = R.score_distribution(_strength_of_edges(s, d))
+    return _round(out.withColumn("mean_volume", F.col("mean_volume") / 1e12), "mean_score", "mean_transfers", "mean_volume", n=4)
 
 
 NOW = "(SELECT epoch_us(as_of) FROM latest_)"

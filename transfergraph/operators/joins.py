@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.times import micros
@@ -51,23 +51,53 @@ def two_hop_neighbourhood(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     return every.groupBy("seed", "other").agg(F.min("distance").alias("distance"), F.count("*").alias("paths"), F.max("volume").alias("max_volume"))
 
 
-def common_connections(edges: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
-    """(from_address, to_address, common): for each edge (or pair) the number of other accounts x with from -> x -> to.
+#: Lists of up to so many links are compared whole; a pair with a longer one is looked up link by link.
+LINKS = 500
 
-    Each pair is opened on the side of fewer links, the sender's receivers or the receiver's senders, and the far link is looked up: the
-    rows made are the sum of the lesser degrees, so two hubs that share a partner make no walks between all of their neighbours.
-    """
-    simple = materialise(edges.where("from_address <> to_address").select("from_address", "to_address").distinct())
-    wanted = (edges if pairs is None else pairs).select("from_address", "to_address").distinct()
+
+def _first_links(simple: DataFrame, end: str, other: str, n: int) -> DataFrame:
+    """(end, _links): the first n links of each account, so that a hub's list is no longer than that."""
+    at = Window.partitionBy(end).orderBy(other)
+    return simple.withColumn("_k", F.row_number().over(at)).where(F.col("_k") <= n).groupBy(end).agg(F.collect_list(other).alias("_links"))
+
+
+def _looked_up(simple: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(from_address, to_address, common) of pairs of different ends: each is opened on the side of fewer links, a row for each, and the far link is looked up."""
     given = simple.groupBy("from_address").agg(F.count("*").alias("_out"))
     got = simple.groupBy("to_address").agg(F.count("*").alias("_in"))
-    ends = wanted.where("from_address <> to_address").join(given, "from_address").join(got, "to_address").select(F.col("from_address").alias("u"), F.col("to_address").alias("w"), (F.col("_out") <= F.col("_in")).alias("_ahead"))
+    ends = wanted.join(given, "from_address").join(got, "to_address").select(F.col("from_address").alias("u"), F.col("to_address").alias("w"), (F.col("_out") <= F.col("_in")).alias("_ahead"))
     ahead = ends.where("_ahead").join(simple, F.col("u") == F.col("from_address")).where("to_address <> w").select("u", "w", F.col("to_address").alias("from_address"), F.col("w").alias("to_address"))
     back = ends.where("not _ahead").join(simple, F.col("w") == F.col("to_address")).where("from_address <> u").select("u", "w", F.col("u").alias("from_address"), F.col("from_address").alias("to_address"))
     found = ahead.unionByName(back).join(simple, ["from_address", "to_address"]).groupBy(F.col("u").alias("from_address"), F.col("w").alias("to_address")).agg(F.count("*").alias("common"))
     return wanted.join(found, ["from_address", "to_address"], "left").fillna(0, ["common"])
 
 
+def common_connections(edges: DataFrame, pairs: DataFrame | None = None, longest: int = LINKS) -> DataFrame:
+    """(from_address, to_address, common): for each edge (or pair) the number of other accounts x with from -> x -> to.
+
+    The lesser list of links, the sender's receivers or the receiver's senders, is sent to the account at the other end and compared with its list
+    there, so what is sent is the sum of the lesser degrees, in one row for each pair. Pairs with a list of more than `longest` are opened link by
+    link on the side of fewer links, so two hubs that share a partner make no walks between all of their neighbours.
+    """
+    simple = materialise(edges.where("from_address <> to_address").select("from_address", "to_address").distinct())
+    wanted = (edges if pairs is None else pairs).select("from_address", "to_address").distinct()
+    out = materialise(_first_links(simple, "from_address", "to_address", longest + 1))
+    into = materialise(_first_links(simple, "to_address", "from_address", longest + 1))
+    count = lambda df, end, name: df.select(end, F.size("_links").alias(name))
+    n = lambda c: F.when(F.col("from_address") != F.col("to_address"), F.coalesce(c, F.lit(0))).otherwise(0).alias(c)
+    ends = wanted.join(count(into, "to_address", "_in"), "to_address", "left").join(count(out, "from_address", "_out"), "from_address", "left")
+    ends = materialise(ends.select("from_address", "to_address", n("_out"), n("_in")))
+    some, short = F.least("_out", "_in") > 0, F.greatest("_out", "_in") <= longest
+    met = ends.where(some & short)
+    both = F.size(F.array_intersect("_sent", "_links")).cast("long").alias("common")
+    sent = lambda df: df.withColumnRenamed("_links", "_sent")
+    ahead = met.where("_out <= _in").join(sent(out), "from_address").join(into, "to_address").select("from_address", "to_address", both)
+    back = met.where("_out > _in").join(sent(into), "to_address").join(out, "from_address").select("from_address", "to_address", both)
+    found = ends.where(~some).select("from_address", "to_address", F.lit(0).cast("long").alias("common")).unionByName(ahead).unionByName(back)
+    rest = ends.where(some & ~short).select("from_address", "to_address")
+    return found if rest.isEmpty() else found.unionByName(_looked_up(simple, rest))
+
+
 def sequential_transfers(transfers: DataFrame, window_seconds: int = 300 * 60, tolerance: float | None = 0.15) -> DataFrame:
     """Pairs of successful transfers: the second leaves the first's receiver within the window, of nearly the same amount."""
     cols = lambda n: [F.col("hash").alias(f"hash{n}"), F.col("from_address").alias(f"from{n}"), F.col("to_address").alias(f"to{n}"), F.col("value").alias(f"value{n}"), micros("timestamp").alias(f"us{n}")]

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.times import days_between, micros
-from .aggregates import degrees
+from .aggregates import degrees, total
 from .filters import ladder
 from .joins import common_connections
 from .windows import percent_rank, strict_rank_fraction
@@ -35,17 +35,25 @@ def volume_score(edges: DataFrame, accounts: DataFrame, method: str | Rank = "st
     """
     rank = method if callable(method) else strict_rank_fraction if method == "strict" else percent_rank
     e = edges.select(*EDGE, F.col("total_volume").cast("double").alias("_total"), (F.col("total_volume").cast("double") / F.col("transfer_count")).alias("_mean"))
-    r = rank(rank(e, "_total", "_rt"), "_mean", "_rm").join(accounts.select(F.col("address").alias("from_address"), F.col("balance").cast("double").alias("_b")), "from_address", "left")
-    share = F.when(F.coalesce("_b", F.lit(0.0)) > 0, capped(30, 100 * F.col("_total") / F.col("_b"))).otherwise(15.0)
-    return r.select(*EDGE, capped(100, 40 * F.col("_rt") + 30 * F.col("_rm") + share).alias("volume_score"))
+    r = rank(rank(e, "_total", "_rt"), "_mean", "_rm").join(accounts.select(F.col("address").alias("from_address"), F.col("balance").cast("double").alias("_balance")), "from_address", "left")
+    return r.select(*EDGE, _volume_points().alias("volume_score"))
+
+
+def _volume_points() -> Column:
+    share = F.when(F.coalesce("_balance", F.lit(0.0)) > 0, capped(30, 100 * F.col("_total") / F.col("_balance"))).otherwise(15.0)
+    return capped(100, 40 * F.col("_rt") + 30 * F.col("_rm") + share)
 
 
 def frequency_score(edges: DataFrame, transfers: DataFrame, rank: Rank = strict_rank_fraction) -> DataFrame:
     """40 * rank of count + 30 * min(1, transfers a day / 10) + 30 * distinct days / days active."""
     d = transfers.groupBy(*EDGE).agg(F.countDistinct(F.to_date("timestamp")).alias("_days"), F.min("timestamp").alias("_a"), F.max("timestamp").alias("_b"), F.count("*").alias("_n"))
-    active = F.greatest(F.lit(1), F.ceil(days_between("_a", "_b")) + 1)
-    r = rank(edges.select(*EDGE, "transfer_count"), "transfer_count", "_r").join(d.withColumn("_active", active), EDGE)
-    return r.select(*EDGE, (40 * F.col("_r") + 30 * capped(1, F.col("_n") / F.col("_active") / 10) + 30 * F.col("_days") / F.col("_active")).alias("frequency_score"))
+    r = rank(edges.select(*EDGE, "transfer_count"), "transfer_count", "_rc").join(d, EDGE)
+    return r.select(*EDGE, _frequency_points("_a", "_b").alias("frequency_score"))
+
+
+def _frequency_points(first: str, last: str) -> Column:
+    active = F.greatest(F.lit(1), F.ceil(days_between(first, last)) + 1)
+    return 40 * F.col("_rc") + 30 * capped(1, F.col("_n") / active / 10) + 30 * F.col("_days") / active
 
 
 #: Days since the last transfer and their points.
@@ -56,11 +64,14 @@ def temporal_score(transfers: DataFrame, as_of: DataFrame) -> DataFrame:
     """Recency points + min(30, duration in days / 365 * 30) + min(30, 15 * share of last week + 15 * share of last month)."""
     t = with_as_of(transfers, as_of).withColumn("_age", days_between("timestamp", "as_of"))
     g = t.groupBy(*EDGE).agg(F.min("_age").alias("_last"), F.max("_age").alias("_first"), F.count("*").alias("_n"), F.count(F.when(F.col("_age") <= 7, 1)).alias("_w"), F.count(F.when(F.col("_age") <= 30, 1)).alias("_m"))
+    return g.select(*EDGE, _temporal_points(F.col("_first"), F.col("_last")).alias("temporal_score"))
+
+
+def _temporal_points(first: Column, last: Column) -> Column:
     recency = None
     for days, points in RECENCY:
-        recency = F.when(F.col("_last") <= days, points) if recency is None else recency.when(F.col("_last") <= days, points)
-    duration = capped(30, (F.col("_first") - F.col("_last")) / 365 * 30)
-    return g.select(*EDGE, (recency.otherwise(0) + duration + capped(30, 15 * F.col("_w") / F.col("_n") + 15 * F.col("_m") / F.col("_n"))).alias("temporal_score"))
+        recency = F.when(last <= days, points) if recency is None else recency.when(last <= days, points)
+    return recency.otherwise(0) + capped(30, (first - last) / 365 * 30) + capped(30, 15 * F.col("_w") / F.col("_n") + 15 * F.col("_m") / F.col("_n"))
 
 
 def temporal_decay_score(transfers: DataFrame, as_of: DataFrame) -> DataFrame:
@@ -80,7 +91,10 @@ def network_score(edges: DataFrame, centrality: DataFrame, ranks: DataFrame, pai
 
 
 def followed_quickly(transfers: DataFrame, seconds: int = 300) -> DataFrame:
-    """The transfers with _rapid: 1 if the receiver sends on within the time, else null; the receiver's next outgoing transfer is found by a window, not a join."""
+    """The transfers with _rapid: 1 if the receiver sends on within the time, else null; the receiver's next outgoing transfer is found by a window, not a join.
+
+    The rows stay where the window put them, by to_address, so what is then folded by edge is not shuffled again.
+    """
     from pyspark.sql import Window
 
     us = micros("timestamp")
@@ -89,18 +103,28 @@ def followed_quickly(transfers: DataFrame, seconds: int = 300) -> DataFrame:
         transfers.select(F.col("from_address").alias("_at"), us.alias("_us"), F.lit(None).cast(transfers.select(row).schema[0].dataType).alias("_row"), us.alias("_out"))
     )
     after = Window.partitionBy("_at").orderBy("_us").rangeBetween(1, seconds * 1_000_000)
-    return v.withColumn("_next", F.min("_out").over(after)).where("_row is not null").select("_row.*", F.when(F.col("_next").isNotNull(), 1).alias("_rapid"))
+    columns = [F.col("_at").alias(c) if c == "to_address" else F.col(f"_row.{c}") for c in transfers.columns]
+    return v.withColumn("_next", F.min("_out").over(after)).where("_row is not null").select(*columns, F.when(F.col("_next").isNotNull(), 1).alias("_rapid"))
 
 
 def risk_score(transfers: DataFrame, accounts: DataFrame) -> DataFrame:
     """min(30, 100 * rapid share) + min(25, 50 * round share) + min(25, 50 * share at 2 to 5 o'clock) + 20 if the receiver was under 7 days old."""
     t = followed_quickly(transfers.select(*EDGE, "timestamp", "value"))
-    g = t.groupBy(*EDGE).agg(
-        F.count("*").alias("_n"), F.count("_rapid").alias("_r"), F.count(F.when(F.col("value") % UNIT == 0, 1)).alias("_o"), F.count(F.when(F.hour("timestamp").between(2, 5), 1)).alias("_h"), F.min("timestamp").alias("_first")
-    ).join(accounts.select(F.col("address").alias("to_address"), "created_at"), "to_address", "left")
+    g = t.groupBy(*EDGE).agg(F.count("*").alias("_n"), *_risk_counts(), F.min("timestamp").alias("_a")).join(accounts.select(F.col("address").alias("to_address"), "created_at"), "to_address", "left")
+    return g.select(*EDGE, _risk_points("_a").alias("risk_score"))
+
+
+def _risk_counts() -> list[Column]:
+    return [F.count("_rapid").alias("_r"), F.count(F.when(F.col("value") % UNIT == 0, 1)).alias("_o"), F.count(F.when(F.hour("timestamp").between(2, 5), 1)).alias("_h")]
+
+
+def _risk_points(first: str) -> Column:
     n = F.col("_n")
-    new = F.when(days_between("created_at", "_first") < 7, 20).otherwise(0)
-    return g.select(*EDGE, (capped(30, 100 * F.col("_r") / n) + capped(25, 50 * F.col("_o") / n) + capped(25, 50 * F.col("_h") / n) + new).alias("risk_score"))
+    new = F.when(days_between("created_at", first) < 7, 20).otherwise(0)
+    return capped(30, 100 * F.col("_r") / n) + capped(25, 50 * F.col("_o") / n) + capped(25, 50 * F.col("_h") / n) + new
+
+
+COMPONENTS = ["volume_score", "frequency_score", "temporal_score", "network_score", "risk_score"]
 
 
 def strength_score(volume: DataFrame, frequency: DataFrame, temporal: DataFrame, network: DataFrame, risk: DataFrame) -> DataFrame:
@@ -108,12 +132,41 @@ def strength_score(volume: DataFrame, frequency: DataFrame, temporal: DataFrame,
     j = volume
     for other in (frequency, temporal, network, risk):
         j = j.join(other, EDGE, "left")
-    names = ["volume_score", "frequency_score", "temporal_score", "network_score", "risk_score"]
-    j = j.fillna(0.0, names)
+    return _with_strength(j)
+
+
+def _with_strength(scored: DataFrame) -> DataFrame:
+    names = COMPONENTS
+    j = scored.fillna(0.0, names)
     base = 0.25 * F.col(names[0]) + 0.25 * F.col(names[1]) + 0.2 * F.col(names[2]) + 0.3 * F.col(names[3])
     return j.withColumn("strength", F.round(base * (1 - F.col("risk_score") / 200), 2)).withColumn("adjusted", F.greatest(F.lit(0.0), base - 0.5 * F.col("risk_score")))
 
 
+def edge_facts(transfers: DataFrame, accounts: DataFrame, as_of: DataFrame) -> DataFrame:
+    """What the scores take from the transfers and the receiver of each edge, in one fold: the rows are shuffled once, by receiver, for what it sends on.
+
+    Days are counted by a fold by day first, where the rows are, as a distinct count beside other sums would shuffle them twice more.
+    """
+    t = with_as_of(followed_quickly(transfers.select(*EDGE, "timestamp", "value")), as_of).withColumn("_age", days_between("timestamp", "as_of"))
+    aged = [F.count(F.when(F.col("_age") <= days, 1)).alias(name) for days, name in ((7, "_w"), (30, "_m"))]
+    sums = ["_n", "_r", "_o", "_h", "_w", "_m"]
+    daily = t.groupBy(*EDGE, "as_of", F.to_date("timestamp").alias("_day")).agg(F.count("*").alias("_n"), total("value").alias("_sum"), *_risk_counts(), *aged, F.min("timestamp").alias("_a"), F.max("timestamp").alias("_b"))
+    g = daily.groupBy(*EDGE, "as_of").agg(*(F.sum(c).alias(c) for c in sums), total("_sum").alias("total_volume"), F.count("_day").alias("_days"), F.min("_a").alias("_a"), F.max("_b").alias("_b"))
+    return g.join(accounts.select(F.col("address").alias("to_address"), "created_at"), "to_address", "left").withColumn("transfer_count", F.col("_n"))
+
+
+def strength_of_facts(facts: DataFrame, accounts: DataFrame, network: DataFrame) -> DataFrame:
+    """strength_score with transfer_count and total_volume from edge_facts, which should be a written table; its edges meet the network score and no other table of edges."""
+    e = facts.withColumn("_total", F.col("total_volume").cast("double")).withColumn("_mean", F.col("_total") / F.col("transfer_count"))
+    for column, name in (("_total", "_rt"), ("_mean", "_rm"), ("transfer_count", "_rc")):
+        e = strict_rank_fraction(e, column, name)
+    e = e.join(accounts.select(F.col("address").alias("from_address"), F.col("balance").cast("double").alias("_balance")), "from_address", "left")
+    temporal = _temporal_points(days_between("_a", "as_of"), days_between("_b", "as_of"))
+    points = [_volume_points(), _frequency_points("_a", "_b"), temporal, _risk_points("_a")]
+    own = e.select(*EDGE, "transfer_count", "total_volume", *(x.alias(c) for x, c in zip(points, [c for c in COMPONENTS if c != "network_score"])))
+    return _with_strength(own.join(network, EDGE).select(*EDGE, *COMPONENTS, "transfer_count", "total_volume"))
+
+
 def interpret_score(scored: DataFrame) -> DataFrame:
     return scored.withColumn("interpretation", ladder(F.col("strength"), [(80, "very strong"), (60, "strong"), (40, "moderate"), (20, "weak")], "very weak"))
 
@@ -128,8 +181,10 @@ def bulk_scores(scored: DataFrame, pairs: DataFrame) -> DataFrame:
     return scored.join(pairs.select(*EDGE).distinct(), EDGE, "left_semi")
 
 
-def score_distribution(scored: DataFrame, edges: DataFrame) -> DataFrame:
-    return interpret_score(scored).join(edges.select(*EDGE, "transfer_count", "total_volume"), EDGE).groupBy("interpretation").agg(
+def score_distribution(scored: DataFrame, edges: DataFrame | None = None) -> DataFrame:
+    """Bands of strength with means; edges may be left out if the scores have their transfer_count and total_volume."""
+    j = scored if edges is None else scored.join(edges.select(*EDGE, "transfer_count", "total_volume"), EDGE)
+    return interpret_score(j).groupBy("interpretation").agg(
         F.count("*").alias("n"), F.avg("strength").alias("mean_score"), F.avg("transfer_count").alias("mean_transfers"), F.avg(F.col("total_volume").cast("double")).alias("mean_volume")
     )
 
