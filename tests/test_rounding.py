@@ -6,7 +6,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 from transfergraph.catalog.windows import _round_scaled
-from transfergraph.operators.alerts import priority_score
+from transfergraph.operators.alerts import dedup_alerts, priority_score
 from transfergraph.operators.detectors import splitting_layers
 
 START = datetime.datetime(2024, 1, 1)
@@ -40,3 +40,18 @@ def test_priority_to_the_last_bit(spark):
     got = priority_score(a, accuracy, as_of).select(F.col("priority")).first()[0]
     want = duckdb.sql("SELECT 0.25*0.1::DOUBLE + 0.2*3/4 + 0.2*least(1.0, log10(1+0::DOUBLE)/3) + 0.15*exp(-0::DOUBLE) + 0.1*least(1.0, 10/10) + 0.1*0.3::DOUBLE").fetchall()[0][0]
     assert got == want
+
+
+def test_exponentials_and_logarithms_to_the_last_bit(spark):
+    """Rows where the JVM's exp, log10 and pow have another last bit than the SQL engine's."""
+    rows = [("t", 0.5, 2, k / 100, START + datetime.timedelta(seconds=977 * k), 1) for k in range(3000)]
+    a = spark.createDataFrame(rows, "type string, confidence double, severity int, value double, last_seen timestamp, count long")
+    at = START + datetime.timedelta(seconds=977 * 3000)
+    accuracy = spark.createDataFrame([("t", 0.5)], "type string, accuracy double")
+    got = {r.value: r.priority for r in priority_score(a, accuracy, spark.createDataFrame([(at,)], "as_of timestamp")).collect()}
+    want = duckdb.sql("SELECT k/100, 0.25*0.5::DOUBLE + 0.2*2/4 + 0.2*least(1.0, log10(1+k/100)/3) + 0.15*exp(-(977000000*(3000-k))/1000000.0/86400) + 0.1*least(1.0, 1/10) + 0.1*0.5::DOUBLE FROM range(3000) t(k)").fetchall()
+    assert got == dict(want)
+    alerts = [(f"{n}-{i}", "t", f"a{n}", START, 0.1, 1, 0.0) for n in range(1, 25) for i in range(n)]
+    deduped = dedup_alerts(spark.createDataFrame(alerts, "id string, type string, address string, timestamp timestamp, confidence double, severity int, value double"))
+    powers = dict(duckdb.sql("SELECT n, CASE WHEN n > 1 THEN least(CAST(0.95 AS DOUBLE), 0.1::DOUBLE*pow(1.1, n-1)) ELSE 0.1::DOUBLE END FROM range(1, 25) t(n)").fetchall())
+    assert {r["count"]: r.confidence for r in deduped.collect()} == powers
