@@ -43,3 +43,10 @@ def test_groups_are_anchored_at_their_first_alert(spark):
     got = scored(spark, rows)
     assert {k: r.correlated for k, r in got.items()} == {"x0": 2, "x200": 2, "x300": 2, "x301": 1, "x601": 1, "x602": 0, "y": 0}
     assert scored(spark, []) == {}
+
+
+def test_known_patterns_of_alerts_with_one_id(spark):
+    """Two alerts of one type, address and time have one id, but flags of their own."""
+    rows = [("same", "burst", "a", NOON, 0.5, 2, 0.0, {"routine": "true"}), ("same", "burst", "a", NOON, 0.6, 2, 0.0, {"routine": "false", "reward": "true"}), ("none", "burst", "b", NOON, 0.7, 2, 0.0, None), ("other", "mixing", "a", NOON, 0.8, 2, 0.0, {"routine": "true"})]
+    rules = spark.createDataFrame([("burst", "routine"), ("burst", "known"), ("mixing", "reward")], "type string, flag string")
+    assert sorted(r.confidence for r in A.known_pattern_filter(spark.createDataFrame(rows, KINDS), rules).collect()) == [0.6, 0.7, 0.8]
