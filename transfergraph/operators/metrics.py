@@ -9,6 +9,7 @@ from ..plans.components import connected_components as components_of
 from ..plans.cut import drop, materialise
 from .aggregates import degrees
 from .blocks import dependencies_of_sources
+from .searches import Held, closeness_of, held
 from .sets import undirected_view, vertices
 from .weighted import Parts, counted
 
@@ -99,22 +100,34 @@ def betweenness_proxy(edges: DataFrame, more_than: int = 50) -> DataFrame:
     return reach.withColumn("betweenness", F.col("reach") / 1000)
 
 
-def closeness(edges: DataFrame, targets: DataFrame | None = None, max_depth: int | None = None, block: int | None = None) -> DataFrame:
+def closeness(edges: DataFrame, targets: DataFrame | None = None, max_depth: int | None = None, block: int | None = None, graph: Held | None = None) -> DataFrame:
     """(address, reachable, closeness) of the targets, or of every vertex: by distances to it along the edges, scaled by the share of vertices that reach it.
 
-    All vertices are searched in blocks, one after the other; the work grows with vertices times what each reaches.
+    Targets are dealt to tasks that hold the graph and keep a bit for each target and vertex (see searches.py). In a larger graph they are searched by joins, in
+    blocks, one after the other. The work grows with targets times what each reaches.
     """
-    back = edges.select(F.col("to_address").alias("from_address"), F.col("from_address").alias("to_address"))
     every = vertices(edges) if targets is None else targets
+    own = graph or held(edges)
+    if own is not None:
+        d = materialise(closeness_of(own, every, max_depth))
+        if own is not graph:
+            own.drop()
+    else:
+        d = _closeness_by_joins(edges, every, max_depth, block)
+    n = vertices(edges).agg(F.count("*").alias("_n"))
+    x = d.crossJoin(F.broadcast(n))  # one row
+    return x.select("address", "reachable", F.when((F.col("_sum") > 0) & (F.col("_n") > 1), F.col("reachable") / F.col("_sum") * F.col("reachable") / (F.col("_n") - 1)).otherwise(0.0).alias("closeness"))
+
+
+def _closeness_by_joins(edges: DataFrame, targets: DataFrame, max_depth: int | None, block: int | None) -> DataFrame:
+    back = edges.select(F.col("to_address").alias("from_address"), F.col("from_address").alias("to_address"))
     d = None
-    for part in in_blocks(every, block):
+    for part in in_blocks(targets, block):
         far = bfs(back, part, max_depth)
         got = materialise(far.groupBy(F.col("source").alias("address")).agg((F.count("*") - 1).alias("reachable"), F.sum("distance").alias("_sum")))
         drop(far)
         d = got if d is None else d.unionByName(got)
-    n = vertices(edges).agg(F.count("*").alias("_n"))
-    x = d.crossJoin(F.broadcast(n))  # one row
-    return x.select("address", "reachable", F.when((F.col("_sum") > 0) & (F.col("_n") > 1), F.col("reachable") / F.col("_sum") * F.col("reachable") / (F.col("_n") - 1)).otherwise(0.0).alias("closeness"))
+    return d
 
 
 #: PageRank's lineage is cut by a written table after so many rounds.
