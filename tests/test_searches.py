@@ -32,3 +32,18 @@ def test_closeness_of_a_chain_of_many(spark, monkeypatch):
     got = {r.address: r for r in metrics.closeness(edges).collect()}
     assert {v: r.reachable for v, r in got.items()} == {f"c{k:03d}": k for k in range(130)}
     assert got["c129"].closeness == pytest.approx(129 / (129 * 130 / 2)) and got["c000"].closeness == 0.0
+
+
+@pytest.mark.parametrize("depth", [None, 2])
+@pytest.mark.parametrize("held", [True, False])
+def test_betweenness_by_both_ways(spark, monkeypatch, depth, held):
+    monkeypatch.setattr(blocks, "VERTICES", 5)
+    monkeypatch.setattr(blocks, "SOURCES", 2)
+    monkeypatch.setattr(searches, "NUMBERS", 50)
+    monkeypatch.setattr(searches, "SENT", 4)
+    if not held:
+        monkeypatch.setattr(searches, "EDGES", 0)
+    got = {r.address: r.betweenness for r in metrics.betweenness(spark.createDataFrame(LINKS, E), asked(spark), depth).collect()}
+    want = _brute(LINKS, set(ASKED), depth)
+    n = len({v for e in LINKS for v in e})
+    assert got == pytest.approx({v: want[v] * 2 / ((n - 1) * (n - 2)) for v in {v for e in LINKS for v in e}}) and any(got.values())

@@ -9,7 +9,7 @@ from ..plans.components import connected_components as components_of
 from ..plans.cut import drop, materialise
 from .aggregates import degrees
 from .blocks import dependencies_of_sources
-from .searches import Held, closeness_of, held
+from .searches import Held, closeness_of, dependencies_of, held
 from .sets import undirected_view, vertices
 from .weighted import Parts, counted
 
@@ -79,13 +79,19 @@ def in_blocks(sources: DataFrame, size: int | None = None) -> list[DataFrame]:
     return [sources.where(F.pmod(F.xxhash64("address"), F.lit(blocks)) == k) for k in range(blocks)] if blocks > 1 else [sources]
 
 
-def betweenness(edges: DataFrame, sources: DataFrame, max_depth: int | None = None) -> DataFrame:
+def betweenness(edges: DataFrame, sources: DataFrame, max_depth: int | None = None, graph: Held | None = None) -> DataFrame:
     """(address, betweenness): Brandes' dependencies summed over the sources and scaled by 2 / ((n - 1)(n - 2)); shortest paths are counted, not listed.
 
-    Searches and the way back are products of blocks (see blocks.py): a search's rows are never joined with edges one by one.
+    Sources are dealt to tasks that hold the graph (see searches.py). In a larger graph searches and the way back are products of cells (see blocks.py). Neither makes a row for a source and an edge.
     """
     every = vertices(edges)
-    got, n = dependencies_of_sources(edges, sources, max_depth)
+    own = graph or held(edges)
+    if own is not None:
+        got, n = materialise(dependencies_of(own, sources, max_depth)), own.n
+        if own is not graph:
+            own.drop()
+    else:
+        got, n = dependencies_of_sources(edges, sources, max_depth)
     scale = 2 / ((n - 1) * (n - 2)) if n > 2 else 0.0
     return every.join(got.select("address", (F.col("delta") * scale).alias("betweenness")), "address", "left").fillna(0.0, ["betweenness"])
 
