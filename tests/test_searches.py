@@ -47,3 +47,18 @@ def test_betweenness_by_both_ways(spark, monkeypatch, depth, held):
     want = _brute(LINKS, set(ASKED), depth)
     n = len({v for e in LINKS for v in e})
     assert got == pytest.approx({v: want[v] * 2 / ((n - 1) * (n - 2)) for v in {v for e in LINKS for v in e}}) and any(got.values())
+
+
+def test_network_metrics_hold_the_graph_once(spark, monkeypatch):
+    """Neither searches by joins nor by cells, and one graph for both centralities; the same rows as those have."""
+    edges = spark.createDataFrame([(a, b, 1, 5) for a, b in set(LINKS)], E + ", transfer_count long, total_volume long")
+    rows = lambda df: {r.address: (r.betweenness, r.closeness, r.pagerank) for r in df.collect()}
+    seen, hold = [], metrics.held
+    with monkeypatch.context() as m:
+        m.setattr(metrics, "held", lambda e: seen.append(e) or hold(e))
+        m.setattr(metrics, "bfs", None)
+        m.setattr(metrics, "dependencies_of_sources", None)
+        got = rows(metrics.network_metrics(edges, block=1))
+    monkeypatch.setattr(searches, "VERTICES", 0)
+    want = rows(metrics.network_metrics(edges))
+    assert len(seen) == 1 and len(got) == 25 and got.keys() == want.keys() and all(got[v] == pytest.approx(want[v]) for v in got)

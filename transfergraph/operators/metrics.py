@@ -249,17 +249,20 @@ def network_metrics(edges: DataFrame, sources: DataFrame | None = None, iteratio
     """One row per vertex: degree centrality, clustering, pagerank, betweenness, closeness, common-neighbour average.
 
     Betweenness counts paths from the sources, and closeness is that of the sources (null for other vertices); without sources both take every
-    vertex, block by block, and the work grows with vertices times what each reaches.
+    vertex, in a graph that no task may hold block by block, and the work grows with vertices times what each reaches.
     """
     c = clustering_coefficient(edges)
-    between = None
-    for part in in_blocks(vertices(edges) if sources is None else sources, block):
-        got = betweenness(edges, part)
+    graph, asked, between = held(edges), vertices(edges) if sources is None else sources, None
+    for part in in_blocks(asked, block) if graph is None else [asked]:
+        got = betweenness(edges, part, graph=graph)
         between = got if between is None else between.unionByName(got)
     between = between.groupBy("address").agg(F.sum("betweenness").alias("betweenness"))
+    near = closeness(edges, sources, block=block, graph=graph)
+    if graph is not None:
+        graph.drop()
     return (
         degree_centrality(edges).select("address", "degree", "centrality").join(c.select("address", "neighbours", "triangles", "clustering"), "address").join(pagerank(edges, iterations), "address")
-        .join(between, "address").join(closeness(edges, sources, block=block).select("address", "closeness"), "address", "left")
+        .join(between, "address").join(near.select("address", "closeness"), "address", "left")
         .withColumn("common_average", F.when(F.col("neighbours") > 0, 2 * F.col("triangles") / F.col("neighbours")).otherwise(0.0))
     )
 
