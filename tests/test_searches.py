@@ -3,7 +3,7 @@
 import pytest
 
 from tests.test_blocks import E, _brute
-from transfergraph.operators import blocks, metrics, searches
+from transfergraph.operators import blocks, metrics, searches, weighted
 
 LINKS = [(f"v{a:02d}", f"v{(a * 7 + k * k * 5 + 3) % 23:02d}") for a in range(23) for k in range(1 + a % 4)] + [("v00", "v00"), ("in", "v01"), ("v02", "out")]
 ASKED = ["v00", "v07", "v11", "in", "out", "not there", "v00"]
@@ -62,3 +62,11 @@ def test_network_metrics_hold_the_graph_once(spark, monkeypatch):
     monkeypatch.setattr(searches, "VERTICES", 0)
     want = rows(metrics.network_metrics(edges))
     assert len(seen) == 1 and len(got) == 25 and got.keys() == want.keys() and all(got[v] == pytest.approx(want[v]) for v in got)
+
+
+def test_sums_too_large_for_a_task(spark):
+    """Costs without a common unit whose sums may pass 2^62 are added up by joins, as decimals."""
+    costed = spark.createDataFrame([("a", "b", str(2**62 - 1)), ("b", "c", str(2**62 - 2)), ("c", "d", "3")], "from_address string, to_address string, c string").selectExpr("from_address", "to_address", "cast(c as decimal(38,0)) as cost")
+    assert searches.held(costed, "cost") is None
+    got = {r.address: r for r in weighted.weighted_closeness(costed, spark.createDataFrame([("d",)], "address string")).collect()}
+    assert got["d"].reachable == 3 and got["d"].closeness == pytest.approx(3 / (3 + (2**62 + 1) + (2**63)))
