@@ -64,6 +64,29 @@ def test_network_metrics_hold_the_graph_once(spark, monkeypatch):
     assert len(seen) == 1 and len(got) == 25 and got.keys() == want.keys() and all(got[v] == pytest.approx(want[v]) for v in got)
 
 
+COSTS = [(a, b, (7 * k * k + 3) % 5 + (k % 9 > 0)) for k, (a, b) in enumerate(LINKS)]
+
+
+@pytest.mark.parametrize("kind", ["decimal(38,0)", "double"])
+def test_costs_by_both_ways(spark, monkeypatch, kind):
+    """Held, no table of distances is made; the rows are those of the joins. Costs of up to 10^17 add up exactly."""
+    unit = 10**16 if kind != "double" else 0.5
+    costed = spark.createDataFrame([*COSTS, ("v01", "v02", None)], E + ", cost long").selectExpr("from_address", "to_address", f"cast(cost * {unit} as {kind}) as cost")
+    monkeypatch.setattr(searches, "NUMBERS", 50)
+    monkeypatch.setattr(searches, "SENT", 4)
+
+    def rows():
+        near = {r.address: (r.reachable, r.closeness * float(unit)) for r in weighted.weighted_closeness(costed, asked(spark)).collect()}
+        return near, {r.address: r.betweenness for r in weighted.weighted_betweenness(costed, asked(spark)).collect()}
+
+    with monkeypatch.context() as m:
+        m.setattr(weighted, "weighted_distances", None)
+        got = rows()
+    monkeypatch.setattr(searches, "VERTICES", 0)
+    want = rows()
+    assert all(got[k] == {v: pytest.approx(x) for v, x in want[k].items()} for k in (0, 1)) and len(got[0]) == 6 and any(got[1].values())
+
+
 def test_sums_too_large_for_a_task(spark):
     """Costs without a common unit whose sums may pass 2^62 are added up by joins, as decimals."""
     costed = spark.createDataFrame([("a", "b", str(2**62 - 1)), ("b", "c", str(2**62 - 2)), ("c", "d", "3")], "from_address string, to_address string, c string").selectExpr("from_address", "to_address", "cast(c as decimal(38,0)) as cost")
